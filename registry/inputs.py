@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.plans import gold, silver
-from tidelake.sources.testdata import RAW_TABLES
+from tidelake.plans import gold, lakehouse, silver
+from tidelake.session import scratch_path
+from tidelake.sources.testdata import RAW_TABLES, raw_tables
+
+_BUILT: dict[tuple[str, str], lakehouse.Lakehouse] = {}
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +26,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return gold.build_gold(items(spark, sf_dir))[name]
+
+
+def built(spark: SparkSession, sf_dir: str) -> lakehouse.Lakehouse:
+    """The written Silver and Gold tables; built on first use in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        root = scratch_path(spark, "lakehouse")
+        _BUILT[key] = lakehouse.build(raw_tables(spark, sf_dir), root, "run-1")
+    return _BUILT[key]

@@ -104,9 +104,11 @@ def _sales_by(financials: DataFrame, key: str) -> DataFrame:
 def daily_sales(financials: DataFrame) -> DataFrame:
     days = _sales_by(financials, "order_date").withColumns(
         {
-            "average_order_value": S.rounded_ratio(F.col("total_revenue"), F.col("total_orders")
+            "average_order_value": S.rounded_ratio(
+                F.col("total_revenue"), F.col("total_orders")
             ),
-            "average_freight_value": S.rounded_ratio(F.col("freight_revenue"), F.col("total_orders")
+            "average_freight_value": S.rounded_ratio(
+                F.col("freight_revenue"), F.col("total_orders")
             ),
         }
     )
@@ -184,9 +186,10 @@ def public_sales_dashboard(items: DataFrame) -> DataFrame:
     return _as_double(totals, *REVENUE)
 
 
-def build_gold(items: DataFrame) -> dict[str, DataFrame]:
+def build_gold(items: DataFrame, financials: DataFrame | None = None) -> dict[str, DataFrame]:
     """The five Gold datasets over one enriched item table."""
-    financials = order_financials(items)
+    if financials is None:
+        financials = order_financials(items)
     return {
         "gold_daily_sales": daily_sales(financials),
         "gold_sales_by_state": sales_by_state(financials),
