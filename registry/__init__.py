@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from registry import datasets, relational, scalars, scans  # noqa: F401
+    from registry import checks, datasets, relational, scalars, scans  # noqa: F401
