@@ -31,4 +31,12 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from registry import checks, datasets, relational, scalars, scans  # noqa: F401
+    from registry import (  # noqa: F401
+        checks,
+        datasets,
+        governance,
+        policies,
+        relational,
+        scalars,
+        scans,
+    )

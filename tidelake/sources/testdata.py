@@ -191,3 +191,115 @@ RAW_TABLES = {
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: build(spark, sf_dir) for name, build in RAW_TABLES.items()}
+
+
+# ---- evidence ----------------------------------------------------------------------
+
+SCENARIO_OF_EVENT = (
+    "case event_type when 'click' then 'schema_break' when 'view' then 'pii_exposure'"
+    " when 'purchase' then 'freshness_breach' when 'error' then 'quality_regression'"
+    " else 'policy_false_positive' end"
+)
+
+
+def _list_if(condition: str, *values: str) -> str:
+    """SQL array of ``values`` where the condition holds, else the empty array."""
+    items = ", ".join(f"'{v}'" for v in values)
+    return f"if({condition}, array({items}), cast(array() as array<string>))"
+
+
+def policy_inputs(spark: SparkSession, sf_dir: str, recovered: bool = False) -> DataFrame:
+    """One policy input per event, in the fixed evidence structure.
+
+    ``recovered`` gives the evidence after remediation: the faults of four runs in five
+    are gone, and it is recorded some time after the first.
+    """
+    still = "event_id % 5 = 0" if recovered else "true"
+
+    def fault(condition: str) -> str:
+        return f"(({condition}) and {still})"
+
+    leaked = fault("event_type = 'view' and event_id % 4 < 3")
+    dropped, added = fault("event_id % 13 = 0"), fault("event_id % 43 = 0")
+    age = "cast(cast(value as decimal(12,2)) * 1000 as double)"
+    first_age = f"if({still}, {age}, 0.0D)"
+    second_age = f"if({still}, cast(event_id * 37 % 100000 as double), 0.0D)"
+    first_status = f"if({fault('event_id % 53 = 0')}, 'FAIL', 'PASS')"
+    breached = f"({first_age} > 172800 or {second_age} > 86400 or {first_status} = 'FAIL')"
+    bad_quality = fault("event_type = 'error' and value > 40")
+    sections = {
+        "schema_version": "'1.0.0'",
+        "evaluation_stage": "if(event_id % 2 = 0, 'pre', 'post')",
+        "experiment": (
+            f"named_struct('condition', 'C2', 'scenario_id', {SCENARIO_OF_EVENT}, 'run_key',"
+            " if(event_id % 101 = 0, '', concat('run-', event_id)))"
+        ),
+        "controls": (
+            "named_struct('policy_as_code_required', true, 'self_healing_permitted', true,"
+            " 'automatic_remediation_permitted', event_type <> 'signup')"
+        ),
+        "git": (
+            f"named_struct('branch', case when {fault('event_id % 17 = 0')} then ''"
+            f" when {fault('event_id % 19 = 0')} then null else 'main' end,"
+            f" 'commit', if({fault('event_id % 23 = 0')}, '', concat('c', event_id)))"
+        ),
+        "release": (
+            "named_struct('target_layer', 'gold', 'promotion_requested', event_id % 3 <> 0)"
+        ),
+        "metadata": (
+            f"named_struct('required_fields_present', case when {fault('event_id % 29 = 0')}"
+            " then false when event_id % 31 = 0 then null else true end, 'resource_count',"
+            f" case when {fault('event_id % 37 = 0')} then 0L when event_id % 41 = 0 then null"
+            " else 15L end)"
+        ),
+        "schema_contract": (
+            "named_struct('governed_models', array("
+            "named_struct('model', 'gold_customer_order_summary', 'exposure', 'internal',"
+            f" 'expected_column_count', 11L, 'actual_column_count', 11L - int({dropped})"
+            f" + int({added}), 'missing_columns', {_list_if(dropped, 'average_order_value')},"
+            f" 'unexpected_columns', {_list_if(added, 'loyalty_tier')},"
+            " 'incompatible_type_changes',"
+            f" {_list_if(fault('event_id % 47 = 0'), 'total_orders: integer to string')}),"
+            " named_struct('model', 'gold_public_sales_dashboard', 'exposure', 'public',"
+            f" 'expected_column_count', 8L, 'actual_column_count', 8L + int({leaked}),"
+            " 'missing_columns', cast(array() as array<string>),"
+            f" 'unexpected_columns', {_list_if(leaked, 'synthetic_email', 'synthetic_phone')},"
+            " 'incompatible_type_changes', cast(array() as array<string>))))"
+        ),
+        "transformation": (
+            f"named_struct('changed_models', {_list_if('event_id % 11 = 0', 'gold_daily_sales')},"
+            f" 'unapproved_definitions', {_list_if(fault('event_id % 33 = 0'), 'gold_shadow')},"
+            " 'manifest_sha256', sha2(concat('m', event_id), 256))"
+        ),
+        "privacy": (
+            "named_struct('public_models', array('gold_public_sales_dashboard'),"
+            " 'forbidden_columns', array('synthetic_email', 'synthetic_phone'),"
+            " 'detected_forbidden_columns',"
+            f" {_list_if(leaked, 'synthetic_email', 'synthetic_phone')})"
+        ),
+        "quality": (
+            f"named_struct('status', if({bad_quality}, 'FAIL', 'PASS'), 'total_tests', 41L,"
+            f" 'failed_tests', if({bad_quality}, event_id % 4 + 1, 0L), 'critical_failures',"
+            f" {_list_if(bad_quality, 'test.keys', 'test.revenue')})"
+        ),
+        "freshness": (
+            f"named_struct('status', if({breached} or {fault('event_id % 59 = 0')}, 'FAIL',"
+            " 'PASS'), 'sources', array("
+            f"named_struct('source', 'gold_daily_sales', 'observed_age_seconds', {first_age},"
+            f" 'maximum_age_seconds', 172800.0D, 'status', {first_status}),"
+            f" named_struct('source', 'silver_orders', 'observed_age_seconds', {second_age},"
+            " 'maximum_age_seconds', 86400.0D, 'status', 'PASS')))"
+        ),
+        "runtime": (
+            f"named_struct('pipeline_status', case when {fault('event_id % 61 = 0')} then 'FAIL'"
+            " when event_id % 79 = 0 then null else 'PASS' end, 'canonical_unchanged',"
+            f" not {fault('event_id % 67 = 0')}, 'isolated_output_tables',"
+            f" if({fault('event_id % 71 = 0')}, 14L, 15L), 'athena_failed_queries',"
+            f" if({fault('event_id % 73 = 0')}, 2L, 0L))"
+        ),
+    }
+    delay = "event_id % 900 + 30" if recovered else "0"
+    return table(spark, sf_dir, "events").select(
+        *[F.expr(e).alias(n) for n, e in sections.items()],
+        F.expr(f"timestampadd(SECOND, {delay}, ts)").cast("timestamp").alias("recorded_at"),
+    )
