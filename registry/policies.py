@@ -292,18 +292,23 @@ _RULES = {
     "j13_quality_rule": "PAC-QUALITY-001",
     "j14_freshness_rule": "PAC-FRESH-001",
     "j15_runtime_rule": "PAC-RUNTIME-001",
-    "j16_release_rule": "PAC-RELEASE-001",
 }
 _COLUMNS = "run_key, stage, policy_id, category, severity, reason, details"
 
 for _name, _policy in _RULES.items():
     query(_name, sql(f"select {_COLUMNS} from violated where policy_id = '{_policy}'"))(
-        lambda spark, sf_dir, p=_policy: policy.violations_table(_evaluated(spark, sf_dir)).where(
-            F.col("policy_id") == p
+        lambda spark, sf_dir, p=_policy: policy.violations_table(
+            policy.apply_rule(policy_inputs(spark, sf_dir), p)
         )
     )
 
 
+@query("j16_release_rule", sql(f"select {_COLUMNS} from violated where policy_id = 'PAC-RELEASE-001'"))
+def release_rule(spark, sf_dir):
+    violations = policy.violations_table(_evaluated(spark, sf_dir))
+    return violations.where(F.col("policy_id") == "PAC-RELEASE-001")
+
+
 @query(
     "j17_ordered_violations",
     sql("""select run_key, stage, policy_id, reason, details, row_number() over (partition by event_id
@@ -314,8 +319,8 @@ def ordered_violations(spark, sf_dir):
     return evaluated.select(
         F.col("experiment.run_key").alias("run_key"),
         F.col("evaluation_stage").alias("stage"),
-        F.posexplode("violations").alias("p", "v"),
-    ).select(
+        F.posexplode_outer("violations").alias("p", "v"),
+    ).where(F.col("v").isNotNull()).select(
         "run_key", "stage", "v.policy_id", "v.reason", "v.details",
         (F.col("p") + 1).cast("bigint").alias("position"),
     )

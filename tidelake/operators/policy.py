@@ -68,15 +68,19 @@ def _violation(policy_id: str, category: str, reason: Column, **details: Column)
     )
 
 
+def _empty() -> Column:
+    return F.array().cast(VIOLATION_TYPE)
+
+
 def _raised(*branches: tuple[Column, Column]) -> Column:
     """Violations of the branches whose condition is true (not false, not unknown)."""
-    return F.array_compact(
-        F.array(*[F.when(F.coalesce(c, F.lit(False)), v) for c, v in branches])
+    return F.concat(
+        *[F.when(c, F.array(v).cast(VIOLATION_TYPE)).otherwise(_empty()) for c, v in branches]
     )
 
 
 def _or_empty(violations: Column) -> Column:
-    return F.coalesce(violations.cast(VIOLATION_TYPE), F.array().cast(VIOLATION_TYPE))
+    return F.coalesce(violations.cast(VIOLATION_TYPE), _empty())
 
 
 def _list_text(values: Column) -> Column:
@@ -307,33 +311,37 @@ def runtime_rule(expected_tables: int = EXPECTED_OUTPUT_TABLES) -> Column:
     )
 
 
+RULES = {
+    "PAC-META-001": metadata_rule,
+    "PAC-SCHEMA-001": schema_rule,
+    "PAC-PRIVACY-001": privacy_rule,
+    "PAC-TRANSFORM-001": transformation_rule,
+    "PAC-QUALITY-001": quality_rule,
+    "PAC-FRESH-001": freshness_rule,
+    "PAC-RUNTIME-001": runtime_rule,
+}
+
+
+def release_rule(blocking: str) -> Column:
+    violation = _violation(
+        "PAC-RELEASE-001",
+        "release_rule",
+        F.lit("promotion requested while blocking policy violations remain unresolved"),
+    )
+    return _raised((F.col("release.promotion_requested") & (F.size(blocking) > 0), violation))
+
+
+def apply_rule(inputs: DataFrame, policy_id: str) -> DataFrame:
+    """Evidence rows with the violations of one blocking policy."""
+    violations = F.sort_array(F.array_distinct(_or_empty(RULES[policy_id]())))
+    return inputs.withColumn("violations", violations)
+
+
 def evaluate(inputs: DataFrame, expected_tables: int = EXPECTED_OUTPUT_TABLES) -> DataFrame:
     """Evidence rows with their set of violations, in a total order."""
-    blocking = F.concat(
-        *[
-            _or_empty(rule)
-            for rule in (
-                metadata_rule(),
-                schema_rule(),
-                privacy_rule(),
-                transformation_rule(),
-                quality_rule(),
-                freshness_rule(),
-                runtime_rule(expected_tables),
-            )
-        ]
-    )
-    release = _raised(
-        (
-            F.col("release.promotion_requested") & (F.size("_blocking") > 0),
-            _violation(
-                "PAC-RELEASE-001",
-                "release_rule",
-                F.lit("promotion requested while blocking policy violations remain unresolved"),
-            ),
-        )
-    )
-    violations = F.array_sort(F.array_distinct(F.concat("_blocking", _or_empty(release))))
+    settings = {"PAC-RUNTIME-001": (expected_tables,)}
+    blocking = F.concat(*[_or_empty(rule(*settings.get(p, ()))) for p, rule in RULES.items()])
+    violations = F.sort_array(F.array_distinct(F.concat("_blocking", release_rule("_blocking"))))
     return (
         inputs.withColumn("_blocking", blocking)
         .withColumn("violations", violations)
@@ -342,11 +350,20 @@ def evaluate(inputs: DataFrame, expected_tables: int = EXPECTED_OUTPUT_TABLES) -
 
 
 def violations_table(evaluated: DataFrame) -> DataFrame:
-    return evaluated.select(
-        F.col("experiment.run_key").alias("run_key"),
-        F.col("evaluation_stage").alias("stage"),
-        F.explode("violations").alias("v"),
-    ).select("run_key", "stage", "v.policy_id", "v.category", "v.severity", "v.reason", "v.details")
+    """One row per violation.
+
+    The outer explode keeps the optimizer from filtering on the size of the array below
+    the projection, which would evaluate every rule a second time.
+    """
+    return (
+        evaluated.select(
+            F.col("experiment.run_key").alias("run_key"),
+            F.col("evaluation_stage").alias("stage"),
+            F.explode_outer("violations").alias("v"),
+        )
+        .where(F.col("v").isNotNull())
+        .select("run_key", "stage", "v.policy_id", "v.category", "v.severity", "v.reason", "v.details")
+    )
 
 
 def _catalog_column() -> Column:
@@ -384,7 +401,7 @@ def policy_outcomes(evaluated: DataFrame) -> DataFrame:
             .alias("outcome"),
             count.cast("bigint").alias("violation_count"),
             F.array_join(
-                F.array_sort(F.array_distinct(F.transform(mine, lambda v: v["reason"]))), "; "
+                F.sort_array(F.array_distinct(F.transform(mine, lambda v: v["reason"]))), "; "
             ).alias("reasons"),
         )
 
@@ -413,7 +430,7 @@ def policy_outcomes(evaluated: DataFrame) -> DataFrame:
 
 def decisions(evaluated: DataFrame) -> DataFrame:
     """One decision per (run, stage): ALLOW exactly when nothing is violated."""
-    triggered = F.array_sort(
+    triggered = F.sort_array(
         F.array_distinct(F.transform("violations", lambda v: v["policy_id"]))
     )
     stage = F.col("evaluation_stage")
