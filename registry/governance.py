@@ -11,7 +11,7 @@ from registry.oracle import sql
 from tidelake.operators import governance, policy, remediation
 from tidelake.operators.contracts import FORBIDDEN_PUBLIC_COLUMNS
 from tidelake.session import scratch_path
-from tidelake.sources.testdata import policy_inputs, table
+from tidelake.sources.testdata import policy_inputs, spread, table
 
 # ---- governance ----------------------------------------------------------------------
 
@@ -262,7 +262,7 @@ _PHONE = r"\+?\d(?:[\s().-]*\+?\d){7,}"
       '{_PHONE}', '[phone]', 'g') text from documents""",
 )
 def redacted_documents(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     return remediation.redact(documents, ["source", "n_chars"], ["text"])
 
 

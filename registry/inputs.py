@@ -25,7 +25,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return gold.build_gold(items(spark, sf_dir))[name]
+    return gold.build_gold(name, items(spark, sf_dir))
 
 
 def built(spark: SparkSession, sf_dir: str) -> lakehouse.Lakehouse:

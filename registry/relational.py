@@ -6,11 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry import query
-from registry.inputs import items, raw, silver_table
+from registry.inputs import built, items, raw, silver_table
 from registry.oracle import cents, money_sum, ratio, sql
 from tidelake.functions import scalar as S
 from tidelake.operators import joins, ranking
-from tidelake.plans import rules
 from tidelake.sources import sinks
 from tidelake.sources.testdata import table
 
@@ -103,10 +102,8 @@ def _orphan_select(name: str, child: str, key: str, parent: str, parent_key: str
 def foreign_key_orphans(spark, sf_dir):
     """Eight relationships; parents of orders are the delivered ones, so there are orphans."""
     silver = {
-        "s_" + n.removeprefix("silver_").replace("customer_contact", "contact"): silver_table(
-            spark, sf_dir, n
-        )
-        for n in rules.SILVER_KEYS
+        "s_" + n.removeprefix("silver_").replace("customer_contact", "contact"): df
+        for n, df in built(spark, sf_dir).silver.items()
     }
     silver["delivered"] = silver["s_orders"].where(F.lower("order_status") == "delivered")
     silver["named"] = raw(spark, sf_dir, "product_category_name_translation")

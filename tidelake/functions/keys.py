@@ -15,12 +15,18 @@ PHONE_MODULUS = 10_000_000_000
 CONSENT_SCALE = 10_000
 CONSENT_THRESHOLD = 7_500
 
-# Text patterns. The phone rule asks for at least eight digits, each
-# optionally led by a plus sign, with blanks, brackets, dots or dashes between them.
-# A run that is cut off by a further digit can always be widened to include it, so
-# "eight in a row somewhere" is the same test as the bounded form and needs no
-# backtracking over the rest of the text.
-EMAIL_PATTERN = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+# Text patterns. An e-mail address is
+#   \b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b
+# written so that each run of local characters is read once: a match may start at any word
+# boundary of the run, so it is enough that the run starts at one or has one inside.
+# A phone number has at least eight digits, each optionally led by a plus sign, with
+# blanks, brackets, dots or dashes between them. A run that is cut off by a further digit
+# can always be widened to include it, so "eight in a row somewhere" is the whole test.
+EMAIL_PATTERN = (
+    r"(?U)(?<![A-Za-z0-9._%+-])"
+    r"(?:\b|(?=[A-Za-z0-9_]++[.%+-]|[.%+-]++[A-Za-z0-9_]))"
+    r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+)
 PHONE_PATTERN = r"(?U)\d(?:[\s().-]*+\+?+\d){7}"
 STATE_PATTERN = r"^(?:[A-Z]{2}|UNKNOWN)$"
 SENSITIVE_NAME_PATTERN = "email|phone|address|zip_code|postal|consent"
@@ -76,7 +82,8 @@ def pseudonym_consent(entity: Column | str) -> Column:
 
 
 def looks_like_email(text: Column | str) -> Column:
-    return F.regexp_like(_text(text), F.lit(EMAIL_PATTERN))
+    value = _text(text)
+    return F.contains(value, F.lit("@")) & F.regexp_like(value, F.lit(EMAIL_PATTERN))
 
 
 def looks_like_phone(text: Column | str) -> Column:

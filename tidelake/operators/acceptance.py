@@ -46,16 +46,12 @@ def accept_contact(contact: DataFrame, dataset: str, constraints: dict[str, int]
         "no_empty_phone": ("null_synthetic_phones", 0),
     }
     checks = [
-        Q.Check(name, F.max(column), str(value), _equals(value))
+        Q.Check(name, F.max(column), str(value), f"{{v}} = {value}")
         for name, (column, value) in wanted.items()
     ]
     return Q.run_checks(m, dataset, checks)
 
 
-def _equals(expected: int):
-    return lambda value: value == F.lit(expected)
-
-
 def accept_runs(stages: DataFrame, expected: list[str]) -> DataFrame:
     """One row per run: stage sequence, statuses, exit codes and durations.
 

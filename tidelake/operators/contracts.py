@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions.keys import SENSITIVE_NAME_PATTERN
 from tidelake.operators import quality as Q
+from tidelake.session import small_table
 
 # Literals a boolean contract column accepts.
 BOOLEAN_LITERALS = ("true", "false", "1", "0", "yes", "no")
@@ -114,7 +115,8 @@ def contracts_table(spark: SparkSession, contracts: list[Contract]) -> DataFrame
         for c in contracts
         for position, column in enumerate(c.columns, start=1)
     ]
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         rows,
         "dataset string, version string, owner string, classification string, grain string,"
         " freshness_slo_hours double, allowed_destinations array<string>,"
@@ -150,7 +152,7 @@ def value_checks(contract: Contract, present: list[str]) -> list[Q.Check]:
         if column.required:
             checks.append(Q.Check(not_null, nulls))
         else:
-            checks.append(Q.Check(not_null, nulls, "nullable", lambda value: F.lit(True)))
+            checks.append(Q.Check(not_null, nulls, "nullable", "true"))
         checks.append(
             Q.violations(
                 f"{column.name}_type_{column.type}", type_violation(column.name, column.type)

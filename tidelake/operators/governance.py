@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.operators.joins import compare_manifests
+from tidelake.session import small_table
 from tidelake.sources.sinks import content_hash, list_files
 
 # Codes of the source gate.
@@ -129,7 +130,8 @@ def isolation_inventory(tables: DataFrame, expected: dict[str, int], root: str)
         F.count(F.lit(1)).alias("actual_table_count"),
         F.count_if(~inside).alias("bad_locations"),
     )
-    wanted = tables.sparkSession.createDataFrame(
+    wanted = small_table(
+        tables.sparkSession,
         list(expected.items()), "layer string, expected_table_count bigint"
     )
     joined = wanted.join(counted, "layer", "full_outer").na.fill(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelake.functions.scalar import parse_timestamp, rounded_ratio
 from tidelake.operators import ranking
 from tidelake.operators.quality import duplicate_key_rows, union_all
+from tidelake.session import small_table
 
 SAMPLE_SIZE = 3
 
@@ -52,7 +53,8 @@ def column_profile(df: DataFrame, dataset: str) -> DataFrame:
         F.sum(F.when(F.col("value").isNull(), F.col("rows")).otherwise(0)).alias("null_count"),
         F.count("value").alias("unique_count"),
     )
-    names = df.sparkSession.createDataFrame(
+    names = small_table(
+        df.sparkSession,
         [(n, t, i) for i, (n, t) in enumerate(df.dtypes, start=1)],
         "column_name string, dtype string, position int",
     )
@@ -113,6 +115,20 @@ def date_ranges(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
     return union_all(parts)
 
 
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
+def _moments(name: str) -> list:
+    value = F.col(name)
+    return [
+        F.count(name).alias("value_count"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+    ]
+
+
 def numeric_summary(
     df: DataFrame,
     dataset: str,
@@ -120,32 +136,37 @@ def numeric_summary(
     places: int = 4,
     hot_rows: int = ranking.HOT_ROWS,
 ) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of numeric columns."""
-    parts = []
-    for name in columns:
-        value = F.col(name).cast("double")
-        moments = df.agg(
-            F.count(name).alias("value_count"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        )
-        numbers = df.select(value.alias("value"))
-        quartiles = ranking.exact_quantiles(
-            numbers, [], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, hot_rows
+    """Count, mean, sample deviation, extremes and exact quartiles of numeric columns.
+
+    Up to ``hot_rows`` rows, all figures of all columns come from one aggregate; above,
+    the quartiles are read from a distributed ranking of the values.
+    """
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    if numbers.count() <= hot_rows:
+        rows = numbers.agg(
+            *[
+                F.struct(
+                    *_moments(c),
+                    F.percentile(c, F.array(*map(F.lit, QUARTILES.values()))).alias("q"),
+                ).alias(c)
+                for c in columns
+            ]
         )
-        figures = {q: quartiles.select(q).scalar() for q in ("p25", "p50", "p75")}
-        row = moments.withColumns(figures)
-        parts.append(
-            row.select(
-                F.lit(dataset).alias("dataset"),
-                F.lit(name).alias("column_name"),
-                "value_count",
-                *[
-                    F.round(c, places).alias(c)
-                    for c in ("mean", "std", "min", "p25", "p50", "p75", "max")
-                ],
+        pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("f")) for c in columns]
+        figures = rows.select(F.explode(F.array(*pairs)).alias("r")).select("r.column_name", "r.f.*")
+        figures = figures.withColumns({n: F.col("q")[i] for i, n in enumerate(QUARTILES)})
+    else:
+        parts = []
+        for c in columns:
+            quartiles = ranking.exact_quantiles(numbers.select(c), [], c, QUARTILES, hot_rows)
+            keyed = quartiles.withColumn("column_name", F.lit(c))
+            parts.append(
+                numbers.agg(*_moments(c)).withColumn("column_name", F.lit(c)).join(keyed, "column_name")
             )
-        )
-    return union_all(parts)
+        figures = union_all(parts)
+    return figures.select(
+        F.lit(dataset).alias("dataset"),
+        "column_name",
+        "value_count",
+        *[F.round(c, places).alias(c) for c in ("mean", "std", "min", *QUARTILES, "max")],
+    )

@@ -6,7 +6,6 @@ which need a grouping), and the single counter row is then unpivoted.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from tidelake.functions import keys
 from tidelake.functions.scalar import rounded_ratio
 from tidelake.operators.joins import orphans
+from tidelake.session import small_table
 
 # Tolerances of the reconciliation checks.
 ROW_TOLERANCE = 0.02
@@ -27,31 +27,33 @@ SHARE_TOLERANCE = 0.1
 
 @dataclass(frozen=True)
 class Check:
-    """``observed`` is an aggregate; ``passed`` tests its value (zero if not given)."""
+    """``observed`` is an aggregate; ``passed`` is a condition on its value ``{v}``."""
 
     name: str
     observed: Column
     expected: str = "0"
-    passed: Callable[[Column], Column] = lambda value: value == 0
+    passed: str = "{v} = 0"
     severity: str = "critical"
     details: str = ""
 
 
 def violations(name: str, condition: Column, **rest) -> Check:
     """Check that counts the rows where ``condition`` holds and wants none."""
-    return Check(name, F.count_if(F.coalesce(condition, F.lit(False))), **rest)
-
-
-def _result(dataset: str, check: Check, value: Column) -> Column:
-    passed = check.passed(value)
-    return F.struct(
-        F.lit(dataset).alias("dataset"),
-        F.lit(check.name).alias("check_name"),
-        F.when(F.coalesce(passed, F.lit(False)), "PASS").otherwise("FAIL").alias("status"),
-        F.lit(check.severity).alias("severity"),
-        value.cast("string").alias("observed_value"),
-        F.lit(check.expected).alias("expected_value"),
-        F.lit(check.details).alias("details"),
+    return Check(name, F.count_if(condition), **rest)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _result(dataset: str, check: Check, value: str) -> str:
+    texts = (dataset, check.name, check.severity, check.expected, check.details)
+    name, check_name, severity, expected, details = map(_quoted, texts)
+    return (
+        f"struct({name} dataset, {check_name} check_name,"
+        f" if(coalesce({check.passed.format(v=value)}, false), 'PASS', 'FAIL') status,"
+        f" {severity} severity, cast({value} as string) observed_value,"
+        f" {expected} expected_value, {details} details)"
     )
 
 
@@ -59,10 +61,9 @@ def run_checks(df: DataFrame, dataset: str, checks: list[Check]) -> DataFrame:
     """All checks of one dataset from one pass over it."""
     if not checks:
         raise ValueError(f"{dataset}: no checks given")
-    names = [f"c{i}" for i in range(len(checks))]
-    counters = df.agg(*[c.observed.alias(n) for n, c in zip(names, checks)])
-    rows = [_result(dataset, c, F.col(n)) for n, c in zip(names, checks)]
-    return counters.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    counters = df.agg(*[c.observed.alias(f"c{i}") for i, c in enumerate(checks)])
+    rows = ", ".join(_result(dataset, c, f"c{i}") for i, c in enumerate(checks))
+    return counters.selectExpr(f"inline(array({rows}))")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -84,7 +85,8 @@ def metadata_checks(
         (dataset, name, "PASS" if passed else "FAIL", "critical", observed, expected, details)
         for name, passed, observed, expected, details in results
     ]
-    return df.sparkSession.createDataFrame(
+    return small_table(
+        df.sparkSession,
         rows,
         "dataset string, check_name string, status string, severity string,"
         " observed_value string, expected_value string, details string",
@@ -121,7 +123,7 @@ def exact_columns(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
 
 def not_empty() -> Check:
     rows = F.count(F.lit(1))
-    return Check("dataset_not_empty", rows, "> 0", lambda value: value > 0)
+    return Check("dataset_not_empty", rows, "> 0", "{v} > 0")
 
 
 def key_not_null(key: list[str]) -> Check:
@@ -164,7 +166,7 @@ def not_above(name: str, smaller: str, larger: str) -> Check:
 
 def sums_to_hundred(name: str, column: str) -> Check:
     total = F.round(F.sum(F.col(column).cast("decimal(18,4)")), 4)
-    return Check(name, total, "100.0", lambda value: F.abs(value - 100) <= SHARE_TOLERANCE)
+    return Check(name, total, "100.0", f"abs({{v}} - 100) <= {SHARE_TOLERANCE}")
 
 
 # ---- grouped counters ------------------------------------------------------------
@@ -201,7 +203,7 @@ def coverage(
     whole_keys = whole.agg(F.count_distinct(key)).scalar()
     counts = part.agg(F.count_distinct(key).alias("part_keys")).withColumn("whole_keys", whole_keys)
     share = F.max(rounded_ratio(F.col("part_keys") * 100, F.col("whole_keys"), 4))
-    check = Check(name, share, "100.0", lambda value: value == 100.0)
+    check = Check(name, share, "100.0", "{v} = 100.0")
     return run_checks(counts, dataset, [check])
 
 

@@ -14,7 +14,7 @@ from tidelake.functions.scalar import rounded_ratio
 from tidelake.operators.joins import null_safe
 from tidelake.session import checkpoint_root
 
-HOT_ROWS = 5_000_000
+HOT_ROWS = 1_000_000
 
 
 def hot_groups(df: DataFrame, group: list[str], hot_rows: int) -> DataFrame:
@@ -114,15 +114,23 @@ def exact_quantiles(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group; NULLs ignored, empty gives NULL."""
-    native = [F.percentile(column, F.lit(q)).alias(name) for name, q in quantiles.items()]
+    # One value map per group serves all quantiles.
+    cuts = F.percentile(column, F.array(*[F.lit(q) for q in quantiles.values()]))
+
+    def native(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy(*group).agg(cuts.alias("_cuts"))
+        return found.select(
+            *group, *[F.col("_cuts")[i].alias(name) for i, name in enumerate(quantiles)]
+        )
+
     hot = hot_groups(df, group, hot_rows)
     if hot.isEmpty():
-        return df.groupBy(*group).agg(*native)
+        return native(df)
     if not group:
         return _ranked_quantiles(df, group, column, quantiles)
     condition = null_safe(df, hot, group)
     heavy = df.join(hot, condition, "left_semi")
-    light = df.join(hot, condition, "left_anti").groupBy(*group).agg(*native)
+    light = native(df.join(hot, condition, "left_anti"))
     spread = _ranked_quantiles(heavy, group, column, quantiles)
     found = hot.join(spread, null_safe(hot, spread, group), "left").select(
         *[hot[g] for g in group], *quantiles
@@ -146,6 +154,12 @@ def representative_mode(df: DataFrame, group: list[str], column: str) -> DataFra
 
 
 def with_share_of_total(df: DataFrame, measure: str, name: str, places: int = 2) -> DataFrame:
-    """Percentage of the grand total, read from a scalar subquery: no one-task window."""
-    total = df.agg(F.sum(measure)).scalar()
-    return df.withColumn(name, rounded_ratio(F.col(measure) * 100, total, places))
+    """Percentage of the grand total.
+
+    The grouped rows are checkpointed, so the total is a sum over them and not a second
+    run of the plan that made them; read as a scalar, it needs no one-task window.
+    """
+    checkpoint_root(df.sparkSession)
+    grouped = df.checkpoint()
+    total = grouped.agg(F.sum(measure)).scalar()
+    return grouped.withColumn(name, rounded_ratio(F.col(measure) * 100, total, places))

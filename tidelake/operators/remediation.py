@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions.scalar import identifier, parse_iso_utc, rounded_ratio
+from tidelake.session import small_table
 from tidelake.sources.sinks import content_hash
 
 # The remediation catalog. Per scenario: primary action, fallback action,
@@ -94,13 +95,18 @@ QUARANTINE_PREFIX = "quarantine/objects/"
 EVENT_ID_PREFIX = "c2-q-"
 RETRY_LIMIT = 2
 
-EMAIL_MASK = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# An address is [A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}; a match starts where its run
+# of local characters does, or where the match before it ended.
+EMAIL_MASK = (
+    r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+)
 PHONE_MASK = r"\+?\d(?:[\s().-]*+\+?+\d){7,}+"
 
 
 def catalog_table(spark: SparkSession) -> DataFrame:
     """The catalog as a table: one row per scenario, five rows."""
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         REMEDIATION_CATALOG,
         "scenario_id string, primary_action string, fallback_action string, max_attempts int,"
         " timeout_seconds int, target_scope string, detection_stage string, automatic boolean,"

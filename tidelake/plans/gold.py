@@ -186,14 +186,19 @@ def public_sales_dashboard(items: DataFrame) -> DataFrame:
     return _as_double(totals, *REVENUE)
 
 
-def build_gold(items: DataFrame, financials: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The five Gold datasets over one enriched item table."""
-    if financials is None:
-        financials = order_financials(items)
-    return {
-        "gold_daily_sales": daily_sales(financials),
-        "gold_sales_by_state": sales_by_state(financials),
-        "gold_product_category_revenue": product_category_revenue(items),
-        "gold_customer_order_summary": customer_order_summary(items),
-        "gold_public_sales_dashboard": public_sales_dashboard(items),
-    }
+# Gold dataset -> (builder, whether it starts from order_financials).
+GOLD = {
+    "gold_daily_sales": (daily_sales, True),
+    "gold_sales_by_state": (sales_by_state, True),
+    "gold_product_category_revenue": (product_category_revenue, False),
+    "gold_customer_order_summary": (customer_order_summary, False),
+    "gold_public_sales_dashboard": (public_sales_dashboard, False),
+}
+
+
+def build_gold(name: str, items: DataFrame, financials: DataFrame | None = None) -> DataFrame:
+    """One Gold dataset over the enriched items (or the order totals made from them)."""
+    builder, from_orders = GOLD[name]
+    if not from_orders:
+        return builder(items)
+    return builder(order_financials(items) if financials is None else financials)

@@ -2,47 +2,61 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from tidelake.operators.contracts import forbidden_name_parts
 from tidelake.plans import gold as G
 from tidelake.plans import silver as S
 from tidelake.plans.rules import GOLD_ZONES
 from tidelake.sources.sinks import write_dataset
 
+CONCURRENT_WRITES = 4
+
 
 @dataclass
 class Lakehouse:
-    silver: dict[str, DataFrame] = field(default_factory=dict)
-    gold: dict[str, DataFrame] = field(default_factory=dict)
+    silver: dict[str, DataFrame]
+    gold: dict[str, DataFrame]
 
 
 def check_zone(dataset: str, df: DataFrame) -> str:
     """Zone of a Gold dataset; a public one may only hold its allow-listed columns."""
-    from tidelake.operators.contracts import forbidden_name_parts
-
     zone = GOLD_ZONES[dataset]
     if zone == "gold/public" and forbidden_name_parts(df.columns):
         raise ValueError(f"{dataset}: {forbidden_name_parts(df.columns)} may not be public")
     return zone
 
 
+def _write_all(frames: dict[str, tuple[str, DataFrame]], root: str, run_id: str) -> dict:
+    """Write independent datasets at the same time; each is a Spark job of its own."""
+
+    def write(entry: tuple[str, tuple[str, DataFrame]]) -> DataFrame:
+        name, (zone, df) = entry
+        return write_dataset(df, root, zone, name, run_id)
+
+    with ThreadPoolExecutor(max_workers=CONCURRENT_WRITES) as pool:
+        return dict(zip(frames, pool.map(write, frames.items())))
+
+
 def build(raw: dict[str, DataFrame], root: str, run_id: str) -> Lakehouse:
     """Write Silver, the shared item table and Gold under run-unique paths.
 
     Gold reads the written Silver columns it needs. The item table feeds five datasets,
     so it is written once instead of joining five times.
     """
-    house = Lakehouse()
-    for name, df in S.build_silver(raw).items():
-        house.silver[name] = write_dataset(df, root, "silver", name, run_id)
+    silver = _write_all(
+        {name: ("silver", df) for name, df in S.build_silver(raw).items()}, root, run_id
+    )
     items = write_dataset(
-        G.item_enriched(house.silver), root, "gold/internal", "item_enriched", run_id
+        G.item_enriched(silver), root, "gold/internal", "item_enriched", run_id
     )
     financials = write_dataset(
         G.order_financials(items), root, "gold/internal", "order_financials", run_id
     )
-    for name, df in G.build_gold(items, financials).items():
-        house.gold[name] = write_dataset(df, root, check_zone(name, df), name, run_id)
-    return house
+    gold = {name: G.build_gold(name, items, financials) for name in G.GOLD}
+    return Lakehouse(
+        silver, _write_all({n: (check_zone(n, df), df) for n, df in gold.items()}, root, run_id)
+    )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # Runtime SQL settings every job relies on. AQE picks join strategies and partition
 # counts from measured sizes, so nothing here depends on the size of one cluster.
@@ -15,6 +17,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Columnar files grow several times in memory: judge a broadcast by that size, not by
+    # the compressed one. AQE still broadcasts a side it has measured to be small.
+    "spark.sql.sources.fileCompressionFactor": "6.0",
+    # Plans here are built from many column expressions; skip the call site of each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Split a hot join key even where the split costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
@@ -70,3 +77,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one written intermediate table; never reused."""
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few configuration rows as a table, read by the JVM from one JSON literal."""
+    names = T.StructType.fromDDL(schema).names
+    document = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.sql(
+        "select inline(from_json(:document, :schema))",
+        args={"document": document, "schema": f"array<struct<{schema}>>"},
+    )

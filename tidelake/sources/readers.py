@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelake.session import small_table
 from tidelake.sources.schemas import RAW_COLUMNS, RUN_RESULT_SCHEMA, raw_schema
 
 CORRUPT = "_malformed"
@@ -132,7 +133,8 @@ def schema_table(spark: SparkSession, zones: dict[str, dict[str, DataFrame]]) ->
         for name, df in datasets.items()
         for position, field in enumerate(df.schema.fields, start=1)
     ]
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         rows,
         "table_schema string, table_name string, ordinal_position int, column_name string,"
         " data_type string",

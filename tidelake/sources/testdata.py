@@ -13,8 +13,52 @@ from pyspark.sql import functions as F
 from tidelake.functions import keys
 
 
+# Schemas of the given tables, so that no job is spent on reading footers.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+        " p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+        " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
+        " props string"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer splits than cores.
+
+    A small file of one row group is read by one task, which would then do all the work
+    that follows. Large tables have many splits and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
 def _texts(df: DataFrame, **exprs: str) -> DataFrame:
@@ -47,8 +91,17 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        "l_shipdate",
+        "l_extendedprice",
+        "l_tax",
+    )
     return _texts(
-        table(spark, sf_dir, "lineitem"),
+        spread(lines),
         order_id="l_orderkey",
         order_item_id="l_linenumber",
         product_id="l_partkey",
@@ -299,7 +352,8 @@ def policy_inputs(spark: SparkSession, sf_dir: str, recovered: bool = False) ->
         ),
     }
     delay = "event_id % 900 + 30" if recovered else "0"
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    return spread(events).select(
         *[F.expr(e).alias(n) for n, e in sections.items()],
         F.expr(f"timestampadd(SECOND, {delay}, ts)").cast("timestamp").alias("recorded_at"),
     )
