@@ -292,7 +292,7 @@ def average(spark, sf_dir):
 def exact_median(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     middle = ranking.exact_quantiles(
-        lines, ["l_suppkey"], "l_extendedprice", {"median_price": 0.5}
+        lines, ["l_suppkey"], {"median_price": ("l_extendedprice", 0.5)}
     )
     return middle.withColumn("median_price", F.round("median_price", 10))
 

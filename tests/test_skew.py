@@ -36,9 +36,9 @@ def test_occurrence_number_same_with_hot_groups(skewed):
 
 
 def test_quantiles_same_with_hot_groups_and_brute_force(skewed):
-    cuts = {"low": 0.25, "mid": 0.5, "high": 0.9}
-    plain = ranking.exact_quantiles(skewed, ["key"], "value", cuts, hot_rows=10**9)
-    spread = ranking.exact_quantiles(skewed, ["key"], "value", cuts, hot_rows=100)
+    cuts = {"low": ("value", 0.25), "mid": ("value", 0.5), "other": ("id", 0.9)}
+    plain = ranking.exact_quantiles(skewed, ["key"], cuts, hot_rows=10**9)
+    spread = ranking.exact_quantiles(skewed, ["key"], cuts, hot_rows=100)
     rounded = [F.round(c, 9).alias(c) for c in cuts]
     assert collected(plain.select("key", *rounded)) == collected(spread.select("key", *rounded))
     groups = {}

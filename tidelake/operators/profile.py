@@ -158,7 +158,8 @@ def numeric_summary(
     else:
         parts = []
         for c in columns:
-            quartiles = ranking.exact_quantiles(numbers.select(c), [], c, QUARTILES, hot_rows)
+            cuts = {name: (c, q) for name, q in QUARTILES.items()}
+            quartiles = ranking.exact_quantiles(numbers.select(c), [], cuts, hot_rows)
             keyed = quartiles.withColumn("column_name", F.lit(c))
             parts.append(
                 numbers.agg(*_moments(c)).withColumn("column_name", F.lit(c)).join(keyed, "column_name")

@@ -81,6 +81,7 @@ def occurrence_number(
 def _ranked_quantiles(
     df: DataFrame, group: list[str], column: str, quantiles: dict[str, float]
 ) -> DataFrame:
+    """Quantiles of one column read off a running total of its value counts."""
     counts = (
         df.where(F.col(column).isNotNull())
         .groupBy(*group, column)
@@ -109,32 +110,52 @@ def _ranked_quantiles(
 def exact_quantiles(
     df: DataFrame,
     group: list[str],
-    column: str,
-    quantiles: dict[str, float],
+    cuts: dict[str, tuple[str, float]],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group; NULLs ignored, empty gives NULL."""
-    # One value map per group serves all quantiles.
-    cuts = F.percentile(column, F.array(*[F.lit(q) for q in quantiles.values()]))
+    """Exact, linearly interpolated quantiles per group; NULLs ignored, empty gives NULL.
+
+    ``cuts`` maps an output name to (column, quantile).
+    """
+    by_column: dict[str, dict[str, float]] = {}
+    for name, (column, q) in cuts.items():
+        by_column.setdefault(column, {})[name] = q
 
     def native(rows: DataFrame) -> DataFrame:
-        found = rows.groupBy(*group).agg(cuts.alias("_cuts"))
+        """One pass; one value map per group and column serves all its quantiles."""
+        found = rows.groupBy(*group).agg(
+            *[
+                F.percentile(c, F.array(*[F.lit(q) for q in named.values()])).alias(f"_{c}")
+                for c, named in by_column.items()
+            ]
+        )
         return found.select(
-            *group, *[F.col("_cuts")[i].alias(name) for i, name in enumerate(quantiles)]
+            *group,
+            *[
+                F.col(f"_{c}")[i].alias(name)
+                for c, named in by_column.items()
+                for i, name in enumerate(named)
+            ],
         )
 
     hot = hot_groups(df, group, hot_rows)
     if hot.isEmpty():
-        return native(df)
+        return native(df).select(*group, *cuts)
     if not group:
-        return _ranked_quantiles(df, group, column, quantiles)
+        parts = [_ranked_quantiles(df, group, c, named) for c, named in by_column.items()]
+        return parts[0].select(
+            *by_column[next(iter(by_column))],
+            *[p.select(n).scalar().alias(n) for p in parts[1:] for n in p.columns],
+        )
     condition = null_safe(df, hot, group)
     heavy = df.join(hot, condition, "left_semi")
     light = native(df.join(hot, condition, "left_anti"))
-    spread = _ranked_quantiles(heavy, group, column, quantiles)
-    found = hot.join(spread, null_safe(hot, spread, group), "left").select(
-        *[hot[g] for g in group], *quantiles
-    )
+    found = hot
+    for column, named in by_column.items():
+        part = _ranked_quantiles(heavy, group, column, named)
+        found = found.join(part, null_safe(found, part, group), "left").select(
+            *[found[c] for c in found.columns], *named
+        )
     return light.unionByName(found)
 
 

@@ -137,9 +137,9 @@ def silver_geolocation(raw: DataFrame, hot_rows: int = ranking.HOT_ROWS) -> Data
     key = "geolocation_zip_code_prefix"
     records = geolocation_records(raw)
     located = records.groupBy(key).agg(F.count(F.lit(1)).alias("source_location_records"))
-    for axis in ("geolocation_lat", "geolocation_lng"):
-        middle = ranking.exact_quantiles(records, [key], axis, {axis: 0.5}, hot_rows)
-        located = located.join(middle.withColumn(axis, F.round(axis, 10)), key, "left")
+    axes = ("geolocation_lat", "geolocation_lng")
+    middle = ranking.exact_quantiles(records, [key], {a: (a, 0.5) for a in axes}, hot_rows)
+    located = located.join(middle.withColumns({a: F.round(a, 10) for a in axes}), key, "left")
     for place in ("geolocation_city", "geolocation_state"):
         located = located.join(ranking.representative_mode(records, [key], place), key, "left")
     return located.select(
