@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry import query
 from registry.inputs import built, raw, silver_table
 from registry.oracle import cents, clean, ratio, sql, ts
-from tidelake.operators import acceptance, contracts, profile
+from tidelake.operators import acceptance, contracts, profile, ranking
 from tidelake.operators import quality as Q
 from tidelake.plans import rules
 from tidelake.session import scratch_path
@@ -718,15 +718,14 @@ _STAGE_LIST = "[" + ", ".join(f"'{s}'" for s in STAGES) + "]"
           case when o_orderpriority = '1-URGENT' and r = 2 then 1 else 0 end exit_code,
           o_totalprice / 1000 - 2 duration_seconds
         from (select *, row_number() over (partition by o_custkey order by o_orderkey) r
-          from orders) where r <= 6) group by 1)""",
+          from orders)) group by 1)""",
 )
 def run_acceptance(spark, sf_dir):
-    """Each customer's first orders read as the stages of one run."""
-    from pyspark.sql import Window
-
-    window = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    ordered = table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(window))
-    stages = ordered.where("r <= 6").select(
+    """Each customer's orders read as the stages of one run."""
+    ordered = ranking.occurrence_number(
+        table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], "r"
+    ).withColumn("r", F.col("r").cast("int"))
+    stages = ordered.select(
         F.col("o_custkey").cast("string").alias("run_id"),
         F.col("r").alias("stage_order"),
         F.try_element_at(F.array(*[F.lit(s) for s in STAGES]), F.col("r")).alias("stage_name"),

@@ -43,7 +43,7 @@ def fingerprint_counts(spark, sf_dir):
     return governance.run_manifest(frames).drop("content_sha256")
 
 
-_GATE_HOST, _GATE_PREFIX = "blog.ththan.example.net", "en/"
+_GATE_HOST, _GATE_PREFIX = "blog.tionsh.example.net", "es/"
 _GATE_SQL = f"""(select page_id, case when location is null and tt is null then 'TABLE_UNAVAILABLE'
     when tt is distinct from 'EXTERNAL_TABLE' then 'UNEXPECTED_TABLE_TYPE'
     when coalesce(location, '') = '' then 'MISSING_LOCATION'
@@ -53,24 +53,24 @@ _GATE_SQL = f"""(select page_id, case when location is null and tt is null then
   from (select page_id, tt, location,
       regexp_extract(location, '^[A-Za-z][A-Za-z0-9+.-]*://([^/]+)/(.+)$', 1) h,
       regexp_extract(location, '^[A-Za-z][A-Za-z0-9+.-]*://([^/]+)/(.+)$', 2) p
-    from (select page_id, case when page_id % 11 <> 0 then case when page_id % 13 = 0 then 'VIEW'
-        else 'EXTERNAL_TABLE' end end tt, case when page_id % 11 <> 0 then
-        case when page_id % 17 = 0 then '' when page_id % 19 = 0 then 'nowhere' else url end end
-        location from pages)))"""
+    from (select page_id, case when starts_with(url, 'https') then
+          case when contains(url, '?') then 'VIEW' else 'EXTERNAL_TABLE' end end tt,
+        case when starts_with(url, 'https') then case when page_id % 17 = 0 then ''
+          when page_id % 19 = 0 then 'nowhere' else url end end location from pages)))"""
 
 
 def _gate(spark, sf_dir):
-    """Pages stand in for catalogued sources; their URL is the location."""
+    """Pages stand in for sources and the https ones are catalogued; the URL is the location."""
     pages = table(spark, sf_dir, "pages").select(
         "page_id",
         F.lit("raw").alias("database_name"),
         F.concat(F.lit("t"), F.col("page_id")).alias("table_name"),
         "url",
     )
-    catalog = pages.where("page_id % 11 <> 0").select(
+    catalog = pages.where(F.startswith("url", F.lit("https"))).select(
         "database_name",
         "table_name",
-        F.expr("if(page_id % 13 = 0, 'VIEW', 'EXTERNAL_TABLE')").alias("table_type"),
+        F.expr("if(contains(url, '?'), 'VIEW', 'EXTERNAL_TABLE')").alias("table_type"),
         F.expr("case when page_id % 17 = 0 then '' when page_id % 19 = 0 then 'nowhere' else url end")
         .alias("location"),
         F.expr("if(page_id % 7 = 0, null, 'part-0')").alias("first_object"),
@@ -249,7 +249,8 @@ def eligibility(spark, sf_dir):
         || primary_action || ' with fallback ' || fallback_action || '.' rationale from plans"""),
 )
 def remediation_plans(spark, sf_dir):
-    return _plans(spark, sf_dir).withColumn("verification", F.array_join("verification", ","))
+    plans = _plans(spark, sf_dir).drop("evaluation_stage")
+    return plans.withColumn("verification", F.array_join("verification", ","))
 
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"

@@ -3,6 +3,9 @@
 A window or a ``median`` puts one group into one task. Groups up to ``hot_rows`` rows go
 that way. Larger groups are cut into ranges of the ordering columns, numbered inside each
 range, and shifted by the totals of the ranges before it, so no task holds a whole group.
+
+The group sizes are measured first, so pass a table that is cheap to read twice (a written
+one), not the end of a long plan.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions.scalar import rounded_ratio
 from tidelake.operators.joins import null_safe
-from tidelake.session import checkpoint_root
+from tidelake.session import written
 
 HOT_ROWS = 1_000_000
 
@@ -28,15 +31,14 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running total of ``weight`` inside each group, in parallel ranges.
 
-    The range number is stored by the checkpoint, so the offsets and the rows agree on
-    it even when a lost executor forces a recomputation.
+    The range number is stored with the rows, so the offsets and the rows agree on it
+    even when a lost executor forces a recomputation.
     """
-    checkpoint_root(df.sparkSession)
-    ranged = (
+    ranged = written(
         df.withColumn("_weight", weight)
         .repartitionByRange(*[F.col(g) for g in group], *order)
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint()
+        .withColumn("_range", F.spark_partition_id()),
+        "ranges",
     )
     sums = ranged.groupBy(*group, "_range").agg(F.sum("_weight").alias("_range_weight"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(
@@ -177,10 +179,9 @@ def representative_mode(df: DataFrame, group: list[str], column: str) -> DataFra
 def with_share_of_total(df: DataFrame, measure: str, name: str, places: int = 2) -> DataFrame:
     """Percentage of the grand total.
 
-    The grouped rows are checkpointed, so the total is a sum over them and not a second
+    The grouped rows are written once, so the total is a sum over them and not a second
     run of the plan that made them; read as a scalar, it needs no one-task window.
     """
-    checkpoint_root(df.sparkSession)
-    grouped = df.checkpoint()
+    grouped = written(df, "grouped")
     total = grouped.agg(F.sum(measure)).scalar()
     return grouped.withColumn(name, rounded_ratio(F.col(measure) * 100, total, places))

@@ -150,6 +150,7 @@ def remediation_plans(eligible: DataFrame) -> DataFrame:
     return eligible.where(F.col("reject_reason").isNull()).select(
         "run_key",
         "scenario_id",
+        "evaluation_stage",
         F.col("recorded_at").alias("fault_detected_at"),
         F.when(F.col("automatic"), "automatic").otherwise("manual").alias("mode"),
         "primary_action",
@@ -353,12 +354,21 @@ def append_events(events: DataFrame, path: str) -> DataFrame:
 
 # ---- recovery ------------------------------------------------------------------------
 
+RUN_STAGE = ["run_key", "evaluation_stage"]
+
+
+def _identified(decisions: DataFrame) -> DataFrame:
+    """Decisions that name their run. The others could only pile up on one join key."""
+    return decisions.where(F.length(F.btrim("run_key")) > 0)
+
 
 def check_results(plans: DataFrame, recovered: DataFrame) -> DataFrame:
     """Required checks of every plan against the policies its recovered evidence triggers."""
     policy = F.create_map(*[F.lit(v) for pair in CHECK_POLICIES.items() for v in pair])
-    after = recovered.select("run_key", F.col("triggered_policy_ids").alias("_triggered"))
-    checks = plans.join(after, "run_key", "left").withColumn(
+    after = _identified(recovered).select(
+        *RUN_STAGE, F.col("triggered_policy_ids").alias("_triggered")
+    )
+    checks = plans.join(after, RUN_STAGE, "left").withColumn(
         "check_name", F.explode("verification")
     )
     checks = checks.withColumn("policy_id", policy[F.col("check_name")])
@@ -374,10 +384,10 @@ def check_results(plans: DataFrame, recovered: DataFrame) -> DataFrame:
 def verify_recovery(plans: DataFrame, recovered: DataFrame) -> DataFrame:
     """Recovery per plan: RECOVERED with its time, or the fallback that applies.
 
-    Both inputs hold one row per run, so this is one join on the run key.
+    Both inputs hold one row per run and stage, so this is one join on that key.
     """
-    after = recovered.select(
-        "run_key",
+    after = _identified(recovered).select(
+        *RUN_STAGE,
         F.col("allow").alias("policy_allow"),
         F.col("violation_count").alias("remaining_violations"),
         F.col("triggered_policy_ids").alias("remaining_policies"),
@@ -397,7 +407,7 @@ def verify_recovery(plans: DataFrame, recovered: DataFrame) -> DataFrame:
     micros = F.unix_micros("completed_at") - F.unix_micros("fault_detected_at")
     recovered_now = F.col("verification_status") == "PASS"
     return (
-        plans.join(after, "run_key", "left")
+        plans.join(after, RUN_STAGE, "left")
         .withColumn("verification_status", status)
         .withColumns(
             {

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -30,15 +32,17 @@ def check_zone(dataset: str, df: DataFrame) -> str:
     return zone
 
 
-def _write_all(frames: dict[str, tuple[str, DataFrame]], root: str, run_id: str) -> dict:
-    """Write independent datasets at the same time; each is a Spark job of its own."""
+def _write_all(
+    builders: dict[str, tuple[str, Callable[[], DataFrame]]], root: str, run_id: str
+) -> dict[str, DataFrame]:
+    """Build and write independent datasets at the same time, each as a job of its own."""
 
-    def write(entry: tuple[str, tuple[str, DataFrame]]) -> DataFrame:
-        name, (zone, df) = entry
-        return write_dataset(df, root, zone, name, run_id)
+    def write(entry: tuple[str, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
+        name, (zone, build_one) = entry
+        return write_dataset(build_one(), root, zone, name, run_id)
 
     with ThreadPoolExecutor(max_workers=CONCURRENT_WRITES) as pool:
-        return dict(zip(frames, pool.map(write, frames.items())))
+        return dict(zip(builders, pool.map(write, builders.items())))
 
 
 def build(raw: dict[str, DataFrame], root: str, run_id: str) -> Lakehouse:
@@ -48,7 +52,9 @@ def build(raw: dict[str, DataFrame], root: str, run_id: str) -> Lakehouse:
     so it is written once instead of joining five times.
     """
     silver = _write_all(
-        {name: ("silver", df) for name, df in S.build_silver(raw).items()}, root, run_id
+        {n: ("silver", partial(make, raw[source])) for n, (source, make) in S.SILVER.items()},
+        root,
+        run_id,
     )
     items = write_dataset(
         G.item_enriched(silver), root, "gold/internal", "item_enriched", run_id
@@ -56,7 +62,12 @@ def build(raw: dict[str, DataFrame], root: str, run_id: str) -> Lakehouse:
     financials = write_dataset(
         G.order_financials(items), root, "gold/internal", "order_financials", run_id
     )
-    gold = {name: G.build_gold(name, items, financials) for name in G.GOLD}
+
+    def gold(name: str) -> DataFrame:
+        df = G.build_gold(name, items, financials)
+        check_zone(name, df)
+        return df
+
     return Lakehouse(
-        silver, _write_all({n: (check_zone(n, df), df) for n, df in gold.items()}, root, run_id)
+        silver, _write_all({n: (GOLD_ZONES[n], partial(gold, n)) for n in G.GOLD}, root, run_id)
     )

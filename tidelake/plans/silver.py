@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidelake.functions import keys
 from tidelake.functions import scalar as S
 from tidelake.operators import ranking
+from tidelake.session import written
 
 # Spelling corrections of raw column names.
 PRODUCT_RENAMES = {
@@ -135,7 +136,8 @@ def geolocation_records(raw: DataFrame) -> DataFrame:
 def silver_geolocation(raw: DataFrame, hot_rows: int = ranking.HOT_ROWS) -> DataFrame:
     """One row per postal prefix: median position, most frequent city and state."""
     key = "geolocation_zip_code_prefix"
-    records = geolocation_records(raw)
+    # Four aggregates and the size check read the records: compute them once.
+    records = written(geolocation_records(raw), "geolocation")
     located = records.groupBy(key).agg(F.count(F.lit(1)).alias("source_location_records"))
     axes = ("geolocation_lat", "geolocation_lng")
     middle = ranking.exact_quantiles(records, [key], {a: (a, 0.5) for a in axes}, hot_rows)
@@ -155,14 +157,12 @@ def silver_geolocation(raw: DataFrame, hot_rows: int = ranking.HOT_ROWS) -> Data
 def silver_reviews(raw: DataFrame, hot_rows: int = ranking.HOT_ROWS) -> DataFrame:
     """Distinct reviews; records that share all identifying fields get a number each."""
     identity = ["review_id", "order_id", "review_creation_date", "review_answer_timestamp"]
-    records = _typed(
-        raw,
-        {
-            "review_score": "bigint",
-            "review_creation_date": "timestamp",
-            "review_answer_timestamp": "timestamp",
-        },
-    )
+    types = {
+        "review_score": "bigint",
+        "review_creation_date": "timestamp",
+        "review_answer_timestamp": "timestamp",
+    }
+    records = written(_typed(raw, types), "reviews")
     order = [
         F.coalesce("review_comment_title", F.lit("")),
         F.coalesce("review_comment_message", F.lit("")),

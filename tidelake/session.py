@@ -79,6 +79,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder once and read it back.
+
+    Cuts the lineage: its readers share one computation, prune its columns, and survive
+    the loss of any executor.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few configuration rows as a table, read by the JVM from one JSON literal."""
     names = T.StructType.fromDDL(schema).names
