@@ -51,14 +51,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A scan of fewer splits than this is spread over the cores; it is at most a few files.
+FEW_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the scan has fewer splits than cores.
+    """Rows over all cores where the scan has only a few splits.
 
     A small file of one row group is read by one task, which would then do all the work
     that follows. Large tables have many splits and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    few = df.rdd.getNumPartitions() < min(cores, FEW_SPLITS)
+    return df.repartition(cores) if few else df
 
 
 def _texts(df: DataFrame, **exprs: str) -> DataFrame:
