@@ -20,17 +20,19 @@ RUNTIME_CONF = {
     # Columnar files grow several times in memory: judge a broadcast by that size, not by
     # the compressed one. AQE still broadcasts a side it has measured to be small.
     "spark.sql.sources.fileCompressionFactor": "6.0",
-    # Plans here are built from many column expressions; skip the call site of each.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Split a hot join key even where the split costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Static setting, for sessions made here: plans are built from many column expressions,
+# so the call site of each is not recorded.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 
@@ -45,7 +47,7 @@ def local_session(cores: str = "8", app: str = "tidelake", memory: str = "8g") -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
