@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelake.llm import quality_rules, simhash
+from tidelake.llm import decontamination, pieces, quality_rules, secrets, simhash
 from tidelake.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,12 +28,46 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+PIECES = "piece_bpe_32k.model"
+
+
+@query("op1_secret_scans")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(read(spark, sf_dir, "documents"), out="_spans")
+    base = F.filter("_spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(kind).alias(f"n_{kind}") for kind in secrets.KINDS[: secrets.N_BASE]]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("_spans")).alias("spans"),
+    )
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op5_benchmark_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
+
+
 @query("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality_rules.quality_rules(read(spark, sf_dir, "documents"))
     return measured.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
+@query("op10_sentencepiece")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode_documents(docs, public_tokenizers.path(PIECES))
+    return coded.drop("text")
