@@ -8,8 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontamination, pieces, quality_rules, secrets, simhash
-from tidelake.llm.common import prepare, read
+from tidelake.llm import (
+    decontamination,
+    html_text,
+    language_id,
+    licenses,
+    pieces,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    simhash,
+)
+from tidelake.llm.common import held_out, prepare, read
+from tidelake.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +64,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract_pages(read(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op5_benchmark_decontamination")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(
@@ -66,6 +83,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+@query("op7_license_scans", licenses.sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(read(spark, sf_dir, "documents"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = language_id.fit(docs.filter(~held))
+    out = language_id.predict(docs, model, out="_found")
+    return out.select("doc_id", held.alias("held_out"), "_found.*")
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(quality_classifier.measured(read(spark, sf_dir, "documents")), "features")
+    held = held_out(F.col("doc_id"), 5, 0)
+    model = quality_classifier.fit(rows, read(spark, sf_dir, "labels"), held)
+    scored = quality_classifier.score(rows, model)
+    return scored.select(
+        "doc_id",
+        held.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query("op10_sentencepiece")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
