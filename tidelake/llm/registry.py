@@ -18,6 +18,7 @@ from tidelake.llm import (
     quality_rules,
     secrets,
     simhash,
+    suffix_tree,
 )
 from tidelake.llm.common import held_out, prepare, read
 from tidelake.session import written
@@ -70,6 +71,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 @query("op5_benchmark_decontamination")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(
