@@ -281,4 +281,4 @@ def leaks(
 def keep_clean(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that leak no item."""
     leaked = found.select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, column(docs, key).eqNullSafe(F.col("_leaked")), "left_anti")
+    return docs.join(leaked, column(docs, key).eqNullSafe(leaked["_leaked"]), "left_anti")

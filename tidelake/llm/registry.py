@@ -83,7 +83,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", quality_rules.sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality_rules.quality_rules(read(spark, sf_dir, "documents"))
     return measured.select("doc_id", *quality_rules.BASE, "base_failed", "kept")

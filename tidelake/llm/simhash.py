@@ -159,11 +159,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the component's smallest: one row of each group.
 
-    Repeated rows (same id and text) leave one. A group that has no id at all leaves one row of
-    each text.
+    Repeated rows (same id and text) leave one. A row without an id goes if its group has one;
+    a group that has none leaves one row of each fingerprint.
     """
     groups = near_duplicates(docs, key, text)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = column(docs, key)
+    first = groups.filter(F.col("doc_id") == F.col("component_id"))
     first = first.select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, column(docs, key).eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates([key, text])
+    kept = docs.join(first, own == first["_first"], "left_semi").dropDuplicates([key, text])
+    nameless = groups.filter(F.col("component_id").isNull()).select("fingerprint").distinct()
+    body = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("_row"),
+                       own.alias("_key"), text_of(docs, text).alias("_text"))
+    body = body.filter("_key is null").select(
+        "_row", as_hex(fingerprints(F.col("_text").cast("binary"))).alias("fingerprint")
+    )
+    left = body.join(nameless, "fingerprint", "left_semi").dropDuplicates(["fingerprint"])
+    return kept.unionByName(left.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))

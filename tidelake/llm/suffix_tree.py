@@ -270,7 +270,7 @@ def _add_depth(tree: Tree, depth: int, keys: np.ndarray, n: np.ndarray, context_
     chance = np.maximum(n - 2, 0) / others + np.maximum(rest[at], 1) / others * parent
     gain = np.bincount(at, weights=n * np.log(chance / parent), minlength=len(context_keys))
     single = context_counts - np.bincount(at, weights=n, minlength=len(context_keys))
-    gain += single * np.log(np.maximum(rest - 1, 0.5) / np.maximum(context_counts - 1, 1))
+    gain = gain + single * np.log(np.maximum(rest - 1, 0.5) / np.maximum(context_counts - 1, 1))
     good = gain > GAIN * context_counts
     if depth > 1:
         suffix = context_keys & ((1 << BITS * (depth - 1)) - 1)
