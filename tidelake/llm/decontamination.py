@@ -8,8 +8,8 @@ slot by slot: a question whose numbers or names were changed maps each old value
 value, so a match whose values map one value to several is not consistent.
 
 A document leaks an item if at least ``LEAST_WINDOWS`` of the item's windows match, or half of
-them for an item with fewer, along one shift, and at most ``MAX_CONFLICTS`` of its slot values
-are in conflict. Windows with fewer than ``LEAST_WORDS`` literal words match too easily and are
+them for an item with fewer, along one shift, and at most ``MAX_CONFLICTS`` of the pairs of an
+old and a new value are surplus, that is beyond the first new value of an old one. Windows with fewer than ``LEAST_WORDS`` literal words match too easily and are
 not used. Items shorter than a window are matched whole, if they have ``SHORTEST`` words.
 
 Most windows of documents match nothing. A Bloom filter of fixed size (``FILTER_BITS``, so
@@ -202,8 +202,9 @@ def leaks(
     item_text: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, n_slots, n_changed, n_conflicts): one row for
-    each document and item that it leaks. ``n_changed`` counts the item's slot values that the
-    document has replaced, ``n_conflicts`` those replaced by more than one value."""
+    each document and item that it leaks. ``n_slots`` counts the pairs of slot values,
+    ``n_changed`` the item's values that the document has replaced, ``n_conflicts`` the surplus
+    pairs."""
     items = benchmark.select(
         column(benchmark, item).cast("long").alias("id"),
         text_of(benchmark, item_text).alias("text"),
@@ -250,9 +251,9 @@ def leaks(
         .agg(F.count("*").alias("n"), F.max(F.col("old") != F.col("new")).alias("changed"))
         .groupBy(*run)
         .agg(
-            F.count("*").alias("n_slots"),
+            F.sum("n").alias("n_slots"),
             F.sum(F.col("changed").cast("long")).alias("n_changed"),
-            F.sum((F.col("n") > 1).cast("long")).alias("n_conflicts"),
+            F.sum(F.col("n") - 1).alias("n_conflicts"),
         )
     )
     same = [counted[c].eqNullSafe(values[c]) for c in run]
