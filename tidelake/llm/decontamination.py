@@ -62,32 +62,40 @@ class Templates:
     """Template words of texts; what a word is, apart from its place, is remembered."""
 
     def __init__(self) -> None:
+        self.words: list[str] = []
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.words: list[str] = []
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
-        self.capital: list[bool] = []
-        self.ending: list[bool] = []
-        self._hash = np.empty(0, np.uint64)
+        self._grow(1024)
+
+    def _grow(self, size: int) -> None:
+        """Arrays of hash, kind, capital and sentence end by word, with room for ``size``."""
+        old = getattr(self, "_hash", None) if self.words else None
+        fresh = [np.zeros(size, kind) for kind in (np.uint64, np.int8, bool, bool)]
+        if old is not None:
+            for new, kept in zip(fresh, (self._hash, self._kind, self._capital, self._ending)):
+                new[: len(kept)] = kept
+        self._hash, self._kind, self._capital, self._ending = fresh
 
     def _add(self, raw: str) -> int:
         word = raw.strip(EDGES)
         low = word.lower() or raw
         if DIGITS.fullmatch(word):
             kind = NUMBER
-        elif low in UNITS or raw.strip() in ("%", "$", "€", "£"):
+        elif low in UNITS or raw in ("%", "$", "€", "£"):
             kind = UNIT
         else:
             kind = LITERAL
         at = self.index[raw] = len(self.words)
+        if at == len(self._hash):
+            self._grow(2 * at)
         self.words.append(low)
-        self.kinds.append(kind)
-        self.hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
-        self.capital.append(word[:1].isupper())
-        self.ending.append(ENDS.search(raw) is not None)
+        self._hash[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+        self._kind[at] = kind
+        self._capital[at] = word[:1].isupper()
+        self._ending[at] = ENDS.search(raw) is not None
         return at
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -99,22 +107,14 @@ class Templates:
         if not at:
             return np.empty(0, np.uint64), np.empty(0, np.int8), at
         place = np.array(at)
-        if len(self._hash) < len(self.words):
-            self._freeze()
         kinds = self._kind[place]
         begins = np.concatenate(([True], self._ending[place][:-1]))
         kinds = np.where((kinds == LITERAL) & self._capital[place] & ~begins, NAME, kinds)
         hashes = np.where(kinds == LITERAL, self._hash[place], kinds.astype(np.uint64))
         return hashes, kinds, at
 
-    def _freeze(self) -> None:
-        self._hash = np.array(self.hashes, dtype=np.uint64)
-        self._kind = np.array(self.kinds, dtype=np.int8)
-        self._capital = np.array(self.capital, dtype=bool)
-        self._ending = np.array(self.ending, dtype=bool)
-
-    def windows(self, text: str, size: int) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """(starts, hashes) of usable windows of ``size`` words; the words and kinds."""
+    def windows(self, text: str, size: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+        """(starts, hashes) of usable windows of ``size`` words; index and kind of the words."""
         hashes, kinds, at = self.of(text)
         n = len(at) - size + 1
         if n <= 0:
@@ -125,7 +125,7 @@ class Templates:
             total ^= total >> np.uint64(29)
         literal = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
         usable = np.nonzero(literal[size:] - literal[:-size] >= min(LEAST_WORDS, size))[0]
-        return usable, total[usable], [self.words[i] for i in at], kinds
+        return usable, total[usable], at, kinds
 
 
 SLOTS = pa.list_(pa.string())
@@ -156,7 +156,7 @@ def _window_rows(sizes: list[int] | None, bitmap: bytes | None):
                 for size in own:
                     if size < SHORTEST:
                         continue
-                    starts, hashes, words, kinds = templates.windows(text, size)
+                    starts, hashes, at, kinds = templates.windows(text, size)
                     if bits is not None and len(hashes):
                         hit = np.ones(len(hashes), bool)
                         for p in _positions(hashes):
@@ -166,7 +166,7 @@ def _window_rows(sizes: list[int] | None, bitmap: bytes | None):
                     n = len(starts)
                     for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist()):
                         slots = [
-                            f"{kinds[i]}:{words[i]}"
+                            f"{kinds[i]}:{templates.words[at[i]]}"
                             for i in range(s, s + size)
                             if kinds[i] != LITERAL
                         ]
