@@ -12,7 +12,7 @@ from tidelake.operators import quality as Q
 from tidelake.plans import rules
 from tidelake.session import scratch_path
 from tidelake.sources import readers
-from tidelake.sources.testdata import spread, table
+from tidelake.sources.testdata import table
 
 S_CTE = {
     "silver_orders": "s_orders",
@@ -669,7 +669,7 @@ def forbidden_public_columns(spark, sf_dir):
     failing("documents", "no_email_like_values", "(select text t from documents)", EMAIL_SQL),
     failing("documents", "no_phone_like_values", "(select text t from documents)", PHONE_SQL)))
 def pii_like_values(spark, sf_dir):
-    documents = spread(table(spark, sf_dir, "documents").select("text"))
+    documents = table(spark, sf_dir, "documents").select("text")
     return Q.pii_like_rows(documents, "documents", ["text"])
 
 

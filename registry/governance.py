@@ -11,7 +11,7 @@ from registry.oracle import sql
 from tidelake.operators import governance, policy, remediation
 from tidelake.operators.contracts import FORBIDDEN_PUBLIC_COLUMNS
 from tidelake.session import scratch_path
-from tidelake.sources.testdata import policy_inputs, spread, table
+from tidelake.sources.testdata import policy_inputs, table
 
 # ---- governance ----------------------------------------------------------------------
 
@@ -205,9 +205,13 @@ def sealed_evidence(spark, sf_dir):
 
 @query(
     "k6_checksum_manifest",
-    """select event_type, count(*) records, bit_xor(cast('0x' || substr(sha256('{"event_id":' ||
-      event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}'), 1, 15)
-      as bigint)) checksum from events group by 1""",
+    "select event_type, count(*) records, concat_ws(':', "
+    + ", ".join(
+        f"cast(sum(cast('0x' || substr(digest, {8 * i + 1}, 8) as hugeint)) as varchar)"
+        for i in range(8)
+    )
+    + """) checksum from (select event_type, sha256('{"event_id":' || event_id || ',"user_id":'
+      || user_id || ',"event_type":"' || event_type || '"}') digest from events) group by 1""",
 )
 def checksum_manifest(spark, sf_dir):
     records = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
@@ -263,7 +267,7 @@ _PHONE = r"\+?\d(?:[\s().-]*\+?\d){7,}"
       '{_PHONE}', '[phone]', 'g') text from documents""",
 )
 def redacted_documents(spark, sf_dir):
-    documents = spread(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
     return remediation.redact(documents, ["source", "n_chars"], ["text"])
 
 

@@ -13,11 +13,15 @@ def clean(expr: str) -> str:
 
 
 def ts(expr: str) -> str:
-    return f"try_cast({clean(expr)} as timestamp)"
+    text = clean(expr)
+    full = f"regexp_matches({text}, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}([ T]|$)')"
+    return f"case when {full} then try_cast({text} as timestamp) end"
 
 
 def num(expr: str, dtype: str) -> str:
-    return f"try_cast({clean(expr)} as {dtype})"
+    text = clean(expr)
+    plain = f"regexp_matches({text}, '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$')"
+    return f"case when {plain} then try_cast({text} as {dtype}) end"
 
 
 def cents(expr: str) -> str:
@@ -94,7 +98,10 @@ from part where p_type <> 'SMALL'"""
 CTES["b_geolocation"] = """
 select case when event_id % 211 = 0 then 'none' else cast(user_id as varchar) end
     geolocation_zip_code_prefix,
-  cast(cast(value as decimal(12,2)) as varchar) geolocation_lat,
+  case when event_id % 401 = 0 then '1d' when event_id % 409 = 0 then 'NaN'
+    when event_id % 419 = 0 then '0x1p3' when event_id % 421 = 0 then 'Infinity'
+    when event_id % 431 = 0 then '1e400' else cast(cast(value as decimal(12,2)) as varchar) end
+    geolocation_lat,
   cast(event_id % 360 - 180 as varchar) geolocation_lng,
   case when event_id % 3 = 0 then upper(event_type) else event_type end geolocation_city,
   case when event_id % 50 = 0 then '' else 's' || (event_id % 7) end geolocation_state
@@ -106,7 +113,8 @@ select cast(conv_id as varchar) review_id, cast(conv_id * 3 as varchar) order_id
   text review_comment_message,
   strftime(timestamp '2018-01-01 00:00:00' + to_days(cast(conv_id % 365 as int)), {STAMP})
     review_creation_date,
-  case when conv_id % 9 = 0 then ''
+  case when conv_id % 9 = 0 then '' when conv_id % 11 = 0 then '10:30:00'
+    when conv_id % 13 = 0 then '2018-01'
     else strftime(timestamp '2018-01-02 10:30:00' + to_hours(conv_id % 1000), {STAMP}) end
     review_answer_timestamp
 from conversations"""

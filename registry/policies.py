@@ -125,19 +125,21 @@ def inventory_evidence(spark, sf_dir):
 
 @query(
     "j4_definition_changes",
-    """select c.model, c.model not in (select 'part-' || p_partkey from part where p_size > 25) unapproved
+    """select coalesce(c.model, b.model) model,
+      case when b.model is null then 'added' when c.model is null then 'deleted' else 'changed' end change,
+      coalesce(c.model, b.model) not in (select 'part-' || p_partkey from part where p_size > 25) unapproved
     from (select 'part-' || p_partkey model, sha256(p_name || case when p_size % 3 = 0 then '!'
-        else '' end) d from part) c
-    left join (select 'part-' || p_partkey model, sha256(p_name) d from part where p_type <> 'PROMO') b
+        else '' end) d from part where p_partkey % 11 <> 0) c
+    full join (select 'part-' || p_partkey model, sha256(p_name) d from part where p_type <> 'PROMO') b
       on b.model = c.model
     where b.d is distinct from c.d""",
 )
 def definition_changes(spark, sf_dir):
-    """Part names stand in for definitions; some changed, some are new."""
+    """Part names stand in for definitions; some changed, some are new, some deleted."""
     parts = table(spark, sf_dir, "part")
     model = F.concat(F.lit("part-"), F.col("p_partkey")).alias("model")
     edited = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, "!").otherwise(""))
-    current = parts.select(model, F.sha2(edited, 256).alias("definition_sha256"))
+    current = parts.where("p_partkey % 11 <> 0").select(model, F.sha2(edited, 256).alias("definition_sha256"))
     baseline = parts.where("p_type <> 'PROMO'").select(
         model, F.sha2("p_name", 256).alias("definition_sha256")
     )
@@ -225,9 +227,15 @@ def freshness_evidence(spark, sf_dir):
 
 @query(
     "j7_runtime_evidence",
-    """select event_id run_id, case when event_id % 3 <> 0 and event_id % 5 <> 0 then 'PASS' else 'FAIL'
-        end pipeline_status, event_id % 4 <> 0 and event_id % 7 <> 0 canonical_unchanged,
-      event_id % 16 isolated_output_tables, event_id % 2 athena_failed_queries from events""",
+    """select run_id, case when run_id % 3 <> 0 and run_id % 5 <> 0 and lacking = '' then 'PASS'
+        else 'FAIL' end pipeline_status,
+      run_id % 13 <> 0 and run_id % 4 <> 0 and run_id % 7 <> 0 canonical_unchanged,
+      case when run_id % 17 <> 0 then run_id % 16 end isolated_output_tables,
+      case when run_id % 19 <> 0 then run_id % 2 end athena_failed_queries,
+      case when lacking <> '' then 'missing ' || lacking end reject_reason
+    from (select event_id run_id, concat_ws(', ', case when event_id % 13 = 0 then 'canonical' end,
+        case when event_id % 17 = 0 then 'inventory' end,
+        case when event_id % 19 = 0 then 'queries' end) lacking from events)""",
 )
 def runtime_evidence(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumnRenamed("event_id", "run_id")
@@ -235,12 +243,12 @@ def runtime_evidence(spark, sf_dir):
         "run_id", "if(run_id % 3 = 0, 'FAIL', 'PASS') pipeline_result",
         "run_id % 5 <> 0 pipeline_success",
     )
-    canonical = events.selectExpr(
+    canonical = events.where("run_id % 13 <> 0").selectExpr(
         "run_id", "if(run_id % 4 = 0, 'FAIL', 'PASS') canonical_result",
         "run_id % 7 = 0 canonical_changed",
     )
-    inventory = events.selectExpr("run_id", "run_id % 16 total_tables")
-    queries = events.selectExpr("run_id", "run_id % 2 failed_query_count")
+    inventory = events.where("run_id % 17 <> 0").selectExpr("run_id", "run_id % 16 total_tables")
+    queries = events.where("run_id % 19 <> 0").selectExpr("run_id", "run_id % 2 failed_query_count")
     return evidence.runtime_evidence(pipeline, canonical, inventory, queries, "run_id")
 
 

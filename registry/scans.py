@@ -8,7 +8,7 @@ from registry import query
 from registry.inputs import built, raw, silver_table
 from registry.oracle import sql
 from tidelake.plans.rules import SILVER_KEYS
-from tidelake.session import scratch_path
+from tidelake.session import scratch_path, written
 from tidelake.sources import readers, sinks
 from tidelake.sources.schemas import RAW_COLUMNS
 from tidelake.sources.testdata import RAW_TABLES, table
@@ -177,12 +177,48 @@ def run_results_source(spark, sf_dir):
     )
 
 
-@query("a8_file_integrity")
+# Table -> the integer column whose total is checked.
+_TOTALLED = {
+    "region": "r_regionkey",
+    "nation": "n_nationkey",
+    "customer": "c_custkey",
+    "supplier": "s_suppkey",
+    "part": "p_partkey",
+    "orders": "o_orderkey",
+    "lineitem": "l_orderkey",
+    "events": "event_id",
+    "documents": "doc_id",
+    "labels": "doc_id",
+    "pages": "page_id",
+    "benchmark": "item_id",
+    "conversations": "conv_id",
+}
+_FOUND = " union all ".join(
+    f"select '{n}' dataset, count(*) \"rows\", cast(sum({c}) as varchar) total from {n}"
+    for n, c in _TOTALLED.items()
+)
+
+
+@query(
+    "a8_file_integrity",
+    f"""select dataset, "rows", total, case dataset when 'part' then 'ROW_MISMATCH'
+      when 'orders' then 'TOTAL_MISMATCH' when 'pages' then 'COLUMN_MISMATCH'
+      when 'labels' then 'UNEXPECTED' else 'PASS' end status from ({_FOUND})
+    union all select 'lost', null, null, 'MISSING'""",
+)
 def file_integrity(spark, sf_dir):
-    """Whole-file digests against chunked ones; the two readers must agree on every file."""
-    found = sinks.file_digests(spark, sf_dir, "*.parquet")
-    manifest = sinks.file_digests(spark, sf_dir, "*.parquet", large_bytes=0)
-    return sinks.file_integrity(found, manifest)
+    """All tables against a stored manifest in which some rows are wrong, missing or extra."""
+    tables = {n: (table(spark, sf_dir, n), c) for n, c in _TOTALLED.items()}
+    found = sinks.table_totals(tables)
+    wrong = found.where("dataset <> 'labels'").select(
+        "dataset",
+        F.expr("rows + if(dataset = 'part', 1, 0)").alias("rows"),
+        F.expr("columns - if(dataset = 'pages', 1, 0)").alias("columns"),
+        F.expr("if(dataset = 'orders', concat(total, '0'), total)").alias("total"),
+    )
+    lost = found.where("dataset = 'region'").withColumn("dataset", F.lit("lost"))
+    manifest = written(wrong.unionByName(lost), "stored-manifest")
+    return sinks.table_integrity(found, manifest)
 
 
 _META = " union all ".join(

@@ -244,3 +244,13 @@ def test_silver_validation_finds_the_given_faults(spark, sf):
     assert ("silver_order_items", "primary_key_unique") in failed
     assert ("silver_reviews", "review_score_between_1_and_5") in failed
     assert ("silver_orders", "customer_foreign_key_valid") not in failed
+
+
+def test_checksum_manifest_counts_repeats(spark):
+    def manifest(rows):
+        sealed = spark.createDataFrame(rows, "k string, sha256 string")
+        return governance.checksum_manifest(sealed, "k").first()["checksum"]
+
+    a, b = "a" * 64, "a" * 63 + "b"
+    assert manifest([("k", a)] * 2) != manifest([("k", b)] * 2)
+    assert manifest([("k", a), ("k", b)]) == manifest([("k", b), ("k", a)])

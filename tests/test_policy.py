@@ -415,3 +415,30 @@ def test_last_verified_version_comes_back(spark, tmp_path):
     result = remediation.rollback(spark, root, "d", 3).first()
     assert tuple(result) == ("d", 1, 2, True)
     assert remediation.last_verified(spark, root, "d")["version"] == 3
+
+
+def test_deleted_definitions_are_changes(spark):
+    schema = "model string, definition_sha256 string"
+    old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], schema)
+    new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], schema)
+    approved = spark.createDataFrame([("c",)], "model string")
+    rows = evidence.definition_changes(old, new, approved).collect()
+    assert {tuple(r) for r in rows} == {
+        ("b", "changed", True), ("c", "deleted", False), ("d", "added", True),
+    }
+
+
+def test_a_run_without_an_input_is_rejected(spark):
+    pipeline = spark.createDataFrame([(1, "PASS", True), (2, "PASS", True)],
+                                     "run long, pipeline_result string, pipeline_success boolean")
+    canonical = spark.createDataFrame([(1, "PASS", False)],
+                                      "run long, canonical_result string, canonical_changed boolean")
+    tables = spark.createDataFrame([(1, 3), (2, 3)], "run long, total_tables long")
+    queries = spark.createDataFrame([(1, 0), (3, 0)], "run long, failed_query_count long")
+    rows = evidence.runtime_evidence(pipeline, canonical, tables, queries, "run").collect()
+    got = {r["run"]: (r["pipeline_status"], r["reject_reason"]) for r in rows}
+    assert got == {
+        1: ("PASS", None),
+        2: ("FAIL", "missing canonical, queries"),
+        3: ("FAIL", "missing pipeline, canonical, inventory"),
+    }

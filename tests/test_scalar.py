@@ -104,3 +104,18 @@ def test_masking_matches_the_plain_patterns(spark):
 
 def test_identifier(spark):
     assert values(spark, ["a b/c", "--", "x."], S.identifier("t")) == ["a-b-c", None, "x."]
+
+
+def test_typing_takes_only_full_dates_and_plain_numbers(spark):
+    texts = ["10:30:00", "T10:30", "2018", "2018-01", "2018-01-02", " 2018-01-02 03:04:05 ", "x"]
+    found = values(spark, texts, S.parse_timestamp("t"))
+    assert [f is not None for f in found] == [False] * 4 + [True, True, False]
+    texts = ["1d", "1f", "0x1p3", "NaN", "Infinity", "1e400", "1.5", "-2", "+.5e1", "1."]
+    found = values(spark, texts, S.to_number("t", "double"))
+    assert found == [None] * 6 + [1.5, -2.0, 5.0, 1.0]
+
+
+def test_money_beyond_its_type_is_null(spark):
+    df = spark.createDataFrame([(1e300,), (2.5,), (None,)], "v double")
+    got = [r[0] for r in df.select(S.money("v")).collect()]
+    assert got[0] is None and float(got[1]) == 2.5 and got[2] is None

@@ -1,9 +1,11 @@
 """Hot groups take another way to the same result; results do not depend on partitions."""
 
+import math
 import random
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.operators import profile, ranking
@@ -30,17 +32,14 @@ def collected(df):
 
 def test_occurrence_number_same_with_hot_groups(skewed):
     args = (["key"], ["value", "id"], "position")
-    plain = ranking.occurrence_number(skewed, *args, hot_rows=10**9)
-    spread = ranking.occurrence_number(skewed, *args, hot_rows=100)
-    assert collected(plain) == collected(spread)
+    window = Window.partitionBy("key").orderBy("value", "id")
+    plain = skewed.withColumn("position", F.row_number().over(window).cast("bigint"))
+    assert collected(ranking.occurrence_number(skewed, *args)) == collected(plain)
 
 
 def test_quantiles_same_with_hot_groups_and_brute_force(skewed):
     cuts = {"low": ("value", 0.25), "mid": ("value", 0.5), "other": ("id", 0.9)}
-    plain = ranking.exact_quantiles(skewed, ["key"], cuts, hot_rows=10**9)
-    spread = ranking.exact_quantiles(skewed, ["key"], cuts, hot_rows=100)
-    rounded = [F.round(c, 9).alias(c) for c in cuts]
-    assert collected(plain.select("key", *rounded)) == collected(spread.select("key", *rounded))
+    spread = ranking.exact_quantiles(skewed, ["key"], cuts)
     groups = {}
     for row in skewed.collect():
         groups.setdefault(row["key"], []).append(row["value"])
@@ -49,10 +48,39 @@ def test_quantiles_same_with_hot_groups_and_brute_force(skewed):
     assert got == {k: statistics.median(v) if v else None for k, v in known.items()}
 
 
-def test_global_quantiles_of_a_large_column(skewed):
-    plain = profile.numeric_summary(skewed, "d", ["value"])
-    spread = profile.numeric_summary(skewed, "d", ["value"], hot_rows=100)
-    assert collected(plain) == collected(spread)
+def test_quantiles_of_random_doubles_do_not_depend_on_partitions(spark):
+    """No rounding: the same formula for every group size and every partitioning."""
+    draw = random.Random(8)
+    rows = [(draw.randint(0, 40), draw.gauss(0, 1e6)) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "key int, value double")
+    cuts = {"low": ("value", 0.25), "mid": ("value", 0.5), "high": ("value", 0.9)}
+    found = [
+        collected(ranking.exact_quantiles(df.repartition(n), ["key"], cuts)) for n in (1, 5, 16)
+    ]
+    assert found[0] == found[1] == found[2]
+    groups = {}
+    for key, value in rows:
+        groups.setdefault(key, []).append(value)
+
+    def cut(values, q):
+        values = sorted(values)
+        at = (len(values) - 1) * q
+        low = values[math.floor(at)]
+        return low + (values[math.ceil(at)] - low) * (at - math.floor(at))
+
+    assert found[0] == collected(
+        spark.createDataFrame(
+            [(k, *[cut(v, q) for _, q in cuts.values()]) for k, v in groups.items()],
+            "key int, low double, mid double, high double",
+        )
+    )
+
+
+def test_global_summary(skewed):
+    row = profile.numeric_summary(skewed, "d", ["value", "id"]).where("column_name = 'value'").first()
+    values = sorted(r["value"] for r in skewed.collect() if r["value"] is not None)
+    assert row["value_count"] == len(values)
+    assert row[[c for c in row.asDict() if "50" in c or "median" in c][0]] == statistics.median(values)
 
 
 def test_mode_tie_goes_to_smallest_and_nulls_do_not_count(spark):
@@ -61,13 +89,13 @@ def test_mode_tie_goes_to_smallest_and_nulls_do_not_count(spark):
     assert collected(found) == [("x", "a")]
 
 
-def test_reviews_and_geolocation_same_with_hot_groups(spark, sf):
+def test_reviews_and_geolocation_do_not_depend_on_partitions(spark, sf):
     raw = raw_tables(spark, sf)
     for build, table in (
         (silver.silver_reviews, "order_reviews"),
         (silver.silver_geolocation, "geolocation"),
     ):
-        assert collected(build(raw[table])) == collected(build(raw[table], hot_rows=3))
+        assert collected(build(raw[table])) == collected(build(raw[table].repartition(13)))
 
 
 @pytest.mark.parametrize("name", sorted(gold.GOLD))

@@ -1,7 +1,5 @@
 """Readers and writers: exact text, refusals, run-unique paths, snapshots, files."""
 
-import hashlib
-
 import pytest
 from pyspark.errors import AnalysisException
 
@@ -94,19 +92,28 @@ def test_fingerprint_sees_values_and_repeats_not_order(spark):
     assert digest(rows, 1) != digest([(1, "a"), (2, "b"), (2, "c")], 1)
 
 
-def test_file_digests_small_and_large_agree_with_hashlib(spark, tmp_path):
-    files = {"a.bin": b"x" * 1000, "b.bin": b"y" * 50000}
-    for name, content in files.items():
-        (tmp_path / name).write_bytes(content)
-    found = sinks.file_digests(spark, str(tmp_path), "*.bin", large_bytes=2000)
-    got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"]) for r in found.collect()}
-    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
-    manifest = found.where("length > 2000").unionByName(
-        found.where("length < 2000").selectExpr("path", "length", "'0' sha256")
-    )
-    states = sinks.file_integrity(found, manifest.unionByName(
-        found.limit(1).selectExpr("'gone' path", "length", "sha256"))).collect()
-    assert sorted(r["status"] for r in states) == ["DIGEST_MISMATCH", "MISSING", "PASS"]
+def test_fingerprint_sees_where_a_null_stands(spark):
+    def digest(rows):
+        df = spark.createDataFrame(rows, "x string, y string")
+        return sinks.content_hash(df).first()["content_sha256"]
+
+    assert digest([(None, "x")]) != digest([("x", None)])
+    assert digest([("a", "a")] * 2) != digest([("b", "b")] * 2)
+
+
+def test_table_integrity_names_every_fault(spark):
+    schema = "dataset string, rows long, columns long, total string"
+    found = spark.createDataFrame(
+        [("a", 1, 1, "1"), ("b", 1, 1, "1"), ("c", 1, 1, "1"), ("d", 1, 1, "1"), ("e", 0, 1, None),
+         ("new", 1, 1, "1")], schema)
+    manifest = spark.createDataFrame(
+        [("a", 1, 1, "1"), ("b", 2, 1, "1"), ("c", 1, 2, "1"), ("d", 1, 1, "2"), ("e", 0, 1, None),
+         ("gone", 1, 1, "1")], schema)
+    got = {r["dataset"]: r["status"] for r in sinks.table_integrity(found, manifest).collect()}
+    assert got == {
+        "a": "PASS", "b": "ROW_MISMATCH", "c": "COLUMN_MISMATCH", "d": "TOTAL_MISMATCH",
+        "e": "PASS", "new": "UNEXPECTED", "gone": "MISSING",
+    }
 
 
 def test_run_results_document(spark, tmp_path):

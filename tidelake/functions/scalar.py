@@ -14,6 +14,9 @@ CONSENT_FALSE = ("false", "no", "0")
 
 MONEY = "decimal(18,2)"
 
+FULL_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T]|$)"
+DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -25,13 +28,18 @@ def clean_string(value: Column | str) -> Column:
 
 
 def parse_timestamp(value: Column | str) -> Column:
-    """Cleaned text to a UTC timestamp; unreadable text becomes NULL."""
-    return clean_string(value).try_cast("timestamp")
+    """Cleaned text to a UTC timestamp; text that does not begin with a full date is NULL."""
+    text = clean_string(value)
+    return F.when(text.rlike(FULL_DATE), text.try_cast("timestamp"))
 
 
 def to_number(value: Column | str, dtype: str) -> Column:
-    """Cleaned text to ``dtype``; unreadable text becomes NULL."""
-    return clean_string(value).try_cast(dtype)
+    """Cleaned text to ``dtype``; what is not a plain finite decimal number becomes NULL."""
+    text = clean_string(value)
+    number = F.when(text.rlike(DECIMAL), text.try_cast(dtype))
+    if dtype in ("double", "float"):
+        return F.when(F.abs(number) < F.lit(float("inf")), number)
+    return number
 
 
 def consent(value: Column | str) -> Column:
@@ -61,8 +69,11 @@ def parse_iso_utc(value: Column | str) -> Column:
 
 
 def money(value: Column | str) -> Column:
-    """Exact decimal for summing: the result does not depend on row order."""
-    return _col(value).cast(MONEY)
+    """Exact decimal for summing: the result does not depend on row order.
+
+    An amount beyond the type is NULL, like unreadable text, and does not end the job.
+    """
+    return _col(value).try_cast(MONEY)
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:

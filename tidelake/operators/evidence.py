@@ -83,15 +83,19 @@ def inventory_evidence(expected: DataFrame, found: DataFrame, required: list[str
 
 
 def definition_changes(baseline: DataFrame, current: DataFrame, approved: DataFrame) -> DataFrame:
-    """Changed or new definitions and whether each is an approved model."""
+    """Changed, new and deleted definitions and whether each is an approved model."""
     b, c = baseline.alias("b"), current.alias("c")
-    changed = c.join(b, F.col("b.model") == F.col("c.model"), "left").where(
-        ~F.col("b.definition_sha256").eqNullSafe(F.col("c.definition_sha256"))
-    )
-    names = changed.select(F.col("c.model").alias("model")).distinct()
+    old, new = F.col("b.model"), F.col("c.model")
+    changed = c.join(b, old == new, "full_outer").where(
+        old.isNull()
+        | new.isNull()
+        | ~F.col("b.definition_sha256").eqNullSafe(F.col("c.definition_sha256"))
+    )
+    kind = F.when(old.isNull(), "added").when(new.isNull(), "deleted").otherwise("changed")
+    names = changed.select(F.coalesce(new, old).alias("model"), kind.alias("change")).distinct()
     listed = approved.select(F.col("model").alias("approved_model")).distinct()
     return names.join(listed, names["model"] == listed["approved_model"], "left").select(
-        "model", F.col("approved_model").isNull().alias("unapproved")
+        "model", "change", F.col("approved_model").isNull().alias("unapproved")
     )
 
 
@@ -165,18 +169,26 @@ def freshness_evidence(control: DataFrame, *by: str) -> DataFrame:
 def runtime_evidence(
     pipeline: DataFrame, canonical: DataFrame, inventory: DataFrame, queries: DataFrame, key: str
 ) -> DataFrame:
-    """Four run inputs merged by run; all four are required."""
-    joined = (
-        pipeline.join(canonical, key).join(inventory, key).join(queries, key)
+    """Four run inputs merged by run; a run that lacks one has a reject reason and FAIL."""
+    sides = {"pipeline": pipeline, "canonical": canonical, "inventory": inventory, "queries": queries}
+    joined = None
+    for name, side in sides.items():
+        side = side.withColumn(f"_has_{name}", F.lit(True))
+        joined = side if joined is None else joined.join(side, key, "full_outer")
+    lacking = F.concat_ws(
+        ", ", *[F.when(F.col(f"_has_{n}").isNull(), F.lit(n)) for n in sides]
     )
     passed = (F.col("pipeline_result") == "PASS") & F.col("pipeline_success")
     unchanged = (F.col("canonical_result") == "PASS") & ~F.col("canonical_changed")
     return joined.select(
         key,
-        F.when(F.coalesce(passed, F.lit(False)), "PASS").otherwise("FAIL").alias("pipeline_status"),
+        F.when(F.coalesce(passed, F.lit(False)) & (lacking == ""), "PASS")
+        .otherwise("FAIL")
+        .alias("pipeline_status"),
         F.coalesce(unchanged, F.lit(False)).alias("canonical_unchanged"),
         F.col("total_tables").alias("isolated_output_tables"),
         F.col("failed_query_count").alias("athena_failed_queries"),
+        F.when(lacking != "", F.concat(F.lit("missing "), lacking)).alias("reject_reason"),
     )
 
 

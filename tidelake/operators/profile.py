@@ -130,41 +130,21 @@ def _moments(name: str) -> list:
 
 
 def numeric_summary(
-    df: DataFrame,
-    dataset: str,
-    columns: list[str],
-    places: int = 4,
-    hot_rows: int = ranking.HOT_ROWS,
+    df: DataFrame, dataset: str, columns: list[str], places: int = 4
 ) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of numeric columns.
-
-    Up to ``hot_rows`` rows, all figures of all columns come from one aggregate; above,
-    the quartiles are read from a distributed ranking of the values.
-    """
+    """Count, mean, sample deviation, extremes and exact quartiles of numeric columns."""
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if numbers.count() <= hot_rows:
-        rows = numbers.agg(
-            *[
-                F.struct(
-                    *_moments(c),
-                    F.percentile(c, F.array(*map(F.lit, QUARTILES.values()))).alias("q"),
-                ).alias(c)
-                for c in columns
-            ]
-        )
-        pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("f")) for c in columns]
-        figures = rows.select(F.explode(F.array(*pairs)).alias("r")).select("r.column_name", "r.f.*")
-        figures = figures.withColumns({n: F.col("q")[i] for i, n in enumerate(QUARTILES)})
-    else:
-        parts = []
-        for c in columns:
-            cuts = {name: (c, q) for name, q in QUARTILES.items()}
-            quartiles = ranking.exact_quantiles(numbers.select(c), [], cuts, hot_rows)
-            keyed = quartiles.withColumn("column_name", F.lit(c))
-            parts.append(
-                numbers.agg(*_moments(c)).withColumn("column_name", F.lit(c)).join(keyed, "column_name")
-            )
-        figures = union_all(parts)
+    cuts = {f"{n}_{c}": (c, q) for c in columns for n, q in QUARTILES.items()}
+    found = ranking.exact_quantiles(numbers, [], cuts)
+    moments = numbers.agg(*[F.struct(*_moments(c)).alias(c) for c in columns])
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("f")) for c in columns]
+    figures = moments.select(F.explode(F.array(*pairs)).alias("r")).select("r.column_name", "r.f.*")
+    quartiles = [
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}_{c}").alias(n) for n in QUARTILES])
+        for c in columns
+    ]
+    laid = found.select(F.inline(F.array(*quartiles)))
+    figures = figures.join(laid, "column_name", "left")
     return figures.select(
         F.lit(dataset).alias("dataset"),
         "column_name",

@@ -1,11 +1,8 @@
 """Row numbers, running totals, medians and modes that survive a hot group.
 
-A window or a ``median`` puts one group into one task. Groups up to ``hot_rows`` rows go
-that way. Larger groups are cut into ranges of the ordering columns, numbered inside each
-range, and shifted by the totals of the ranges before it, so no task holds a whole group.
-
-The group sizes are measured first, so pass a table that is cheap to read twice (a written
-one), not the end of a long plan.
+A window or a ``median`` puts one group into one task. Here rows are cut into ranges of the
+group and ordering columns, numbered inside each range, and shifted by the totals of the ranges
+before it, so no task holds a whole group. Groups of every size go the same way.
 """
 
 from __future__ import annotations
@@ -17,15 +14,6 @@ from tidelake.functions.scalar import rounded_ratio
 from tidelake.operators.joins import null_safe
 from tidelake.session import written
 
-HOT_ROWS = 1_000_000
-
-
-def hot_groups(df: DataFrame, group: list[str], hot_rows: int) -> DataFrame:
-    """Groups above the limit: at most rows / hot_rows of them."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    return sizes.where(F.col("_rows") > hot_rows).drop("_rows")
-
-
 def running_total(
     df: DataFrame, group: list[str], order: list[str | Column], weight: Column, name: str
 ) -> DataFrame:
@@ -58,107 +46,60 @@ def running_total(
 
 
 def occurrence_number(
-    df: DataFrame,
-    group: list[str],
-    order: list[str | Column],
-    name: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, group: list[str], order: list[str | Column], name: str
 ) -> DataFrame:
     """1-based position of each row inside its group."""
-    window = Window.partitionBy(*group).orderBy(*order)
-
-    def numbered(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(name, F.row_number().over(window).cast("bigint"))
-
-    hot = hot_groups(df, group, hot_rows)
-    if hot.isEmpty():
-        return numbered(df)
-    condition = null_safe(df, hot, group)
-    heavy = df.join(hot, condition, "left_semi")
-    light = df.join(hot, condition, "left_anti")
-    spread = running_total(heavy, group, order, F.lit(1).cast("bigint"), name)
-    return numbered(light).unionByName(spread)
-
-
-def _ranked_quantiles(
-    df: DataFrame, group: list[str], column: str, quantiles: dict[str, float]
-) -> DataFrame:
-    """Quantiles of one column read off a running total of its value counts."""
-    counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*group, column)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = running_total(counts, group, [column], F.col("_n"), "_upto")
-    if group:
-        totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
-        rows = ranked.join(totals, null_safe(ranked, totals, group)).select(
-            *[ranked[c] for c in ranked.columns], "_total"
-        )
-    else:
-        rows = ranked.withColumn("_total", counts.agg(F.sum("_n")).scalar())
-    aggregates = []
-    for name, q in quantiles.items():
-        position = (F.col("_total") - 1) * F.lit(q)
-        low, high = F.floor(position) + 1, F.ceil(position) + 1
-        first = F.col("_upto") - F.col("_n") + 1
-        at_low = F.max(F.when(low.between(first, F.col("_upto")), F.col(column)))
-        at_high = F.max(F.when(high.between(first, F.col("_upto")), F.col(column)))
-        share = F.max(position - F.floor(position))
-        aggregates.append((at_low + (at_high - at_low) * share).alias(name))
-    return rows.groupBy(*group).agg(*aggregates)
+    return running_total(df, group, order, F.lit(1).cast("bigint"), name)
 
 
 def exact_quantiles(
-    df: DataFrame,
-    group: list[str],
-    cuts: dict[str, tuple[str, float]],
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, group: list[str], cuts: dict[str, tuple[str, float]]
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group; NULLs ignored, empty gives NULL.
 
-    ``cuts`` maps an output name to (column, quantile).
+    ``cuts`` maps an output name to (column, quantile). The values of all columns are counted
+    in one long table, and the quantiles are read off the running totals of the counts. Between
+    two neighbouring values low and high a share s gives low + (high - low) * s.
     """
-    by_column: dict[str, dict[str, float]] = {}
+    columns = sorted({column for column, _ in cuts.values()})
+    long = df.select(
+        *group,
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
+                    for c in columns
+                ]
+            )
+        ).alias("_cell"),
+    ).select(*group, F.col("_cell.c").alias("_column"), F.col("_cell.v").alias("_value"))
+    keyed = [*group, "_column"]
+    # A NULL value keeps its group; it counts as no row.
+    counts = written(
+        long.groupBy(*keyed, "_value").agg(F.count("_value").alias("_n")), "value-counts"
+    )
+    ranked = running_total(counts, keyed, ["_value"], F.col("_n"), "_upto")
+    totals = written(counts.groupBy(*keyed).agg(F.sum("_n").alias("_total")), "value-totals")
+    rows = ranked.join(totals, null_safe(ranked, totals, keyed)).select(
+        *[ranked[c] for c in ranked.columns], "_total"
+    )
+    first = F.col("_upto") - F.col("_n") + 1
+    ends = []
     for name, (column, q) in cuts.items():
-        by_column.setdefault(column, {})[name] = q
-
-    def native(rows: DataFrame) -> DataFrame:
-        """One pass; one value map per group and column serves all its quantiles."""
-        found = rows.groupBy(*group).agg(
-            *[
-                F.percentile(c, F.array(*[F.lit(q) for q in named.values()])).alias(f"_{c}")
-                for c, named in by_column.items()
-            ]
-        )
-        return found.select(
-            *group,
-            *[
-                F.col(f"_{c}")[i].alias(name)
-                for c, named in by_column.items()
-                for i, name in enumerate(named)
-            ],
-        )
-
-    hot = hot_groups(df, group, hot_rows)
-    if hot.isEmpty():
-        return native(df).select(*group, *cuts)
-    if not group:
-        parts = [_ranked_quantiles(df, group, c, named) for c, named in by_column.items()]
-        return parts[0].select(
-            *by_column[next(iter(by_column))],
-            *[p.select(n).scalar().alias(n) for p in parts[1:] for n in p.columns],
-        )
-    condition = null_safe(df, hot, group)
-    heavy = df.join(hot, condition, "left_semi")
-    light = native(df.join(hot, condition, "left_anti"))
-    found = hot
-    for column, named in by_column.items():
-        part = _ranked_quantiles(heavy, group, column, named)
-        found = found.join(part, null_safe(found, part, group), "left").select(
-            *[found[c] for c in found.columns], *named
-        )
-    return light.unionByName(found)
+        position = (F.col("_total") - 1) * F.lit(q)
+        own = (F.col("_column") == column) & (F.col("_n") > 0)
+        low, high = F.floor(position) + 1, F.ceil(position) + 1
+        for end, at in (("low", low), ("high", high)):
+            hit = own & at.between(first, F.col("_upto"))
+            ends.append(F.max(F.when(hit, F.col("_value"))).alias(f"_{end}_{name}"))
+        ends.append(F.max(F.when(own, position - F.floor(position))).alias(f"_share_{name}"))
+    found = rows.groupBy(*group).agg(*ends)
+
+    def between(name: str) -> Column:
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        return low + (high - low) * F.col(f"_share_{name}")
+
+    return found.select(*group, *[between(name).alias(name) for name in cuts])
 
 
 def representative_mode(df: DataFrame, group: list[str], column: str) -> DataFrame:

@@ -346,8 +346,9 @@ def append_events(events: DataFrame, path: str) -> DataFrame:
     try:
         existing = spark.read.schema(events.schema).parquet(path).select("quarantine_event_id")
         new = new.join(existing, "quarantine_event_id", "left_anti").select(*events.columns)
-    except AnalysisException:
-        pass  # first append: there is no table yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # only a first append may find no table
     new.write.mode("append").parquet(path)
     return spark.read.schema(events.schema).parquet(path)
 

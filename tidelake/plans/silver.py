@@ -133,14 +133,14 @@ def geolocation_records(raw: DataFrame) -> DataFrame:
     )
 
 
-def silver_geolocation(raw: DataFrame, hot_rows: int = ranking.HOT_ROWS) -> DataFrame:
+def silver_geolocation(raw: DataFrame) -> DataFrame:
     """One row per postal prefix: median position, most frequent city and state."""
     key = "geolocation_zip_code_prefix"
-    # Four aggregates and the size check read the records: compute them once.
+    # Four aggregates read the records: compute them once.
     records = written(geolocation_records(raw), "geolocation")
     located = records.groupBy(key).agg(F.count(F.lit(1)).alias("source_location_records"))
     axes = ("geolocation_lat", "geolocation_lng")
-    middle = ranking.exact_quantiles(records, [key], {a: (a, 0.5) for a in axes}, hot_rows)
+    middle = ranking.exact_quantiles(records, [key], {a: (a, 0.5) for a in axes})
     located = located.join(middle.withColumns({a: F.round(a, 10) for a in axes}), key, "left")
     for place in ("geolocation_city", "geolocation_state"):
         located = located.join(ranking.representative_mode(records, [key], place), key, "left")
@@ -154,7 +154,7 @@ def silver_geolocation(raw: DataFrame, hot_rows: int = ranking.HOT_ROWS) -> Data
     )
 
 
-def silver_reviews(raw: DataFrame, hot_rows: int = ranking.HOT_ROWS) -> DataFrame:
+def silver_reviews(raw: DataFrame) -> DataFrame:
     """Distinct reviews; records that share all identifying fields get a number each."""
     identity = ["review_id", "order_id", "review_creation_date", "review_answer_timestamp"]
     types = {
@@ -168,7 +168,7 @@ def silver_reviews(raw: DataFrame, hot_rows: int = ranking.HOT_ROWS) -> DataFram
         F.coalesce("review_comment_message", F.lit("")),
         F.coalesce("review_score", F.lit(-1)),
     ]
-    numbered = ranking.occurrence_number(records, identity, order, "review_occurrence", hot_rows)
+    numbered = ranking.occurrence_number(records, identity, order, "review_occurrence")
     return numbered.select(
         keys.review_key(*identity, "review_occurrence").alias("review_record_id"), *numbered.columns
     )

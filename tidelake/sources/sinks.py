@@ -1,17 +1,12 @@
-"""Writers: zone paths, dataset manifests, snapshots and file integrity."""
+"""Writers: zone paths, dataset manifests, snapshots and table integrity."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ZONES = ("silver", "gold/internal", "gold/public", "quarantine")
-READ_CHUNK = 8 * 1024 * 1024
-# A row of the binary reader holds one whole file; larger files are read in chunks.
-LARGE_FILE_BYTES = 512 * 1024 * 1024
 
 
 def zone_path(root: str, zone: str, dataset: str, run_id: str) -> str:
@@ -29,23 +24,28 @@ def write_dataset(df: DataFrame, root: str, zone: str, dataset: str, run_id: str
     return written
 
 
-def row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(c) for c in df.columns])
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two independent 64-bit hashes of a row; a NULL counts with its position."""
+    cells = [part for c in df.columns for part in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(seed), *cells) for seed in ("first", "second")]
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content fingerprint: equal for the same rows under any partitioning."""
-    hashed = df.select(row_hash(df).alias("h"))
+    first, second = row_hashes(df)
+    hashed = df.select(first.alias("a"), second.alias("b"))
     return hashed.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.bit_xor("h").alias("hash_xor"),
-        F.sum(F.col("h").cast("decimal(38,0)")).alias("hash_sum"),
+        *[
+            F.sum(F.col(c).cast("decimal(38,0)")).alias(f"hash_sum_{c}")
+            for c in ("a", "b")
+        ],
     ).withColumn("column_count", F.lit(len(df.columns)).cast("bigint"))
 
 
 def content_hash(df: DataFrame) -> DataFrame:
     """Fingerprint as one SHA-256, with the column names in it."""
-    parts = [F.col(c).cast("string") for c in ("row_count", "hash_xor", "hash_sum")]
+    parts = [F.col(c).cast("string") for c in ("row_count", "hash_sum_a", "hash_sum_b")]
     digest = F.sha2(
         F.concat_ws("|", F.lit(",".join(df.columns)), *[F.coalesce(p, F.lit("")) for p in parts]),
         256,
@@ -170,53 +170,45 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def _chunked_digests(batches):
-    """Stream each file of a batch through SHA-256 without holding it whole."""
-    from pyarrow import fs
-
-    for batch in batches:
-        digests = []
-        for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(path)
-            digest = hashlib.sha256()
-            with system.open_input_stream(inner) as stream:
-                while chunk := stream.read(READ_CHUNK):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield batch.assign(sha256=digests)[["path", "length", "sha256"]]
+def table_totals(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Rows, columns and the exact total of one integer column, one row per table."""
+    parts = [
+        df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(F.col(total).cast("decimal(38,0)")).cast("string").alias("total"),
+        ).select(
+            F.lit(name).alias("dataset"),
+            "rows",
+            F.lit(len(df.columns)).cast("bigint").alias("columns"),
+            "total",
+        )
+        for name, (df, total) in tables.items()
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
 
 
-def file_digests(
-    spark: SparkSession, path: str, pattern: str = "*", large_bytes: int = LARGE_FILE_BYTES
-) -> DataFrame:
-    """Size and SHA-256 of every file; one task per file for the large ones."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    files = files.option("recursiveFileLookup", "true").load(path)
-    small = files.where(F.col("length") <= large_bytes).select(
-        "path", "length", F.sha2("content", 256).alias("sha256")
-    )
-    large = list_files(spark, path, pattern).where(F.col("length") > large_bytes)
-    streamed = large.select("path", "length").repartition("path").mapInPandas(
-        _chunked_digests, "path string, length bigint, sha256 string"
-    )
-    return small.unionByName(streamed)
+def table_integrity(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Measured tables against a stored manifest: missing, unexpected, or which figure differs."""
+    f, m = found.alias("f"), manifest.alias("m")
+    joined = f.join(m, F.col("f.dataset") == F.col("m.dataset"), "full_outer")
 
+    def differs(name: str) -> Column:
+        return ~F.col(f"f.{name}").eqNullSafe(F.col(f"m.{name}"))
 
-def file_integrity(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Found files against manifest rows: missing, unexpected, size and digest."""
-    joined = found.alias("f").join(
-        manifest.alias("m"), F.col("f.path") == F.col("m.path"), "full_outer"
-    )
     status = (
-        F.when(F.col("f.path").isNull(), "MISSING")
-        .when(F.col("m.path").isNull(), "UNEXPECTED")
-        .when(F.col("f.length") != F.col("m.length"), "SIZE_MISMATCH")
-        .when(F.col("f.sha256") != F.col("m.sha256"), "DIGEST_MISMATCH")
+        F.when(F.col("f.dataset").isNull(), "MISSING")
+        .when(F.col("m.dataset").isNull(), "UNEXPECTED")
+        .when(differs("columns"), "COLUMN_MISMATCH")
+        .when(differs("rows"), "ROW_MISMATCH")
+        .when(differs("total"), "TOTAL_MISMATCH")
         .otherwise("PASS")
     )
     return joined.select(
-        F.coalesce("f.path", "m.path").alias("path"),
-        F.col("f.length").alias("length"),
-        F.col("f.sha256").alias("sha256"),
+        F.coalesce("f.dataset", "m.dataset").alias("dataset"),
+        F.col("f.rows").alias("rows"),
+        F.col("f.total").alias("total"),
         status.alias("status"),
     )

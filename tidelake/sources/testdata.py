@@ -51,21 +51,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-# A scan of fewer splits than this is spread over the cores; it is at most a few files.
-FEW_SPLITS = 8
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the scan has only a few splits.
-
-    A small file of one row group is read by one task, which would then do all the work
-    that follows. Large tables have many splits and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df.rdd.getNumPartitions() < min(cores, FEW_SPLITS)
-    return df.repartition(cores) if few else df
-
-
 def _texts(df: DataFrame, **exprs: str) -> DataFrame:
     return df.select(*[F.expr(e).cast("string").alias(n) for n, e in exprs.items()])
 
@@ -106,7 +91,7 @@ def raw_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_tax",
     )
     return _texts(
-        spread(lines),
+        lines,
         order_id="l_orderkey",
         order_item_id="l_linenumber",
         product_id="l_partkey",
@@ -194,7 +179,11 @@ def raw_geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
         geolocation_zip_code_prefix=(
             "case when event_id % 211 = 0 then 'none' else cast(user_id as string) end"
         ),
-        geolocation_lat="cast(value as decimal(12,2))",
+        geolocation_lat=(
+            "case when event_id % 401 = 0 then '1d' when event_id % 409 = 0 then 'NaN'"
+            " when event_id % 419 = 0 then '0x1p3' when event_id % 421 = 0 then 'Infinity'"
+            " when event_id % 431 = 0 then '1e400' else cast(cast(value as decimal(12,2)) as string) end"
+        ),
         geolocation_lng="event_id % 360 - 180",
         geolocation_city=(
             "case when event_id % 3 = 0 then upper(event_type) else event_type end"
@@ -216,7 +205,8 @@ def raw_order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
             "timestampadd(DAY, cast(conv_id % 365 as int), timestamp_ntz'2018-01-01 00:00:00')"
         ),
         review_answer_timestamp=(
-            "case when conv_id % 9 = 0 then '' else cast(timestampadd(HOUR,"
+            "case when conv_id % 9 = 0 then '' when conv_id % 11 = 0 then '10:30:00'"
+            " when conv_id % 13 = 0 then '2018-01' else cast(timestampadd(HOUR,"
             " cast(conv_id % 1000 as int), timestamp_ntz'2018-01-02 10:30:00') as string) end"
         ),
     )
@@ -358,7 +348,7 @@ def policy_inputs(spark: SparkSession, sf_dir: str, recovered: bool = False) ->
     }
     delay = "event_id % 900 + 30" if recovered else "0"
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
-    return spread(events).select(
+    return events.select(
         *[F.expr(e).alias(n) for n, e in sections.items()],
         F.expr(f"timestampadd(SECOND, {delay}, ts)").cast("timestamp").alias("recorded_at"),
     )
