@@ -21,7 +21,10 @@ def ts(expr: str) -> str:
 def num(expr: str, dtype: str) -> str:
     text = clean(expr)
     plain = f"regexp_matches({text}, '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$')"
-    return f"case when {plain} then try_cast({text} as {dtype}) end"
+    value = f"try_cast({text} as {dtype})"
+    if dtype == "double":
+        plain = f"{plain} and isfinite({value})"
+    return f"case when {plain} then {value} end"
 
 
 def cents(expr: str) -> str:
