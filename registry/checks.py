@@ -366,11 +366,9 @@ def not_empty(spark, sf_dir):
     )
 
 
-@query("h3_full_duplicates", no_duplicates(
-    "lineitem_keys", "(select l_orderkey, l_linenumber from lineitem)"))
+@query("h3_full_duplicates", no_duplicates("lineitem", "lineitem"))
 def full_duplicates(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    return Q.no_full_duplicates(lines, "lineitem_keys")
+    return Q.no_full_duplicates(table(spark, sf_dir, "lineitem"), "lineitem")
 
 
 @query("h4_key_not_null", sql(key_not_null("reviews", "s_reviews", ["review_id", "review_score"])))

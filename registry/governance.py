@@ -10,7 +10,7 @@ from registry.inputs import raw, silver_table
 from registry.oracle import sql
 from tidelake.operators import governance, policy, remediation
 from tidelake.operators.contracts import FORBIDDEN_PUBLIC_COLUMNS
-from tidelake.session import scratch_path
+from tidelake.session import scratch_path, written
 from tidelake.sources.testdata import policy_inputs, table
 
 # ---- governance ----------------------------------------------------------------------
@@ -482,9 +482,13 @@ def _percent(part: str, whole: str) -> str:
 def experiment_metrics(spark, sf_dir):
     """D13 too: rates, means and deviations per condition and scenario."""
     number = F.substring("run_key", 5, 20).cast("bigint")
-    made = _decisions(spark, sf_dir).where("run_key <> ''")
+    # The rules are evaluated once for each evidence set; everything below reads the results.
+    decisions = written(_decisions(spark, sf_dir), "decisions")
+    made = decisions.where("run_key <> ''")
+    plans = remediation.remediation_plans(remediation.eligibility(decisions))
+    recovered = _decisions(spark, sf_dir, recovered=True)
     # Plans are keyed by run, so recovery and routing are read from one joined row.
-    verified = _verified(spark, sf_dir)
+    verified = written(remediation.verify_recovery(plans, recovered), "verified")
     routes = remediation.fallback_routes(verified).select(
         "run_key", F.col("terminal_state").alias("route")
     )

@@ -6,11 +6,11 @@ which need a grouping), and the single counter row is then unpivoted.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions import keys
@@ -27,7 +27,10 @@ SHARE_TOLERANCE = 0.1
 
 @dataclass(frozen=True)
 class Check:
-    """``observed`` is an aggregate; ``passed`` is a condition on its value ``{v}``."""
+    """``observed`` is an aggregate; ``passed`` is a condition on its value ``{v}``.
+
+    Where ``observed`` is the sum of a count in each row, ``each`` is that count.
+    """
 
     name: str
     observed: Column
@@ -35,11 +38,13 @@ class Check:
     passed: str = "{v} = 0"
     severity: str = "critical"
     details: str = ""
+    each: Column | None = None
 
 
 def violations(name: str, condition: Column, **rest) -> Check:
     """Check that counts the rows where ``condition`` holds and wants none."""
-    return Check(name, F.count_if(condition), **rest)
+    each = F.coalesce(condition, F.lit(False)).cast("bigint")
+    return Check(name, F.count_if(condition), each=each, **rest)
 
 
 def _quoted(text: str) -> str:
@@ -66,6 +71,30 @@ def run_checks(df: DataFrame, dataset: str, checks: list[Check]) -> DataFrame:
     return counters.selectExpr(f"inline(array({rows}))")
 
 
+def grouped_checks(df: DataFrame, dataset: str, key: list[str], checks: list[Check]) -> DataFrame:
+    """Row counters, repeated rows and repeated keys of one dataset from one scan.
+
+    Equal rows are counted first, on the map side too; the counters of the checks are weighted
+    by these counts while the rows are grouped by key. Every check needs ``each``.
+    """
+    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    by_key = copies.groupBy(*key).agg(
+        F.sum("_n").alias("_rows"),
+        F.sum(F.col("_n") - 1).alias("_extra"),
+        *[F.sum(c.each * F.col("_n")).alias(f"_c{i}") for i, c in enumerate(checks)],
+    )
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+
+    structure = [
+        Check("no_full_duplicate_rows", total(F.col("_extra"))),
+        Check("primary_key_unique", total(F.when(F.col("_rows") > 1, F.col("_rows")))),
+    ]
+    counted = [replace(c, observed=total(F.col(f"_c{i}"))) for i, c in enumerate(checks)]
+    return run_checks(by_key, dataset, [*structure, *counted])
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -81,12 +110,17 @@ def metadata_checks(
     df: DataFrame, dataset: str, results: list[tuple[str, bool, str, str, str]]
 ) -> DataFrame:
     """Results already known from the schema: (name, passed, observed, expected, details)."""
+    return metadata_table(df.sparkSession, [(dataset, *result) for result in results])
+
+
+def metadata_table(spark: SparkSession, results: list[tuple]) -> DataFrame:
+    """Results (dataset, name, passed, observed, expected, details) as one literal table."""
     rows = [
         (dataset, name, "PASS" if passed else "FAIL", "critical", observed, expected, details)
-        for name, passed, observed, expected, details in results
+        for dataset, name, passed, observed, expected, details in results
     ]
     return small_table(
-        df.sparkSession,
+        spark,
         rows,
         "dataset string, check_name string, status string, severity string,"
         " observed_value string, expected_value string, details string",
@@ -94,28 +128,32 @@ def metadata_checks(
 
 
 def required_columns(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
-    missing = [c for c in columns if c not in df.columns]
-    return metadata_checks(
-        df,
-        dataset,
-        [("required_columns_present", not missing, listed(missing), "none missing", "")],
-    )
+    return required_columns_of({dataset: (df, columns)})
+
+
+def required_columns_of(datasets: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Presence of the required columns of several datasets, as one literal table."""
+    rows = []
+    for dataset, (df, columns) in datasets.items():
+        missing = [c for c in columns if c not in df.columns]
+        rows.append(
+            (dataset, "required_columns_present", not missing, listed(missing), "none missing", "")
+        )
+    return metadata_table(next(iter(datasets.values()))[0].sparkSession, rows)
 
 
 def exact_columns(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
-    return metadata_checks(
-        df,
-        dataset,
-        [
-            (
-                "exact_ordered_columns",
-                df.columns == columns,
-                listed(df.columns),
-                listed(columns),
-                "",
-            )
-        ],
-    )
+    return exact_columns_of({dataset: (df, columns)})
+
+
+def exact_columns_of(datasets: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Names and order of the columns of several datasets, as one literal table."""
+    rows = [
+        (dataset, "exact_ordered_columns", df.columns == columns, listed(df.columns),
+         listed(columns), "")
+        for dataset, (df, columns) in datasets.items()
+    ]
+    return metadata_table(next(iter(datasets.values()))[0].sparkSession, rows)
 
 
 # ---- row counters ----------------------------------------------------------------
@@ -123,7 +161,7 @@ def exact_columns(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
 
 def not_empty() -> Check:
     rows = F.count(F.lit(1))
-    return Check("dataset_not_empty", rows, "> 0", "{v} > 0")
+    return Check("dataset_not_empty", rows, "> 0", "{v} > 0", each=F.lit(1).cast("bigint"))
 
 
 def key_not_null(key: list[str]) -> Check:
@@ -132,7 +170,8 @@ def key_not_null(key: list[str]) -> Check:
 
 def no_null_cells(df: DataFrame) -> Check:
     cells = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
-    return Check("no_null_cells", cells)
+    each = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("bigint") for c in df.columns])
+    return Check("no_null_cells", cells, each=each)
 
 
 def non_negative(columns: list[str]) -> list[Check]:

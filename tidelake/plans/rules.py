@@ -254,13 +254,10 @@ def foreign_key_checks(silver: dict[str, DataFrame]) -> DataFrame:
 
 def validate_silver(silver: dict[str, DataFrame]) -> DataFrame:
     """Structure, keys, ranges, foreign keys and contact coverage of all Silver datasets."""
-    parts = []
+    parts = [Q.required_columns_of({n: (silver[n], SILVER_REQUIRED[n]) for n in SILVER_KEYS})]
     for name, key in SILVER_KEYS.items():
-        df = silver[name]
-        parts.append(Q.required_columns(df, name, SILVER_REQUIRED[name]))
-        parts.append(Q.no_full_duplicates(df, name))
-        parts.append(Q.run_checks(df, name, [Q.key_not_null(key), *silver_range_checks(name)]))
-        parts.append(Q.key_unique(df, name, key))
+        checks = [Q.key_not_null(key), *silver_range_checks(name)]
+        parts.append(Q.grouped_checks(silver[name], name, key, checks))
     parts.append(foreign_key_checks(silver))
     parts.append(contact_coverage(silver))
     return Q.union_all(parts)
@@ -453,14 +450,13 @@ def public_column_check(df: DataFrame) -> DataFrame:
 
 def validate_gold(gold: dict[str, DataFrame], silver: dict[str, DataFrame]) -> DataFrame:
     """Structure, rules, privacy and source reconciliation of all Gold datasets."""
-    parts = []
+    parts = [Q.exact_columns_of({n: (gold[n], list(GOLD_COLUMNS[n])) for n in GOLD_KEYS})]
     for name, key in GOLD_KEYS.items():
         df = gold[name]
         checks = [Q.not_empty(), Q.key_not_null(key), Q.no_null_cells(df), *gold_rule_checks(name)]
-        parts.append(Q.exact_columns(df, name, list(GOLD_COLUMNS[name])))
-        parts.append(Q.run_checks(df, name, checks))
-        parts.append(Q.no_full_duplicates(df, name))
-        parts.append(Q.key_unique(df, name, key))
+        parts.append(Q.grouped_checks(df, name, key, [c for c in checks if c.each is not None]))
+        if totals := [c for c in checks if c.each is None]:
+            parts.append(Q.run_checks(df, name, totals))
     public = gold["gold_public_sales_dashboard"]
     parts.append(public_column_check(public))
     parts.append(
