@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.inputs import built, raw, silver_table
-from registry.oracle import cents, clean, ratio, sql, ts
+from registry.oracle import ratio, sql, ts
 from tidelake.operators import acceptance, contracts, profile, ranking
 from tidelake.operators import quality as Q
 from tidelake.plans import rules

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import registry.policy_oracle  # noqa: F401  registers its SQL fragments
 from registry import query
-from registry.inputs import raw, silver_table
+from registry.inputs import silver_table
 from registry.oracle import sql
 from tidelake.operators import governance, policy, remediation
 from tidelake.operators.contracts import FORBIDDEN_PUBLIC_COLUMNS
