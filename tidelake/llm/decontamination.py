@@ -41,7 +41,7 @@ LEAST_WORDS = 4
 LEAST_WINDOWS = 6
 MAX_CONFLICTS = 0.2
 FILTER_BITS = 26
-MEMORY = 500_000
+MEMORY = 250_000
 
 LITERAL, NUMBER, UNIT, NAME = range(4)
 # Units of measure and money.
