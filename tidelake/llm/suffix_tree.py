@@ -9,17 +9,23 @@ so a follower seen once gives all its weight to the shorter context, and only fo
 twice or more are kept. The empty context has (c - 1) / N for a word and shares the rest evenly
 over the V known words and one unknown word.
 
-A context is a candidate, and a follower is kept, if seen in at least ``1 / RESOLUTION`` of the
-training tokens (and twice): that bounds the tree, whatever the corpus, by ``RESOLUTION`` entries
-at each depth, so it can be sent to the executors. A candidate is retained by a divergence test:
-the weighted log-ratio of its distribution to that of its suffix, with each occurrence left out
-of its own estimate, must exceed ``GAIN`` nats an occurrence; a child keeps its suffix retained.
-Scoring walks the tokens with the longest retained suffix as the state.
-
-The counts are taken over all training texts: partitions count their tokens first, then keys
-are shuffled. Words below the resolution (the tail) cannot be a kept follower; their counts are
-joined by key with those that a document holds, so the exact base score needs no word table in
-memory. Tokens are compared by a 64-bit hash.
+A context is a candidate, and a follower is kept, if seen ``LEAST`` times, however large the
+corpus is. A candidate is retained by a divergence test: the weighted log-ratio of its
+distribution to that of its suffix, with each occurrence left out of its own estimate, must
+exceed ``GAIN`` nats an occurrence; a child keeps its suffix retained. Scoring walks the tokens
+with the longest retained suffix as the state.
+
+Grams, states and chances are written tables; the test groups on the context key. A gram is known
+by the pair of its left and right part (words for two words, two-word grams for three), and its
+key is a hash of the two. Filters of fixed size leave out keys that cannot be in a table before
+the shuffle; what they let through is decided by the count or the join.
+
+The log probability of a token is a sum over keys: that of its word under the root, the log
+weights left by its retained contexts, and the changes that its kept grams make. The part of the
+tree seen in at least ``1 / RESOLUTION`` of the training tokens is a cache that is sent to the
+executors, at most ``RESOLUTION`` entries a depth; all other words and grams are joined by key
+with those that a document holds. The size of the cache changes no score. Tokens are compared by
+a 64-bit hash.
 
 Defined cases: a NULL or empty text has the one end token; with nothing to learn from, N and V
 are zero and every token is unknown; repeated rows count as often as they stand; NULL keys
@@ -43,7 +49,9 @@ from tidelake.llm.common import column, text_of
 from tidelake.session import written
 
 DEPTH = 2  # words of the longest context
-RESOLUTION = 1 << 19
+LEAST = 2  # times that a context or a follower must be seen
+RESOLUTION = 1 << 19  # entries a depth of the cache
+FILTER_BITS = 27
 BITS = 20  # of a word's place in a key of up to three words
 GAIN = 0.02
 END = b" "  # no word holds a blank
@@ -111,48 +119,97 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _gram_keys(places: np.ndarray, size: int, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the grams of ``size`` tokens that can be frequent, and where each one ends.
+class Hashes:
+    """Hash of each word; remembered by word."""
 
-    All words must be in the head, and both shorter grams within must be frequent.
-    """
-    n = len(places) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    good = np.ones(n, bool)
-    key = np.zeros(n, np.int64)
-    for k in range(size):
-        part = places[k : k + n]
-        good &= part >= 0
-        key = key << BITS | np.maximum(part, 0)
-    if size > 2:
-        low = (1 << BITS * (size - 1)) - 1
-        at = np.nonzero(good)[0]
-        for inner in (key[at] >> BITS, key[at] & low):
-            _, found = _find(tables[size - 3], inner)
-            good[at[~found]] = False
-    at = np.nonzero(good)[0]
-    return key[at], at + size - 1
-
-
-def _count_grams(head: np.ndarray, size: int, tables: list[np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, kept, held = Places(head), [], 0
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > FLUSH:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = _hash(w)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def mix(left: np.ndarray, right: np.ndarray | int) -> np.ndarray:
+    """Key of the gram with these parts."""
+    key = left.astype(np.int64).view(np.uint64)
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    key = key + (right.astype(np.int64).view(np.uint64) if isinstance(right, np.ndarray) else np.uint64(right))
+    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (key ^ (key >> np.uint64(32))).view(np.int64)
+
+
+STATE = 1  # the second part of a key that stands for a context
+
+
+@F.arrow_udf(T.LongType())
+def _key_of(left: pa.Array, right: pa.Array) -> pa.Array:
+    return pa.array(mix(left.to_numpy(zero_copy_only=False), right.to_numpy(zero_copy_only=False)))
+
+
+@F.arrow_udf(T.LongType())
+def _state_key(key: pa.Array) -> pa.Array:
+    return pa.array(mix(key.to_numpy(zero_copy_only=False), STATE))
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """Filter of the column ``key``: at most 2 ** (FILTER_BITS - 6) words reach the driver."""
+    high = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    low = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    at = keys.select(F.explode(F.array(high, low)).alias("p"))
+    words = at.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")
+    )
+    w, bits = _arrays(words, "w", "bits")
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out[w] = bits
+    return out.view(np.uint64)
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    hashes = keys.view(np.uint64)
+    hit = np.ones(len(keys), bool)
+    for p in (hashes >> np.uint64(64 - FILTER_BITS), hashes & np.uint64((1 << FILTER_BITS) - 1)):
+        word = bits[(p >> np.uint64(6)).view(np.int64)]
+        hit &= (word >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
 
-        def emit() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate([np.empty(0, np.int64), *kept]), return_counts=True)
-            kept.clear()
-            return pa.record_batch({"gram": pa.array(keys), "n": pa.array(n, pa.int64())})
+
+def _count_grams(depth: int, bits: np.ndarray):
+    """Counts of the grams of ``depth`` + 1 words whose two parts pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, lefts, rights, held = Hashes(), [], [], 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            left = np.concatenate([np.empty(0, np.int64), *lefts])
+            right = np.concatenate([np.empty(0, np.int64), *rights])
+            lefts.clear(), rights.clear()
+            _, at, n = np.unique(mix(left, right), return_index=True, return_counts=True)
+            out = pa.record_batch(
+                {"left": pa.array(left[at]), "right": pa.array(right[at]), "n": pa.array(n, pa.int64())}
+            )
+            for k in range(0, out.num_rows, FLUSH // 8):
+                yield out.slice(k, FLUSH // 8)
 
         for batch in batches:
             for text in batch["text"].to_pylist():
-                keys, _ = _gram_keys(places.of(tokens(text)), size, tables)
-                kept.append(keys)
-                held += len(keys)
-                if held >= 4 * FLUSH:
-                    yield emit()
+                parts = hashes.of(tokens(text))
+                for _ in range(depth - 1):
+                    parts = mix(parts[:-1], parts[1:])
+                good = _passes(bits, parts)
+                at = np.nonzero(good[:-1] & good[1:])[0]
+                lefts.append(parts[at])
+                rights.append(parts[at + 1])
+                held += len(at)
+                if held >= 2 * FLUSH:
+                    yield from emit()
                     held = 0
-        yield emit()
+        yield from emit()
 
     return run
 
@@ -226,8 +283,9 @@ def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [table[name].to_numpy() for name in names]
 
 
-def learn(rows: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
-    """The tree of all rows, and the table (word, count) of all training words."""
+def _learned(rows: DataFrame, text: str) -> tuple[Tree, DataFrame, DataFrame | None]:
+    """The cached tree, the table (word, count), and the table (key, value) of all that the
+    states and grams outside the cache add to a log probability."""
     rows = rows.select(text_of(rows, text).cast("binary").alias("text"))
     counted = rows.mapInArrow(_count_words, "word long, n long")
     counts = written(counted.groupBy("word").agg(F.sum("n").alias("count")), "word-counts")
@@ -235,80 +293,160 @@ def learn(rows: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
         F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"), F.count("*").alias("words")
     ).collect()[0]
     total, n_words = int(sums["tokens"]), int(sums["words"])
-    least = max(2, -(-total // RESOLUTION))
-    head, head_count = _arrays(counts.filter(F.col("count") >= least), "word", "count")
+    hot = max(LEAST, -(-total // RESOLUTION))
+    head, head_count = _arrays(counts.filter(F.col("count") >= hot), "word", "count")
     order = np.argsort(head)
     head, head_count = head[order], head_count[order]
     tree = Tree(total, n_words, total - n_words, head, head_count, [], [])
-    tables: list[np.ndarray] = []
-    context_keys, context_counts = np.arange(len(head)), head_count
+    if not total:
+        none = (np.empty(0, np.int64), np.empty(0))
+        tree.states.extend([none] * DEPTH)
+        tree.followers.extend([none] * DEPTH)
+        return tree, counts, None
+    shorter = counts.filter(F.col("count") >= LEAST).select(
+        F.col("word").alias("key"), F.col("count").alias("n"),
+        _root_column(tree, F.col("count")).alias("chance"),
+    )
+    states, hot_grams, rest = None, None, []
     for depth in range(1, DEPTH + 1):
-        grams = rows.mapInArrow(_count_grams(head, depth + 1, tables), "gram long, n long")
-        frequent = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        keys, n = _arrays(frequent, "gram", "n")
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        tables.append(keys)
-        _add_depth(tree, depth, keys, n, context_keys, context_counts)
-        context_keys, context_counts = keys, n
+        found = rows.mapInArrow(
+            _count_grams(depth, _filter_of(shorter)), "left long, right long, n long"
+        )
+        found = found.groupBy("left", "right").agg(F.sum("n").alias("n"))
+        found = found.filter(F.col("n") >= LEAST)
+        longer = written(found.withColumn("key", _key_of("left", "right")), "grams")
+        tests = written(_tests(longer, shorter), "contexts")
+        judged = written(_judged(longer, shorter, tests), "judged")
+        states = written(_retained(judged, tests, states, shorter, depth), "states")
+        grams = written(_chances(judged, states), "chances")
+        hot_grams = _cache(tree, depth, hot, states, grams, hot_grams)
+        low = states.filter(F.col("size") < hot)
+        rest.append(low.select(_state_key("key").alias("key"), F.log("weight").alias("value")))
+        low = grams.filter(F.col("weight").isNotNull() & (F.col("n") < hot))
+        rest.append(
+            low.select("key", (F.log("chance") - F.log("weight") - F.log("parent")).alias("value"))
+        )
+        shorter = grams.select("key", "left", "right", "n", "chance")
+    values = rest[0]
+    for more in rest[1:]:
+        values = values.union(more)
+    return tree, counts, written(values, "values")
+
+
+def learn(rows: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
+    """The cached tree of all rows, and the table (word, count) of all training words."""
+    tree, counts, _ = _learned(rows, text)
     return tree, counts
 
 
-def _add_depth(tree: Tree, depth: int, keys: np.ndarray, n: np.ndarray, context_keys: np.ndarray,
-               context_counts: np.ndarray) -> None:
-    """Test the contexts of this depth and add those retained with their followers."""
-    low = (1 << BITS) - 1
-    context, word = keys >> BITS, keys & low
-    at, found = _find(context_keys, context)
-    keys, n, context, word, at = keys[found], n[found], context[found], word[found], at[found]
-    size = context_counts[at].astype(float)
-    kept = np.bincount(at, weights=n - 1.0, minlength=len(context_keys))
-    rest = context_counts - kept  # T(s): weight given to the suffix
-    parent = _parent_chance(tree, depth, context, word)
+def _tests(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """Of each context: its size, the weight given to the suffix, occurrences of lone followers."""
+    sums = longer.groupBy(F.col("left").alias("key")).agg(
+        F.sum(F.col("n") - 1).alias("kept"), F.sum("n").alias("seen")
+    )
+    own = shorter.select("key", F.col("n").alias("size"))
+    return sums.join(own, "key").select(
+        "key", "size", (F.col("size") - F.col("kept")).alias("rest"),
+        (F.col("size") - F.col("seen")).alias("single"),
+    )
+
+
+def _judged(longer: DataFrame, shorter: DataFrame, tests: DataFrame) -> DataFrame:
+    """Grams with the chance under the suffix and what they add to their context's gain."""
+    parents = shorter.select(F.col("key").alias("right"), F.col("chance").alias("parent"))
+    context = tests.withColumnRenamed("key", "left")
     # Each occurrence of a follower seen c times finds the other c - 1 among the other N - 1.
-    others = np.maximum(size - 1, 1)
-    chance = np.maximum(n - 2, 0) / others + np.maximum(rest[at], 1) / others * parent
-    gain = np.bincount(at, weights=n * np.log(chance / parent), minlength=len(context_keys))
-    single = context_counts - np.bincount(at, weights=n, minlength=len(context_keys))
-    gain = gain + single * np.log(np.maximum(rest - 1, 0.5) / np.maximum(context_counts - 1, 1))
-    good = gain > GAIN * context_counts
-    if depth > 1:
-        suffix = context_keys & ((1 << BITS * (depth - 1)) - 1)
-        _, retained = _find(tree.states[depth - 2][0], suffix)
-        good &= retained
-    good &= rest > 0
-    use = good[at]
-    tree.states.append((context_keys[good], np.log(rest[good] / context_counts[good])))
-    tree.followers.append((keys[use], (n[use] - 1) / size[use]))
-
-
-def _parent_chance(tree: Tree, depth: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """P(w | suffix of the context) under the tree so far."""
-    chance = tree.root(tree.head_count[word])
-    for d in range(1, depth):
-        part = context & ((1 << BITS * d) - 1)
-        at, found = _find(tree.states[d - 1][0], part)
-        if not len(tree.states[d - 1][0]):
-            continue
-        place, seen = _find(tree.followers[d - 1][0], part << BITS | word)
-        own = np.zeros(len(word))
-        if len(tree.followers[d - 1][0]):
-            own = np.where(seen, tree.followers[d - 1][1][place], 0.0)
-        chance = np.where(found, chance * np.exp(tree.states[d - 1][1][at]) + own, chance)
-    return chance
+    others = F.greatest(F.col("size") - 1, F.lit(1))
+    chance = (
+        F.greatest(F.col("n") - 2, F.lit(0)) / others
+        + F.greatest(F.col("rest"), F.lit(1)) / others * F.col("parent")
+    )
+    gain = F.col("n") * F.log(chance / F.col("parent"))
+    joined = longer.join(parents, "right").join(context, "left")
+    return joined.select("key", "left", "right", "n", "parent", gain.alias("gain"))
+
+
+def _retained(judged: DataFrame, tests: DataFrame, states: DataFrame | None, shorter: DataFrame,
+              depth: int) -> DataFrame:
+    """(key, first, last, size, weight) of the contexts that pass the test."""
+    gains = judged.groupBy(F.col("left").alias("key")).agg(F.sum("gain").alias("gain"))
+    lone = F.greatest(F.col("rest") - 1, F.lit(0.5)) / F.greatest(F.col("size") - 1, F.lit(1))
+    gain = F.col("gain") + F.col("single") * F.log(lone)
+    good = tests.join(gains, "key").filter((gain > GAIN * F.col("size")) & (F.col("rest") > 0))
+    good = good.select("key", "size", (F.col("rest") / F.col("size")).alias("weight"))
+    if depth == 1:
+        return good.select("key", F.col("key").alias("first"), F.col("key").alias("last"), "size", "weight")
+    parts = shorter.select("key", F.col("left").alias("first"), F.col("right").alias("last"))
+    suffixes = states.select(F.col("key").alias("last"))
+    return good.join(parts, "key").join(suffixes, "last", "left_semi").select(
+        "key", "first", "last", "size", "weight"
+    )
 
 
-def _score_rows(tree: Tree):
-    """Per document: sums over its head tokens, and its tail words with their numbers."""
+def _chances(judged: DataFrame, states: DataFrame) -> DataFrame:
+    """Grams with their chance; weight and size are those of a retained context, else NULL."""
+    own = states.select(F.col("key").alias("left"), "size", "weight")
+    chance = (F.col("n") - 1) / F.col("size") + F.col("weight") * F.col("parent")
+    return judged.join(own, "left", "left").select(
+        "key", "left", "right", "n", "parent", "size", "weight",
+        F.coalesce(chance, F.col("parent")).alias("chance"),
+    )
+
+
+def _cache(tree: Tree, depth: int, hot: int, states: DataFrame, grams: DataFrame, pairs):
+    """Add the states and followers seen ``hot`` times; returns the frequent pairs of words."""
+    key, left, right, n, size = _arrays(
+        grams.filter(F.col("n") >= hot).select("key", "left", "right", "n", F.coalesce("size", F.lit(0)).alias("size")),
+        "key", "left", "right", "n", "size",
+    )
+    first, last, seen, weight = _arrays(
+        states.filter(F.col("size") >= hot), "first", "last", "size", "weight"
+    )
+
+    def place(words: np.ndarray) -> np.ndarray:
+        return _find(tree.head, words)[0]
+
+    if depth == 1:
+        state, gram = place(first), place(left) << BITS | place(right)
+        order = np.argsort(key)
+        pairs = key[order], gram[order]
+    else:
+        state = place(first) << BITS | place(last)
+        before, after = (pairs[1][_find(pairs[0], part)[0]] for part in (left, right))
+        gram = before << BITS | after & ((1 << BITS) - 1)
+    order = np.argsort(state)
+    tree.states.append((state[order], np.log(weight[order])))
+    use = np.nonzero(size > 0)[0]
+    use = use[np.argsort(gram[use])]
+    tree.followers.append((gram[use], (n[use] - 1) / size[use]))
+    return pairs
+
+
+def _keys_outside(hashes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the contexts and grams of a text that may be outside the cache, and their numbers."""
+    keys, parts = [], hashes
+    for _ in range(DEPTH):
+        keys.append(mix(parts[:-1], STATE))
+        parts = mix(parts[:-1], parts[1:])
+        keys.append(parts)
+    found = np.concatenate(keys)
+    return np.unique(found[_passes(bits, found)], return_counts=True)
+
+
+def _score_rows(tree: Tree, bits: np.ndarray | None):
+    """Per document: sums over the cached part, and the words and keys that are joined."""
     per_base = np.log10(tree.head_count + 1) - np.log10(tree.tokens + tree.words + 1)
 
-    def one(places: Places, text: bytes) -> tuple:
+    def one(places: Places, hashes: Hashes, text: bytes) -> tuple:
         words = tokens(text)
         at = places.of(words)
         is_head = at >= 0
         log_chance, left = _log_chances(tree, at)
         score = log_chance[is_head].sum() + left[~is_head].sum()
         tail = Counter(w for w, h in zip(words, is_head.tolist()) if not h)
+        keys, numbers = [], []
+        if bits is not None:
+            keys, numbers = _keys_outside(hashes.of(words), bits)
         return (
             len(words),
             int(is_head.sum()),
@@ -316,14 +454,16 @@ def _score_rows(tree: Tree):
             float(score) / LN10,
             list(map(_hash, tail)),
             list(tail.values()),
+            keys,
+            numbers,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places(tree.head)
+        places, hashes = Places(tree.head), Hashes()
         for batch in batches:
             out: list[list] = [[] for _ in OWN]
             for text in batch["text"].to_pylist():
-                for values, value in zip(out, one(places, text)):
+                for values, value in zip(out, one(places, hashes, text)):
                     values.append(value)
             passed = [batch[c] for c in PASSED]
             own = [pa.array(v, kind) for v, (_, kind, _) in zip(out, OWN)]
@@ -341,6 +481,8 @@ OWN = (
     ("head_score", pa.float64(), T.DoubleType()),
     ("tail_words", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
     ("tail_counts", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
+    ("gram_keys", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
+    ("gram_counts", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
 )
 
 
@@ -351,23 +493,39 @@ def scores(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
         held.alias("held_out"),
         text_of(docs, text).cast("binary").alias("text"),
     )
-    tree, counts = learn(rows.filter(~F.col("held_out")))
+    tree, counts, values = _learned(rows.filter(~F.col("held_out")), "text")
+    bits = None if values is None or values.isEmpty() else _filter_of(values)
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     passed = [T.StructField(c, numbered.schema[c].dataType) for c in PASSED]
     schema = T.StructType([*passed, *[T.StructField(n, kind) for n, _, kind in OWN]])
     # Written once: the numbers of the rows are then fixed, whatever is lost later.
-    scored = written(numbered.mapInArrow(_score_rows(tree), schema), "scored-rows")
+    scored = written(numbered.mapInArrow(_score_rows(tree, bits), schema), "scored-rows")
     tail = scored.select("row", F.inline(F.arrays_zip("tail_words", "tail_counts")))
     found = tail.join(counts, tail["tail_words"] == counts["word"], "left").select(
         "row", F.col("tail_counts").alias("n"), F.coalesce("count", F.lit(0)).alias("count")
     )
     denominator = float(np.log10(tree.tokens + tree.words + 1))
-    sums = found.groupBy("row").agg(
-        F.sum(F.when(F.col("count") > 0, F.col("n")).otherwise(0)).alias("tail_known"),
-        F.sum(F.col("n") * (F.log10(F.col("count") + 1) - denominator)).alias("tail_base"),
-        F.sum(F.col("n") * F.log10(_root_column(tree, F.col("count")))).alias("tail_score"),
+    parts = found.select(
+        "row",
+        F.when(F.col("count") > 0, F.col("n")).otherwise(0).alias("known"),
+        (F.col("n") * (F.log10(F.col("count") + 1) - denominator)).alias("base"),
+        (F.col("n") * F.log10(_root_column(tree, F.col("count")))).alias("score"),
+    )
+    if bits is not None:
+        held_keys = scored.select(
+            "row", F.inline(F.arrays_zip(F.col("gram_keys").alias("key"), F.col("gram_counts").alias("n")))
+        )
+        added = held_keys.join(values, "key").select(
+            "row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"),
+            (F.col("n") * F.col("value") / LN10).alias("score"),
+        )
+        parts = parts.union(added)
+    sums = parts.groupBy("row").agg(
+        F.sum("known").alias("tail_known"),
+        F.sum("base").alias("tail_base"),
+        F.sum("score").alias("tail_score"),
     )
-    joined = scored.drop("tail_words", "tail_counts").join(sums, "row", "left")
+    joined = scored.drop("tail_words", "tail_counts", "gram_keys", "gram_counts").join(sums, "row", "left")
     return joined.select(
         "doc_id",
         "held_out",
