@@ -5,12 +5,16 @@ For every path the text length and the sentence marks of its blocks are summed a
 the number of blocks (length ratio, mark ratio). Along the page the ratios of the blocks are
 smoothed over neighbours, weighted by how much of the path they share; the two are fused by
 their product, and paths whose fused value reaches ``THRESHOLD`` standard deviations of the
-page are content. The content region is the deepest element that holds ``SHARE`` of the text
-of the content blocks, and its blocks are the main text, short ones too.
+page are content. The content region is the article or main element around all content blocks,
+on a page without one their lowest common element, and its blocks are the main text, short ones
+too.
 
 Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and reader
 comments are known by their element, role, or words of class and id; they never count and are
-left out of the region.
+left out of the region. A name that joins such a word with one that is not common in names of
+these parts (``no-sidebar``, ``entry-header``, ``related-work``) leaves the part out only if no
+path in it is content. A name of layout round most of the text is a wrapper; neither it nor a
+joined name leaves out the headline.
 
 Output: character references decoded, white space inside a block made one blank, blocks in page
 order joined by a line feed; nothing else is dropped. Defined cases: a NULL or empty page, and
@@ -34,7 +38,6 @@ from tidelake.llm.common import text_of
 
 THRESHOLD = 0.5
 REACH = 2
-SHARE = 0.8
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
@@ -71,14 +74,24 @@ ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog"
     " toolbar tablist status".split()
 )
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer"
+HINT = re.compile(
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer"
     r"|masthead|header|sidebar\w*|side|aside|widget\w*|comments?|commentlist|disqus|replies|reply"
     r"|respond|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe\w*|signup"
-    r"|social|share|sharing|related|recommend\w*|pagination|pager|toolbar|login|copyright)"
-    r"(?=$|[\s_-])",
+    r"|social|share|sharing|related|recommend\w*|pagination|pager|toolbar|login|copyright)",
     re.I,
 )
+# Words that names of those parts hold beside the hint.
+BESIDE = re.compile(
+    r"(?:site|page|top|bottom|main|global|primary|secondary|left|right|sticky|fixed|mobile|list"
+    r"|items?|box|bar|wrap|wrapper|container|section|area|region|zone|slot|block|inner|outer"
+    r"|links?|posts?|articles?|stories|news|form|buttons?|icons?|panel|group|row|column|col"
+    r"|unit|thread|user|reader|js|the|and|by|\d*)",
+    re.I,
+)
+# Hints that pages also use for the parts around their content.
+LAYOUT = re.compile(r"(?:banner|header|masthead|sidebar\w*|side|aside|widget\w*|overlay|modal|toolbar|nav\w*|menu\w*)", re.I)
+WRAPPED = 0.5
 ATTRIBUTE = re.compile(
     r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?"
 )
@@ -90,37 +103,89 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
 
 
-def _is_boilerplate(name: str, rest: str, inside: bool) -> bool:
-    """Whether an element is one of the parts that never count.
+# What the name of an element says of it.
+FINE, WEAK, WRAPPER, STRONG = range(4)
+
+
+def _hint(names: str) -> int:
+    """The strongest hint of the names of class and id."""
+    found = FINE
+    for name in names.split():
+        parts = re.split("[_-]+", name)
+        hints = [p for p in parts if HINT.fullmatch(p)]
+        if not hints:
+            continue
+        if not all(HINT.fullmatch(p) or BESIDE.fullmatch(p) for p in parts):
+            found = max(found, WEAK)
+        else:
+            found = max(found, WRAPPER if all(map(LAYOUT.fullmatch, hints)) else STRONG)
+    return found
+
+
+def _is_boilerplate(name: str, rest: str, inside: bool) -> int:
+    """Whether an element is one of the parts that never count: FINE and STRONG are settled.
 
     A header or footer inside an article may hold its headline and is judged by its blocks.
     """
     if name in SKIPPED:
-        return not (name == "header" and inside)
+        return FINE if name == "header" and inside else STRONG
     if not rest.strip() or name in ("html", "body"):
-        return False
+        return FINE
     found = _attributes(rest)
     if "hidden" in found or found.get("aria-hidden") == "true":
-        return True
+        return STRONG
     if found.get("role", "").lower() in ROLES:
-        return True
+        return STRONG
     if name in KEPT_INSIDE:
-        return False
-    hint = f"{found.get('class', '')} {found.get('id', '')}"
-    return HINTS.search(hint) is not None
+        return FINE
+    return _hint(f"{found.get('class', '')} {found.get('id', '')}")
 
 
 class Block:
-    __slots__ = ("path", "elements", "text", "marks")
+    __slots__ = ("path", "elements", "text", "marks", "hints")
 
-    def __init__(self, path: tuple[str, ...], elements: tuple[int, ...], text: str):
-        self.path, self.elements, self.text = path, elements, text
+    def __init__(
+        self, path: tuple[str, ...], elements: tuple[int, ...], text: str, hints: tuple[int, ...] = ()
+    ):
+        self.path, self.elements, self.text, self.hints = path, elements, text, hints
         self.marks = len(MARKS.findall(text))
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks outside boilerplate, in page order."""
-    stack: list[tuple[str, int, bool]] = []  # element, its number, whether it never counts
+    return _settled(_all_blocks(html))
+
+
+def _settled(blocks: list[Block]) -> list[Block]:
+    """The blocks that no weak hint and no wrapper's name leaves out."""
+    for kind in (WRAPPER, WEAK):
+        # Outer elements first: what they hold is judged once they stay.
+        for depth in range(max((len(b.hints) for b in blocks), default=0)):
+            inside: dict[int, list[Block]] = {}
+            for b in blocks:
+                if len(b.hints) > depth and b.hints[depth] == kind:
+                    inside.setdefault(b.elements[depth], []).append(b)
+            if not inside:
+                continue
+            if kind == WEAK:
+                paths = content_paths(blocks)
+            else:
+                least = WRAPPED * sum(len(b.text) for b in blocks)
+            out = set()
+            for element, held in inside.items():
+                if kind == WEAK:
+                    stays = any(b.path in paths for b in held)
+                else:
+                    stays = sum(len(b.text) for b in held) >= least
+                if not stays and not any("h1" in b.path for b in held):
+                    out.add(element)
+            blocks = [b for b in blocks if not (len(b.elements) > depth and b.elements[depth] in out)]
+    return blocks
+
+
+def _all_blocks(html: str) -> list[Block]:
+    """The text blocks outside what is settled as boilerplate, in page order."""
+    stack: list[tuple[str, int, int]] = []  # element, its number, its hint
     out: list[Block] = []
     pieces: list[str] = []
     number = 0
@@ -128,8 +193,9 @@ def blocks_of(html: str) -> list[Block]:
     def end_block() -> None:
         text = " ".join(unescape("".join(pieces)).split())
         pieces.clear()
-        if text and not (stack and stack[-1][2]):
-            out.append(Block(tuple(s[0] for s in stack), tuple(s[1] for s in stack), text))
+        if text and not (stack and stack[-1][2] == STRONG):
+            hints = tuple(s[2] for s in stack) if any(s[2] for s in stack) else ()
+            out.append(Block(tuple(s[0] for s in stack), tuple(s[1] for s in stack), text, hints))
 
     at, size = 0, len(html)
     while at < size:
@@ -173,8 +239,8 @@ def blocks_of(html: str) -> list[Block]:
                     break
         number += 1
         inside = any(s[0] in KEPT_INSIDE for s in stack)
-        never = bool(stack and stack[-1][2]) or _is_boilerplate(name, m["rest"], inside)
-        stack.append((name, number, never))
+        never = stack and stack[-1][2] == STRONG
+        stack.append((name, number, STRONG if never else _is_boilerplate(name, m["rest"], inside)))
     end_block()
     return out
 
@@ -225,28 +291,22 @@ def main_text(html: str) -> str:
     pool = articles or blocks
     paths = content_paths(pool)
     chosen = [b for b in pool if b.path in paths]
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for b in chosen:
-        total += len(b.text)
-        for d, e in enumerate(b.elements):
-            held[e] = held.get(e, 0) + len(b.text)
-            depth[e] = d
-    regions = [e for e, n in held.items() if n >= SHARE * total]
-    region = max(regions, key=lambda e: (depth[e], held[e]), default=None)
-    # A lone paragraph is not the region: the element around it is.
-    if region is not None:
-        for b in chosen:
-            if region in b.elements:
-                k = b.elements.index(region)
-                while k > 0 and b.path[k] in LOOSE:
-                    k -= 1
-                if articles and not KEPT_INSIDE.intersection(b.path[: k + 1]):
-                    break
-                region = b.elements[k]
-                break
-    return "\n".join(b.text for b in pool if region is None or region in b.elements)
+    if not chosen:
+        return "\n".join(b.text for b in pool)
+    # The lowest element around all content blocks.
+    k = min(len(b.elements) for b in chosen)
+    while k and any(b.elements[:k] != chosen[0].elements[:k] for b in chosen):
+        k -= 1
+    path = chosen[0].path[:k]
+    if articles:
+        while path and path[-1] not in KEPT_INSIDE:
+            path = path[:-1]
+    else:
+        # A lone paragraph is not the region: the element around it is.
+        while path and path[-1] in LOOSE:
+            path = path[:-1]
+    region = chosen[0].elements[: len(path)]
+    return "\n".join(b.text for b in pool if b.elements[: len(region)] == region)
 
 
 @F.arrow_udf(T.StringType())
