@@ -9,8 +9,8 @@ training, and the codeword with the smallest loss wins. The score is its share i
 all losses; texts whose two best shares differ by less than ``MARGIN`` are flagged as ambiguous.
 
 Counts are taken over all training rows, by partition and then by key. A language is learned if
-it holds at least ``1 / MAX_LANGUAGES`` of the training rows, so the model has at most
-``MAX_LANGUAGES * BUCKETS`` numbers.
+its training rows hold ``LEAST_GRAMS`` n-grams, whatever share of the corpus that is; the model
+has ``BUCKETS`` numbers for each bit, and the bits grow with the logarithm of the languages.
 
 Defined cases: a text that is NULL or has no letter is ``und`` with score 0, also in training,
 where it is left out; with nothing learned every text is ``und``; with one language every text
@@ -34,7 +34,8 @@ from tidelake.llm.common import column, text_of
 from tidelake.session import written
 
 BUCKETS = 1 << 14
-MAX_LANGUAGES = 128
+LEAST_GRAMS = 400  # of about 200 characters
+HELD_LANGUAGES = 128  # whose counts a task holds before it gives them on
 EXHAUSTIVE = 6
 SMOOTHING = 0.5
 SCALE = 6.0
@@ -99,7 +100,9 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(200):
         codes = rng.choice([-1.0, 1.0], size=(n, bits))
         codes[0, np.abs(codes.sum(axis=0)) == n] *= -1
-        gap = min((codes[i] != codes[j]).sum() for i in range(n) for j in range(i))
+        same = codes @ codes.T
+        np.fill_diagonal(same, -bits)
+        gap = int((bits - same.max()) // 2)
         if gap > best_gap:
             best, best_gap = codes, gap
     return best
@@ -146,7 +149,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = grams(text)
             if len(found):
                 if name not in sums:
-                    if len(sums) >= MAX_LANGUAGES:
+                    if len(sums) >= HELD_LANGUAGES:
                         yield from emit()
                     sums[name] = np.zeros(BUCKETS + 1, np.int64)
                 sums[name][1:] += np.bincount(found, minlength=BUCKETS)
@@ -185,9 +188,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     counted = written(
         counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-grams"
     )
-    sizes = counted.filter("bucket = -1")
-    total = sizes.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
-    kept = sizes.filter(F.col("n") * MAX_LANGUAGES >= total).select("lang")
+    sizes = counted.filter("bucket >= 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    kept = sizes.filter(F.col("n") >= LEAST_GRAMS).select("lang")
     languages = sorted(r["lang"] for r in kept.collect())
     table = counted.filter(F.col("lang").isin(languages) & (F.col("bucket") >= 0)).toArrow()
     place = {name: i for i, name in enumerate(languages)}
