@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tidelake.llm import (
     decontamination,
+    fill_middle,
     html_text,
     language_id,
     licenses,
+    piece_counts,
     pieces,
     quality_classifier,
     quality_rules,
@@ -122,3 +124,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.encode_documents(docs, public_tokenizers.path(PIECES))
     return coded.drop("text")
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    counted = piece_counts.token_counts(docs, public_tokenizers.path(PIECES))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op13_fill_in_middle", fill_middle.sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_middle.fill_middle(docs)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored("output", "form"), 256).alias("restored_sha256"),
+    )
