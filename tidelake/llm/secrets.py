@@ -5,19 +5,24 @@ Patterns (``assign``, ``access``, ``hex``) give the base spans. Candidates are r
 (``CLASSES``: hexadecimal digits of either case, or the whole alphabet) a window of ``WINDOW``
 characters slides; the Shannon entropy of its character counts is kept up to date by taking one
 character out and one in, and windows at or above the class's threshold join to spans
-(``entropy_hex``, ``entropy_base64``). An allow-list suppresses candidates that are known not
-to be secrets: numbers, plain words and words joined by marks, UUIDs, web addresses, and
+(``entropy_hex``, ``entropy_base64``). A candidate is judged in parts: names and values on both
+sides of an equals sign, and the parts of a web address's path. An allow-list suppresses parts
+that are known not to be secrets: numbers, plain words and words joined by marks, UUIDs, and
 samples. Spans inside a base span are not repeated. The allow-list never removes a base span.
 
 Positions are code points, end exclusive, in order of start and then of kind as listed in
-``KINDS``. Defined cases: a NULL text counts as empty and has no spans; texts are scanned whole;
-repeated rows give repeated results; other columns pass through.
+``KINDS``. Defined cases: a NULL text counts as empty and has no spans; texts of any length are
+scanned whole, in time linear in their length; repeated rows give repeated results; an empty
+table gives an empty one; other columns pass through, but one that is named like the result gives
+way to it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,15 +51,17 @@ CLASSES = (
     ("entropy_hex", re.compile(r"[0-9a-fA-F]{20,}"), 3.0),
     ("entropy_base64", CANDIDATE, 3.9),
 )
-ALLOWED = (
-    re.compile(r"[0-9+/_=-]+"),  # numbers
-    re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}))*"),
-    re.compile(r"(?:[A-Z][a-z]{2,}){2,}"),  # words in camel case
-    re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"(?i).*(?:example|sample|dummy|placeholder|0123456789|abcdefghij|x{6}).*"),
-)
-ADDRESS = re.compile(r"(?:https?|ftp)://\S*$")
-ADDRESS_REACH = 2048
+NUMBER = re.compile(r"[0-9+/_=-]+")
+CAMEL = re.compile(r"(?:[A-Z][a-z]{2,}){2,}")
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+SAMPLE = re.compile(r"(?i)example|sample|dummy|placeholder|0123456789|abcdefghij|x{6}")
+MARKS = re.compile(r"[+/_=-]+")
+# A word, an abbreviation or a short number between marks; longer ones may be keys.
+WORD = re.compile(r"[A-Z]?[a-z]{0,24}|[A-Z]{1,24}|[0-9]{1,4}")
+# An address ends where its path does, at a quote, a comma, a bracket or an at sign.
+ADDRESS = re.compile(r"""(?:https?|ftp)://[^\s"'`<>,;()\[\]{}|@?#]*""")
+VALUE = re.compile(r"[^=]+=*")
+PATH_PART = re.compile(r"[^=/]+=*")
 
 _PLOGP = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -66,14 +73,14 @@ def hot_windows(run: str, least: float) -> list[tuple[int, int]]:
     most = WINDOW * (math.log2(WINDOW) - least) + 1e-9
     spans: list[tuple[int, int]] = []
     for i, char in enumerate(run):
-        n = counts.get(char, 0)
-        total += _PLOGP[n + 1] - _PLOGP[n]
-        counts[char] = n + 1
         if i >= WINDOW:
             gone = run[i - WINDOW]
             n = counts[gone]
             total += _PLOGP[n - 1] - _PLOGP[n]
             counts[gone] = n - 1
+        n = counts.get(char, 0)
+        total += _PLOGP[n + 1] - _PLOGP[n]
+        counts[char] = n + 1
         begin = i - WINDOW + 1
         if begin >= 0 and total <= most:
             if spans and begin <= spans[-1][1]:
@@ -83,11 +90,24 @@ def hot_windows(run: str, least: float) -> list[tuple[int, int]]:
     return spans
 
 
-def _allowed(text: str, begin: int, end: int) -> bool:
-    run = text[begin:end]
-    if any(p.fullmatch(run) for p in ALLOWED):
-        return True
-    return ADDRESS.search(text[max(0, begin - ADDRESS_REACH) : begin]) is not None
+def _allowed(part: str) -> bool:
+    return (
+        any(p.fullmatch(part) for p in (NUMBER, CAMEL, UUID))
+        or SAMPLE.search(part) is not None
+        or all(map(WORD.fullmatch, MARKS.split(part)))
+    )
+
+
+def _parts(text: str):
+    """Begin and end of the parts of candidates that are long enough and not allowed."""
+    addresses = [m.span() for m in ADDRESS.finditer(text)] if "://" in text else []
+    begins = [a for a, _ in addresses]
+    for candidate in CANDIDATE.finditer(text):
+        at = bisect_right(begins, candidate.start()) - 1
+        inside = at >= 0 and candidate.start() < addresses[at][1]
+        for part in (PATH_PART if inside else VALUE).finditer(text, *candidate.span()):
+            if part.end() - part.start() >= WINDOW and not _allowed(part[0]):
+                yield part.span()
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -101,16 +121,17 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(found)
-    for candidate in CANDIDATE.finditer(text):
-        if _allowed(text, *candidate.span()):
-            continue
-        for name, runs, least in CLASSES:
-            kind = KINDS.index(name)
-            for run in runs.finditer(text, *candidate.span()):
+    found.sort()
+    # The farthest end of the base spans that begin up to each place.
+    begins = [s for s, _, _ in found]
+    ends = list(accumulate((e for _, _, e in found), max))
+    for begin, end in _parts(text):
+        for kind, (_, runs, least) in enumerate(CLASSES, N_BASE):
+            for run in runs.finditer(text, begin, end):
                 for b, e in hot_windows(run[0], least):
                     span = (run.start() + b, kind, run.start() + e)
-                    if not any(s <= span[0] and span[2] <= t for s, _, t in base):
+                    at = bisect_right(begins, span[0]) - 1
+                    if at < 0 or ends[at] < span[2]:
                         found.append(span)
     return sorted(found)
 
