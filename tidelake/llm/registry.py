@@ -20,6 +20,7 @@ from tidelake.llm import (
     quality_rules,
     secrets,
     simhash,
+    spelling,
     suffix_tree,
 )
 from tidelake.llm.common import held_out, prepare, read
@@ -126,6 +127,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("text")
 
 
+@query("op11_spelling_variants", spelling.sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 @query("op12_token_counts")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
