@@ -2,35 +2,39 @@
 
 A text falls into pre-tokens that no piece spans: runs of space marks with the characters up to
 the next mark or line feed, and line feeds. The pieces of each distinct pre-token are counted
-once, by the sentencepiece library. Per-document frequencies of pre-tokens are joined to these
-counts and summed; ids of a document are never held.
+once, by the sentencepiece library, met with the frequencies of the pre-token in every document,
+and summed; ids of a document are never held.
 
-Frequent pre-tokens would be most of the rows of that join, and its hot keys. So the pre-tokens
-whose share of all occurrences is at least their length over ``HOT_BYTES`` are sent to the tasks,
-where their part of the sum is made in place; as shares add up to one, these pre-tokens never
-hold more than ``HOT_BYTES`` bytes, whatever the corpus. All others go through the join.
+Documents form blocks of consecutive rows. A block sends one row for each of its pre-tokens: the
+pre-token and a posting list, two bytes for each occurrence, that say in which document of the
+block it is. These rows are dealt out and ordered by pre-token, so each distinct one is counted
+where all its posting lists are, and sums per document go back to the block.
 
-A document is named in the join by its partition and a digest of its key and text, so a lost task
-can be run again with its rows in any order; equal rows of one partition are summed together and
-put back afterwards.
+Frequent pre-tokens would be the hot keys of that exchange. A Misra-Gries summary of each task
+finds them; those whose share of the summaries is at least their length over ``HOT_BYTES`` are
+counted first and sent to the tasks, where their part of the sums is made in place. As shares add
+up to one, they never hold more than ``HOT_BYTES`` bytes, whatever the corpus; which pre-tokens
+they are changes no result.
 
 Defined cases: a NULL or empty text has 0 bytes and 0 tokens; a NULL key stays NULL; texts and
 pre-tokens of any length are counted whole; repeated rows give repeated results; an empty table
-gives an empty one; other columns do not matter, whatever their names.
+gives an empty one; other columns do not matter, whatever their names. The rows must come in the
+same order when a lost task runs again, as they do from files and written tables.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelake.llm.common import column, text_of
 from tidelake.session import written
@@ -39,8 +43,14 @@ MARK = "▁"
 FEED = "\n"
 # Bytes of pre-tokens that travel to every task.
 HOT_BYTES = 2 << 20
-# Distinct pre-tokens that a task gathers before it passes them on.
-GATHERED = 200_000
+# Pre-tokens in the summary of a task.
+COUNTERS = 200_000
+# A block ends when it has this many pre-tokens, occurrences or documents.
+BLOCK_UNITS = 400_000
+BLOCK_POSTINGS = 4_000_000
+BLOCK_ROWS = 1 << 16
+# Sums of documents that a task gathers before it passes them on.
+GATHERED = 1_000_000
 
 _UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -75,98 +85,205 @@ class PieceCounter:
         return [len(ids) - self.lead for ids in self.library.encode(texts, num_threads=1)]
 
 
-def _emit(found: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
-        names=["unit", "uses"],
-    )
+def _pruned(found: Counter[str], size: int) -> Counter[str]:
+    """The Misra-Gries summary: counts less the largest one that has no place."""
+    if len(found) <= size:
+        return found
+    less = sorted(found.values(), reverse=True)[size]
+    return Counter({unit: n - less for unit, n in found.items() if n > less})
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
             found.update(pre_tokens(text))
-            if len(found) >= GATHERED:
-                yield _emit(found)
-                found = Counter()
-    yield _emit(found)
+            if len(found) > 2 * COUNTERS:
+                found = _pruned(found, COUNTERS)
+    found = _pruned(found, COUNTERS)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
+        names=["unit", "uses"],
+    )
 
 
-def vocabulary(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """unit, uses, pieces: every distinct pre-token, how often it occurs, and its piece count."""
-    seen = docs.select(text_of(docs, text).alias("text")).mapInArrow(
-        _gather, "unit string, uses long"
+def hot_units(texts: DataFrame, model: bytes, hot_bytes: int = HOT_BYTES) -> dict[str, int]:
+    """Piece counts of the frequent pre-tokens: at most ``hot_bytes`` bytes of them."""
+    found = written(
+        texts.mapInArrow(_summary, "unit string, uses long").groupBy("unit").agg(
+            F.sum("uses").alias("uses")
+        ),
+        "frequent",
     )
-    distinct = seen.groupBy("unit").agg(F.sum("uses").alias("uses"))
+    total = found.agg(F.sum("uses")).first()[0] or 0
+    share = F.col("uses").cast("double") * hot_bytes >= F.octet_length("unit").cast("double") * total
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(model)
         for batch in batches:
-            pieces = counter.counts(batch.column("unit").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("unit"), batch.column("uses"), pa.array(pieces, pa.int64())],
-                names=["unit", "uses", "pieces"],
-            )
-
-    return distinct.mapInArrow(count, "unit string, uses long, pieces long")
+            pieces = pa.array(counter.counts(batch.column("unit").to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pieces], names=["unit", "pieces"])
 
-
-def hot_units(known: DataFrame, hot_bytes: int = HOT_BYTES) -> dict[str, int]:
-    """Piece counts of the frequent pre-tokens: at most ``hot_bytes`` bytes of them."""
-    total = known.agg(F.sum("uses").alias("total"))
-    hot = known.join(F.broadcast(total)).where(
-        F.col("uses").cast("double") * hot_bytes >= F.octet_length("unit") * F.col("total")
-    )
-    table = hot.select("unit", "pieces").toArrow()
+    table = found.where(share).select("unit").mapInArrow(count, "unit string, pieces long").toArrow()
     return dict(zip(table.column("unit").to_pylist(), table.column("pieces").to_pylist()))
 
 
-def _rows(hot: dict[str, int]):
-    """One row per document with the sum of its hot part, and one per other pre-token of it.
-
-    A document's own row carries a unit with a blank, which no pre-token has, so these rows are
-    spread over the join and meet nothing.
-    """
-
-    def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Block:
+    """Posting lists of the documents of a block, and what is known of each document."""
+
+    def __init__(self, key_type: pa.DataType):
+        self.key_type = key_type
+        self.lists: dict[str, bytearray] = {}
+        self.keys: list = []
+        self.sizes: list[int] = []
+        self.sums: list[int] = []
+        self.postings = 0
+
+    def add(self, key, text: str, size: int, hot: dict[str, int]) -> None:
+        spot, total = len(self.keys).to_bytes(2, "little"), 0
+        for unit, n in frequencies(text).items():
+            pieces = hot.get(unit)
+            if pieces is None:
+                self.lists.setdefault(unit, bytearray()).extend(spot * n)
+                self.postings += n
+            else:
+                total += n * pieces
+        self.keys.append(key)
+        self.sizes.append(size)
+        self.sums.append(total)
+
+    def full(self) -> bool:
+        return (
+            len(self.lists) >= BLOCK_UNITS
+            or self.postings >= BLOCK_POSTINGS
+            or len(self.keys) == BLOCK_ROWS
+        )
+
+    def rows(self, block: str) -> pa.RecordBatch:
+        """A row for each pre-token, and one for the documents, with a unit that nothing else has."""
+        rest = len(self.lists)
+        lists = pa.array([*map(bytes, self.lists.values()), None], pa.binary())
+        none = [None] * rest
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*self.lists, f" {block}"], pa.string()),
+                pa.array([block] * (rest + 1), pa.string()),
+                lists,
+                pa.array([*none, self.keys], pa.list_(self.key_type)),
+                pa.array([*none, self.sizes], pa.list_(pa.int64())),
+                pa.array([*none, self.sums], pa.list_(pa.int64())),
+            ],
+            names=["unit", "block", "postings", "keys", "sizes", "sums"],
+        )
+
+
+def _posted(hot: dict[str, int]):
+    def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at, part = None, 0, None
+        for batch in batches:
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            names = ("key", "text", "n_bytes")
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                block = block or _Block(batch.column("key").type)
+                block.add(*row, hot)
+                if block.full():
+                    yield block.rows(f"{part}-{at}")
+                    block, at = None, at + 1
+        if block:
+            yield block.rows(f"{part}-{at}")
+
+    return per_block
+
+
+class _Sums:
+    """Sums of documents, by block."""
+
+    def __init__(self):
+        self.names: dict[str, int] = {}
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, blocks: list[str], lists: list[bytes], pieces: np.ndarray) -> None:
+        spots = np.frombuffer(b"".join(lists), dtype="<u2").astype(np.int64)
+        sizes = np.array([len(x) // 2 for x in lists])
+        number = np.array([self.names.setdefault(b, len(self.names)) for b in blocks])
+        place, inverse = np.unique(np.repeat(number, sizes) * BLOCK_ROWS + spots, return_inverse=True)
+        sums = np.bincount(inverse, weights=np.repeat(pieces, sizes), minlength=len(place))
+        self.found.append((place, sums.astype(np.int64)))
+        self.size += len(place)
+        if len(self.found) >= 64:
+            self._join()
+
+    def _join(self) -> None:
+        places = np.concatenate([p for p, _ in self.found])
+        place, inverse = np.unique(places, return_inverse=True)
+        sums = np.zeros(len(place), dtype=np.int64)
+        np.add.at(sums, inverse, np.concatenate([s for _, s in self.found]))
+        self.found, self.size = [(place, sums)], len(place)
+
+    def rows(self) -> list[tuple[str, bytes]]:
+        """A row for each block: numbers of documents and their sums."""
+        if not self.found:
+            return []
+        self._join()
+        (place, sums), names = self.found[0], list(self.names)
+        number = place // BLOCK_ROWS
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        rows = [
+            (names[p[0] // BLOCK_ROWS], (p % BLOCK_ROWS).astype("<u2").tobytes() + s.astype("<u4").tobytes())
+            for p, s in zip(np.split(place, cuts), np.split(sums, cuts))
+        ]
+        self.__init__()
+        return rows
+
+
+def _counted(model: bytes, schema: pa.Schema):
+    """Rows come in order of pre-token, so each one is counted when it is first met."""
+
+    def per_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, sums, last = PieceCounter(model), _Sums(), (None, 0)
         for batch in batches:
-            names, origin, sizes, sums, units, uses = [], [], [], [], [], []
-            columns = [batch.column(c) for c in ("text", "spot", "n_bytes")]
-            for at, (text, spot, size) in enumerate(zip(*[c.to_pylist() for c in columns])):
-                digest = hashlib.blake2b(spot.encode(), digest_size=16)
-                digest.update(text.encode("utf-8", "surrogatepass"))
-                name, total = digest.digest(), 0
-                start = len(units)
-                for unit, n in frequencies(text).items():
-                    pieces = hot.get(unit)
-                    if pieces is None:
-                        units.append(unit)
-                        uses.append(n)
-                    else:
-                        total += n * pieces
-                rest = len(units) - start
-                units.append(f" {name.hex()}")
-                uses.append(0)
-                names += [name] * (rest + 1)
-                origin += [None] * rest + [at]
-                sizes += [None] * rest + [size]
-                sums += [0] * rest + [total]
-            at = pa.array(origin, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names, pa.binary()),
-                    pc.take(batch.column("key"), at),
-                    pa.array(sizes, pa.int64()),
-                    pa.array([0 if o is None else 1 for o in origin], pa.int64()),
-                    pa.array(sums, pa.int64()),
-                    pa.array(units, pa.string()),
-                    pa.array(uses, pa.int64()),
-                ],
-                names=["name", "key", "n_bytes", "copies", "part", "unit", "uses"],
-            )
-
-    return per_document
+            known = batch.filter(batch.column("keys").is_valid())
+            if known.num_rows:
+                parts = pa.nulls(known.num_rows, pa.binary())
+                columns = [known.column(c) for c in ("block", "keys", "sizes", "sums")]
+                yield pa.RecordBatch.from_arrays([*columns, parts], schema=schema)
+            rest = batch.filter(batch.column("postings").is_valid())
+            units = rest.column("unit").to_pylist()
+            if not units:
+                continue
+            new = list(dict.fromkeys(units))
+            fresh = [u for u in new if u != last[0]]
+            pieces = dict(zip(fresh, counter.counts(fresh)))
+            pieces.setdefault(*last)
+            last = (units[-1], pieces[units[-1]])
+            each = np.array([pieces[u] for u in units], dtype=np.int64)
+            sums.add(rest.column("block").to_pylist(), rest.column("postings").to_pylist(), each)
+            if sums.size >= GATHERED:
+                yield _partial(sums.rows(), schema)
+        yield _partial(sums.rows(), schema)
+
+    return per_unit
+
+
+def _partial(rows: list[tuple[str, bytes]], schema: pa.Schema) -> pa.RecordBatch:
+    none = [pa.nulls(len(rows), schema.field(c).type) for c in ("keys", "sizes", "sums")]
+    blocks, parts = [pa.array([r[i] for r in rows], schema.field(c).type) for i, c in ((0, "block"), (1, "parts"))]
+    return pa.RecordBatch.from_arrays([blocks, *none, parts], schema=schema)
+
+
+def _summed(key: str):
+    def per_block(rows: pa.Table) -> pa.Table:
+        known = rows.filter(rows.column("keys").is_valid())
+        keys, sizes = (known.column(c)[0].values for c in ("keys", "sizes"))
+        tokens = known.column("sums")[0].values.to_numpy(zero_copy_only=False).copy()
+        for part in rows.column("parts").drop_null().to_pylist():
+            n = len(part) // 6
+            # Each document is named once in a part.
+            tokens[np.frombuffer(part, "<u2", n)] += np.frombuffer(part, "<u4", n, 2 * n)
+        return pa.table({key: keys, "n_bytes": sizes, "n_tokens": pa.array(tokens, pa.int64())})
+
+    return per_block
 
 
 def token_counts(
@@ -178,31 +295,21 @@ def token_counts(
     """
     with open(model_path, "rb") as f:
         model = f.read()
-    known = written(vocabulary(docs, model, text), "units")
-    hot = hot_units(known)
-    whole, name = text_of(docs, text), column(docs, key)
-    rows = docs.select(
-        name.alias("key"),
+    whole, kind = text_of(docs, text), docs.schema[key].dataType
+    hot = hot_units(docs.select(whole.alias("text")), model)
+    lists = f"keys array<{kind.simpleString()}>, sizes array<long>, sums array<long>"
+    posted = docs.select(
+        column(docs, key).alias("key"),
         whole.alias("text"),
-        F.concat_ws(":", F.spark_partition_id(), name.isNull(), name.cast("string")).alias("spot"),
         F.octet_length(whole).cast("long").alias("n_bytes"),
-    ).mapInArrow(
-        _rows(hot),
-        f"name binary, key {docs.schema[key].dataType.simpleString()}, n_bytes long,"
-        " copies long, part long, unit string, uses long",
-    )
-    met = rows.join(known.select("unit", "pieces"), "unit", "left")
-    tokens = F.col("part") + F.coalesce(F.col("uses") * F.col("pieces"), F.lit(0))
-    sums = met.groupBy("name").agg(
-        F.max("key").alias("key"),
-        F.max("n_bytes").alias("n_bytes"),
-        F.sum("copies").alias("copies"),
-        F.sum(tokens).alias("tokens"),
-    )
-    # Equal rows of one partition: at most as many as the partition has.
-    each = sums.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return each.select(
-        F.col("key").alias(key),
-        "n_bytes",
-        F.call_function("div", F.col("tokens"), F.col("copies")).alias("n_tokens"),
-    )
+        F.spark_partition_id().alias("part"),
+    ).mapInArrow(_posted(hot), f"unit string, block string, postings binary, {lists}")
+    schema = f"block string, {lists}, parts binary"
+    ordered = posted.repartition("unit").sortWithinPartitions("unit")
+    counted = ordered.mapInArrow(_counted(model, _arrow(schema)), schema)
+    result = f"`{key}` {kind.simpleString()}, n_bytes long, n_tokens long"
+    return counted.groupBy("block").applyInArrow(_summed(key), result)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(schema))
