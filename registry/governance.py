@@ -6,41 +6,101 @@ from pyspark.sql import functions as F
 
 import registry.policy_oracle  # noqa: F401  registers its SQL fragments
 from registry import query
-from registry.inputs import silver_table
-from registry.oracle import sql
+from registry.inputs import built, silver_table
+from registry.oracle import GOLD_SOURCES, SILVER_SOURCES, manifest_sql, sql
 from tidelake.operators import governance, policy, remediation
 from tidelake.operators.contracts import FORBIDDEN_PUBLIC_COLUMNS
+from tidelake.operators.determinism import changed_records
+from tidelake.operators.determinism import compare_builds as determinism_of
+from tidelake.operators.quality import union_all
+from tidelake.plans import lakehouse, rules
 from tidelake.session import scratch_path, written
-from tidelake.sources.testdata import policy_inputs, table
+from tidelake.sources.testdata import RAW_TABLES, policy_inputs, table
 
 # ---- governance ----------------------------------------------------------------------
 
 
+_DATASETS = {**SILVER_SOURCES, **GOLD_SOURCES}
+_KEYS = {**rules.SILVER_KEYS, **rules.GOLD_KEYS}
+
+
 @query(
     "k1_determinism",
-    sql("""select d dataset, true content_sha256_equal, true row_count_equal,
-      true column_count_equal, 'PASS' status from (values ('silver_orders'), ('silver_order_items'),
-      ('silver_reviews')) t(d)"""),
+    sql(" union all ".join(
+        f"""select '{n}' dataset, (select count(*) from {s}) row_count, true row_count_equal,
+          true content_equal, 0::bigint differing_records, 'PASS' status"""
+        for n, s in _DATASETS.items())),
 )
 def determinism(spark, sf_dir):
-    """The same datasets built twice, the second time under another partitioning."""
-    names = ("silver_orders", "silver_order_items", "silver_reviews")
-    first = {n: silver_table(spark, sf_dir, n) for n in names}
-    second = {n: df.repartition(13) for n, df in first.items()}
-    return governance.compare_runs(
-        governance.run_manifest(first), governance.run_manifest(second)
+    """Silver and Gold built again, from raw tables written again in other files."""
+    again = {}
+    for name, build in RAW_TABLES.items():
+        path, df = scratch_path(spark, f"raw-{name}"), build(spark, sf_dir)
+        df.repartition(13).write.parquet(path)
+        again[name] = spark.read.schema(df.schema).parquet(path)
+    first = built(spark, sf_dir)
+    second = lakehouse.build(again, scratch_path(spark, "lakehouse"), "run-2")
+    return determinism_of(
+        {**first.silver, **first.gold}, {**second.silver, **second.gold}, _KEYS
     )
 
 
-@query(
-    "k1_fingerprint_counts",
-    sql("""select 'silver_orders' dataset, (select count(*) from s_orders) row_count,
-      11::bigint column_count
-    union all select 'silver_sellers', (select count(*) from s_sellers), 4"""),
-)
+# How the second build of the next query differs: dataset -> condition, and new values or none.
+_PLANTED = {
+    "silver_order_items": ("cast(order_id as bigint) % 1013 = 0 and order_item_id = 1",
+                           {"freight_value": "coalesce(freight_value, 0.0) + 1"}),
+    "silver_sellers": ("cast(seller_id as bigint) % 97 = 0", None),
+    "gold_sales_by_state": ("customer_state = 'N1' or customer_state < 'F'",
+                            {"units_sold": "units_sold + 1"}),
+}
+
+
+def _planted_sql() -> str:
+    parts = []
+    for name, (condition, values) in _PLANTED.items():
+        key = " || '|' || ".join(f"cast({k} as varchar)" for k in _KEYS[name])
+        change = "changed" if values else "missing"
+        parts.append(
+            f"select '{name}' dataset, {key} record_key, '{change}' change"
+            f" from {_DATASETS[name]} where {condition.replace('as bigint', 'as int64')}"
+        )
+    added = "select 'silver_customers', 'new-' || customer_id, 'added' from s_customers"
+    return " union all ".join([*parts, f"{added} where cast(customer_id as int64) % 211 = 0"])
+
+
+@query("k1_localised_changes", sql(_planted_sql()))
+def localised_changes(spark, sf_dir):
+    """A second build with changed, missing and added records: each is named by its key."""
+    house = built(spark, sf_dir)
+    first = {**house.silver, **house.gold}
+    second = {}
+    for name, (condition, values) in _PLANTED.items():
+        hit = F.coalesce(F.expr(condition), F.lit(False))
+        if values is None:
+            second[name] = first[name].where(~hit)
+        else:
+            new = {c: F.when(hit, F.expr(v)).otherwise(F.col(c)) for c, v in values.items()}
+            second[name] = first[name].withColumns(new)
+    customers = first["silver_customers"]
+    more = customers.where("cast(customer_id as bigint) % 211 = 0").withColumn(
+        "customer_id", F.concat(F.lit("new-"), F.col("customer_id"))
+    )
+    second["silver_customers"] = customers.unionByName(more)
+    return union_all(
+        [
+            changed_records(first[n], written(df, "second"), _KEYS[n]).select(
+                F.lit(n).alias("dataset"), "*"
+            )
+            for n, df in second.items()
+        ]
+    )
+
+
+@query("k1_fingerprint_counts", sql(manifest_sql(_DATASETS)))
 def fingerprint_counts(spark, sf_dir):
-    frames = {n: silver_table(spark, sf_dir, n) for n in ("silver_orders", "silver_sellers")}
-    return governance.run_manifest(frames).drop("content_sha256")
+    """Rows, columns and portable content digest of every Silver and Gold dataset."""
+    house = built(spark, sf_dir)
+    return governance.run_manifest({**house.silver, **house.gold})
 
 
 _GATE_HOST, _GATE_PREFIX = "blog.tionsh.example.net", "es/"

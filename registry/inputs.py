@@ -6,13 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelake.plans import gold, lakehouse, silver
 from tidelake.session import scratch_path
-from tidelake.sources.testdata import RAW_TABLES, raw_tables
+from tidelake.sources.testdata import RAW_TABLES
 
 _BUILT: dict[tuple[str, str], lakehouse.Lakehouse] = {}
+_RAW: dict[tuple[str, str, str], DataFrame] = {}
+
+# Records of one file of a raw table: each can be read by a task of its own.
+RAW_FILE_RECORDS = 20_000
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return RAW_TABLES[name](spark, sf_dir)
+    """A raw table as the adapter derives it; written on first use in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _RAW:
+        df, path = RAW_TABLES[name](spark, sf_dir), scratch_path(spark, f"raw-{name}")
+        df.write.option("maxRecordsPerFile", RAW_FILE_RECORDS).parquet(path)
+        _RAW[key] = spark.read.schema(df.schema).parquet(path)
+    return _RAW[key]
+
+
+def raw_zone(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: raw(spark, sf_dir, name) for name in RAW_TABLES}
 
 
 def silver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,5 +47,5 @@ def built(spark: SparkSession, sf_dir: str) -> lakehouse.Lakehouse:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         root = scratch_path(spark, "lakehouse")
-        _BUILT[key] = lakehouse.build(raw_tables(spark, sf_dir), root, "run-1")
+        _BUILT[key] = lakehouse.build(raw_zone(spark, sf_dir), root, "run-1")
     return _BUILT[key]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from tidelake.plans import rules, silver
+from tidelake.sources.schemas import RAW_COLUMNS
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 STAMP = "'%Y-%m-%d %H:%M:%S'"
 
@@ -27,13 +30,32 @@ def num(expr: str, dtype: str) -> str:
     return f"case when {plain} then {value} end"
 
 
+def rejection(expr: str, kind: str) -> str:
+    """Why a raw cell is lost as ``kind``, or NULL."""
+    text = clean(expr)
+    if kind == "timestamp":
+        return f"case when {text} is not null and {ts(expr)} is null then 'unreadable' end"
+    if kind == "consent":
+        literals = "('true','yes','1','false','no','0')"
+        return f"case when lower({text}) not in {literals} then 'unreadable' end"
+    value = num(expr, "double" if kind == "money" else kind)
+    plain = f"regexp_matches({text}, '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$')"
+    beyond = f"try_cast({value} as decimal(18,2)) is null"
+    money = f" when {beyond} then 'beyond_money'" if kind == "money" else ""
+    return (
+        f"case when {text} is null then null when not {plain} then 'unreadable'"
+        f" when {value} is null then 'does_not_fit'{money} end"
+    )
+
+
 def cents(expr: str) -> str:
     """Whole cents of a money amount."""
     return f"cast(round(({expr}) * 100) as hugeint)"
 
 
 def money_sum(expr: str) -> str:
-    return f"cast(sum(cast({expr} as decimal(18,2))) as double)"
+    """Sum of the amounts that fit the money type."""
+    return f"cast(sum(try_cast({expr} as decimal(18,2))) as double)"
 
 
 def ratio(top_cents: str, bottom: str) -> str:
@@ -65,7 +87,11 @@ CTES["b_order_items"] = f"""
 select cast(l_orderkey as varchar) order_id, cast(l_linenumber as varchar) order_item_id,
   cast(l_partkey as varchar) product_id, cast(l_suppkey as varchar) seller_id,
   strftime(l_shipdate, {STAMP}) shipping_limit_date,
-  cast(cast(l_extendedprice as decimal(12,2)) as varchar) price,
+  case when l_linenumber > 1 then cast(cast(l_extendedprice as decimal(12,2)) as varchar)
+    when l_orderkey % 997 = 0 then '1e300'
+    when l_orderkey % 991 = 0 then '12345678901234567.89'
+    when l_orderkey % 983 = 0 then 'free' when l_orderkey % 977 = 0 then '1e400'
+    else cast(cast(l_extendedprice as decimal(12,2)) as varchar) end price,
   cast(round(cast(l_extendedprice as decimal(12,2)) * cast(l_tax as decimal(4,2)), 2) as varchar)
     freight_value
 from lineitem"""
@@ -282,7 +308,7 @@ select product_category_name_english, total_orders, unique_customers, units_sold
 from (select product_category_name_english, count(distinct order_id) total_orders,
   count(distinct customer_unique_id) unique_customers, count(order_item_id) units_sold,
   {_ITEM_SUMS} total_revenue from items group by 1),
- (select {cents('sum(cast(item_total_value as decimal(18,2)))')} t from items)"""
+ (select {cents('sum(try_cast(item_total_value as decimal(18,2)))')} t from items)"""
 CTES["g_customer"] = f"""
 select t.customer_unique_id, coalesce(s.customer_state, 'UNKNOWN') customer_state,
   first_order_date, latest_order_date, total_orders, total_items, distinct_products,
@@ -316,3 +342,102 @@ def sql(body: str) -> str:
         return body
     parts = ",\n".join(f"{name} as ({CTES[name].strip()})" for name in needed)
     return f"with {parts}\n{body.strip()}"
+
+
+# ---- portable content digest -------------------------------------------------------
+
+_KIND = {"timestamp": "timestamp", "consent": "boolean", "bigint": "bigint", "double": "double",
+         "money": "double"}
+
+
+def _silver_columns() -> dict[str, list[tuple[str, str]]]:
+    """Columns of the Silver datasets in order, with their kinds."""
+    result = {}
+    for name, (source, _) in silver.SILVER.items():
+        names = [silver.PRODUCT_RENAMES.get(c, c) for c in RAW_COLUMNS[source]]
+        kinds = silver.KINDS[name]
+        result[name] = [(c, _KIND[kinds[c]] if c in kinds else "string") for c in names]
+    result["silver_orders"] += [
+        ("order_purchase_date", "date"),
+        ("delivery_delay_days", "double"),
+        ("actual_delivery_days", "double"),
+    ]
+    result["silver_order_items"].append(("item_total_value", "double"))
+    result["silver_geolocation"].append(("source_location_records", "bigint"))
+    result["silver_reviews"].insert(0, ("review_record_id", "string"))
+    result["silver_reviews"].append(("review_occurrence", "bigint"))
+    return result
+
+
+COLUMNS = _silver_columns()
+_GOLD_KIND = {"integer": "bigint", "decimal": "double"}
+for _name, _columns in rules.GOLD_COLUMNS.items():
+    COLUMNS[_name] = [(c, _GOLD_KIND.get(k, k)) for c, k in _columns.items()]
+
+
+def exact_double(c: str) -> str:
+    near = f"floor(log2(abs({c})))"
+    low = f"({near} - case when pow(2.0, {near}) > abs({c}) then 1 else 0 end)"
+    power = f"({low} + case when pow(2.0, {low} + 1) <= abs({c}) then 1 else 0 end)"
+    mantissa = f"cast(abs({c}) / pow(2.0, {power}) * {2**52}::double as bigint)"
+    return (
+        f"case when isnan({c}) then 'nan' when isinf({c}) then case when {c} < 0 then '-inf'"
+        f" else 'inf' end when {c} = 0 then '0' else case when {c} < 0 then '-' else '' end"
+        f" || {mantissa} || 'p' || cast({power} as bigint) end"
+    )
+
+
+def cell_text(c: str, kind: str) -> str:
+    texts = {
+        "double": exact_double(c),
+        "timestamp": f"cast(epoch_us({c}) as varchar)",
+        "date": f"cast({c} - date '1970-01-01' as varchar)",
+        "string": c,
+    }
+    return texts.get(kind, f"cast({c} as varchar)")
+
+
+def digest_sql(source: str, columns: list[tuple[str, str]]) -> str:
+    """One row: row_count, column_count, content_sha256."""
+    cells = []
+    for c, kind in columns:
+        text = cell_text(c, kind)
+        cells.append(f"coalesce(strlen({text}) || ':' || {text}, '-')")
+    sums = " || '|' || ".join(
+        f"coalesce(sum(('0x' || substr(h, {8 * i + 1}, 8))::bigint), 0)" for i in range(8)
+    )
+    names = ",".join(c for c, _ in columns)
+    return (
+        f"select count(*) row_count, {len(columns)}::bigint column_count,"
+        f" sha256('{names}|' || count(*) || '|' || {sums}) content_sha256"
+        f" from (select sha256({' || '.join(cells)}) h from {source})"
+    )
+
+
+def manifest_sql(sources: dict[str, str]) -> str:
+    """Digest rows of datasets, each read from its fragment."""
+    return " union all ".join(
+        f"select '{n}' dataset, * from ({digest_sql(source, COLUMNS[n])})"
+        for n, source in sources.items()
+    )
+
+
+SILVER_SOURCES = {
+    "silver_orders": "s_orders",
+    "silver_order_items": "s_order_items",
+    "silver_payments": "s_payments",
+    "silver_customers": "s_customers",
+    "silver_customer_contact": "s_contact",
+    "silver_products": "s_products",
+    "silver_product_categories": "s_categories",
+    "silver_geolocation": "s_geolocation",
+    "silver_reviews": "s_reviews",
+    "silver_sellers": "s_sellers",
+}
+GOLD_SOURCES = {
+    "gold_daily_sales": "g_daily",
+    "gold_sales_by_state": "g_state",
+    "gold_product_category_revenue": "g_category",
+    "gold_customer_order_summary": "g_customer",
+    "gold_public_sales_dashboard": "g_public",
+}

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.inputs import built, items, raw, silver_table
-from registry.oracle import cents, money_sum, ratio, sql
+from registry.oracle import SILVER_SOURCES, cents, manifest_sql, money_sum, ratio, sql
 from tidelake.functions import scalar as S
-from tidelake.operators import joins, ranking
-from tidelake.sources import sinks
+from tidelake.operators import governance, joins, ranking
 from tidelake.sources.testdata import table
 
 # ---- joins -------------------------------------------------------------------------
@@ -107,16 +106,17 @@ def foreign_key_orphans(spark, sf_dir):
     }
     silver["delivered"] = silver["s_orders"].where(F.lower("order_status") == "delivered")
     silver["named"] = raw(spark, sf_dir, "product_category_name_translation")
-    parts = [
-        joins.orphans(silver[child].select(key), key, silver[parent], parent_key).select(
-            F.lit(name).alias("relationship_name"), F.col(key).alias("orphan_key")
-        )
-        for name, (child, key, parent, parent_key) in _ORPHAN_SQL.items()
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    edges = [joins.Edge(name, *rest) for name, rest in _ORPHAN_SQL.items()]
+    lost = joins.edge_keys(silver, edges).where(joins.without_parent() & (F.col("children") > 0))
+    # An orphan key stands once for every child row that has it, listed a million at a time.
+    chunk, left = 1_000_000, F.col("children") - F.col("_from")
+    parts = lost.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("children") - 1, F.lit(chunk))))
+    copies = F.array_repeat(F.lit(0), F.least(left, F.lit(chunk)).cast("int"))
+    return parts.select(
+        F.col("edge").alias("relationship_name"),
+        F.col("key").alias("orphan_key"),
+        F.explode(copies).alias("_copy"),
+    ).drop("_copy")
 
 
 @query(
@@ -134,40 +134,34 @@ def semi_join(spark, sf_dir):
     )
 
 
-_FIRST_RUN = {
-    "orders": "b_orders",
-    "order_payments": "b_order_payments",
-    "order_items": "b_order_items",
-    "geolocation": "b_geolocation",
-}
-_SECOND_RUN = {
-    "orders": "silver_orders",
-    "order_items": "silver_order_items",
-    "geolocation": "silver_geolocation",
-    "sellers": "silver_sellers",
-}
+# Manifests of two runs: each lacks datasets of the other, and the second has one other content.
+_FIRST_RUN = ["silver_orders", "silver_order_items", "silver_sellers", "silver_products"]
+_SECOND_RUN = ["silver_orders", "silver_order_items", "silver_sellers", "silver_customers"]
+_SECOND_SELLERS = "(select * replace (upper(seller_city) as seller_city) from s_sellers)"
 
 
-@query(
-    "c6_full_outer_manifests",
-    sql(f"""select coalesce(a.dataset, b.dataset) dataset,
-      (a.row_count is not null and a.row_count is not distinct from b.row_count) row_count_equal,
-      case when a.row_count is not null and a.row_count is not distinct from b.row_count
-        and a.dataset is not null and b.dataset is not null then 'PASS' else 'FAIL' end status
-    from ({" union all ".join(f"select '{n}' dataset, count(*) row_count from {c}"
-                              for n, c in _FIRST_RUN.items())}) a
-    full join ({" union all ".join(f"select '{n}' dataset, count(*) row_count from s_{n}"
-                                   for n in _SECOND_RUN)}) b
-      on a.dataset = b.dataset"""),
-)
+def _manifests_sql() -> str:
+    second = {n: SILVER_SOURCES[n] for n in _SECOND_RUN} | {"silver_sellers": _SECOND_SELLERS}
+    a = manifest_sql({n: SILVER_SOURCES[n] for n in _FIRST_RUN})
+    equal = {
+        c: f"(a.{c} is not null and a.{c} is not distinct from b.{c})"
+        for c in ("content_sha256", "row_count", "column_count")
+    }
+    return f"""select coalesce(a.dataset, b.dataset) dataset,
+      {", ".join(f"{e} {c}_equal" for c, e in equal.items())},
+      case when {" and ".join(equal.values())} and a.dataset is not null and b.dataset is not null
+        then 'PASS' else 'FAIL' end status
+    from ({a}) a full join ({manifest_sql(second)}) b on a.dataset = b.dataset"""
+
+
+@query("c6_full_outer_manifests", sql(_manifests_sql()))
 def full_outer_manifests(spark, sf_dir):
-    first = {n: raw(spark, sf_dir, n) for n in _FIRST_RUN}
-    second = {n: silver_table(spark, sf_dir, s) for n, s in _SECOND_RUN.items()}
-    return joins.compare_manifests(
-        sinks.count_table(first, "row_count"),
-        sinks.count_table(second, "row_count"),
-        "dataset",
-        ["row_count"],
+    house = built(spark, sf_dir).silver
+    second = {n: house[n] for n in _SECOND_RUN}
+    second["silver_sellers"] = house["silver_sellers"].withColumn("seller_city", F.upper("seller_city"))
+    return governance.compare_runs(
+        governance.run_manifest({n: house[n] for n in _FIRST_RUN}),
+        governance.run_manifest(second),
     )
 
 

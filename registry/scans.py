@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry import query
-from registry.inputs import built, raw, silver_table
-from registry.oracle import sql
+from registry import oracle, query
+from registry.inputs import built, raw, raw_zone, silver_table
+from registry.oracle import COLUMNS, GOLD_SOURCES, digest_sql, manifest_sql, sql
+from tidelake.plans import gold, rules
 from tidelake.plans.rules import SILVER_KEYS
 from tidelake.session import scratch_path, written
 from tidelake.sources import readers, sinks
 from tidelake.sources.schemas import RAW_COLUMNS
-from tidelake.sources.testdata import RAW_TABLES, table
+from tidelake.sources.testdata import table
 
 
 def _raw_csv(spark, sf_dir, name: str) -> str:
@@ -123,8 +124,10 @@ _SILVER_CTES = {
 @query(
     "a6_dataset_manifest",
     sql(" union all ".join(
-        f"""select '{n}' dataset, (select count(*) from {b}) rows_in, count(*) rows_out,
-          {k}::bigint columns, 0::bigint full_duplicates, '' notes from {s}"""
+        f"""select '{n}' dataset, (select count(*) from {b}) rows_in, row_count rows_out,
+          column_count "columns", (select count(*) from {s}) - (select count(*) from
+          (select distinct * from {s})) full_duplicates, content_sha256, '' notes
+          from ({digest_sql(s, COLUMNS[n])})"""
         for n, (b, s, k) in _SILVER_CTES.items())),
 )
 def dataset_manifest(spark, sf_dir):
@@ -136,7 +139,7 @@ def dataset_manifest(spark, sf_dir):
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result.drop("content_sha256")
+    return result
 
 
 SILVER_SOURCES = {
@@ -221,13 +224,21 @@ def file_integrity(spark, sf_dir):
     return sinks.table_integrity(found, manifest)
 
 
+_RAW_CTES = {
+    "customers": "b_customers",
+    "geolocation": "b_geolocation",
+    "order_items": "b_order_items",
+    "order_payments": "b_order_payments",
+    "order_reviews": "b_reviews",
+    "orders": "b_orders",
+    "products": "b_products",
+    "sellers": "b_sellers",
+    "product_category_name_translation": "b_categories",
+    "customer_contact": "b_contact",
+}
 _META = " union all ".join(
-    f"select '{n}' dataset, (select count(*) from {b}) rows, {len(cols)}::bigint columns"
-    for n, b, cols in (
-        ("orders", "b_orders", range(8)),
-        ("order_items", "b_order_items", range(7)),
-        ("sellers", "b_sellers", range(4)),
-    )
+    f"select '{n}' dataset, (select count(*) from {b}) rows, {len(RAW_COLUMNS[n])}::bigint columns"
+    for n, b in _RAW_CTES.items()
 )
 
 
@@ -242,13 +253,12 @@ _META = " union all ".join(
         order by dataset)) d from ({_META}))"""),
 )
 def snapshot_id(spark, sf_dir):
-    """Id of a raw snapshot and of one derived from it, which carries the first in it."""
-    names = ("orders", "order_items", "sellers")
-    rows = sinks.count_table({n: raw(spark, sf_dir, n) for n in names}, "rows")
-    widths = F.create_map(
-        *[F.lit(v) for n in names for v in (n, len(RAW_TABLES[n](spark, sf_dir).columns))]
+    """Id of the snapshot of all raw tables and of one derived from it, which carries the first."""
+    rows = sinks.count_table(raw_zone(spark, sf_dir), "rows")
+    widths = F.create_map(*[F.lit(v) for n, cols in RAW_COLUMNS.items() for v in (n, len(cols))])
+    metadata = written(
+        rows.withColumn("columns", widths[F.col("dataset")].cast("bigint")), "metadata"
     )
-    metadata = rows.withColumn("columns", widths[F.col("dataset")].cast("bigint"))
     source = sinks.snapshot_id(metadata)
     derived = sinks.snapshot_id(metadata, source.scalar())
     return source.select(F.lit("source").alias("kind"), "snapshot_id").unionByName(
@@ -256,34 +266,49 @@ def snapshot_id(spark, sf_dir):
     )
 
 
+# Gold rows are the distinct keys of the delivered items.
+_GOLD_KEYS_SQL = {
+    n: f"(select distinct {', '.join(rules.GOLD_KEYS[n])} from items)" for n in GOLD_SOURCES
+}
+
+
 @query(
     "a10_row_count_reconciliation",
     sql(f"""select dataset, actual_rows, expected_rows,
       case when actual_rows = expected_rows then 'PASS' else 'FAIL' end status from (
       {" union all ".join(f"select '{n}' dataset, (select count(*) from {s}) actual_rows,"
                           f" (select count(*) from {b}) expected_rows"
-                          for n, (b, s, _) in _SILVER_CTES.items())})"""),
+                          for n, (b, s, _) in _SILVER_CTES.items())}
+      union all
+      {" union all ".join(f"select '{n}', (select count(*) from {GOLD_SOURCES[n]}),"
+                          f" (select count(*) from {k})" for n, k in _GOLD_KEYS_SQL.items())})"""),
 )
 def row_count_reconciliation(spark, sf_dir):
-    """Silver rows against raw rows: the datasets that repeat records differ."""
+    """Silver rows against raw rows, where the datasets that repeat records differ, and Gold rows
+    against the distinct keys of the delivered items."""
     house = built(spark, sf_dir)
-    actual = sinks.count_table(house.silver, "actual_rows")
+    actual = sinks.count_table({**house.silver, **house.gold}, "actual_rows")
     expected = {n: raw(spark, sf_dir, SILVER_SOURCES[n]) for n in house.silver}
+    delivered = written(
+        gold.item_enriched(house.silver).select(
+            "order_date", "customer_state", "product_category_name_english", "customer_unique_id"
+        ),
+        "delivered",
+    )
+    for name, key in rules.GOLD_KEYS.items():
+        expected[name] = delivered.select(*key).distinct()
     return sinks.reconcile_counts(actual, sinks.count_table(expected, "expected_rows"))
 
 
 @query(
     "a11_snapshot_publication",
-    sql("""select 'silver_customers' dataset, (select count(*) from s_customers) row_count,
-      5::bigint column_count
-    union all select 'silver_sellers', (select count(*) from s_sellers), 4"""),
+    sql(manifest_sql({**oracle.SILVER_SOURCES, **GOLD_SOURCES})),
 )
 def snapshot_publication(spark, sf_dir):
+    """All Silver and Gold datasets published as one snapshot, with the digest of each."""
+    house = built(spark, sf_dir)
     root = scratch_path(spark, "published")
-    datasets = {
-        n: silver_table(spark, sf_dir, n) for n in ("silver_customers", "silver_sellers")
-    }
-    return sinks.publish_snapshot(spark, root, "snapshot-1", datasets).drop("content_sha256")
+    return sinks.publish_snapshot(spark, root, "snapshot-1", {**house.silver, **house.gold})
 
 
 _SCHEMAS = {

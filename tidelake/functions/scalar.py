@@ -101,9 +101,17 @@ def rounded(value: Column, places: int = 2) -> Column:
 
 
 def round_numeric(df, columns: dict[str, int]):
-    """Round the named numeric columns half-up, each to its own number of places."""
+    """Round the named numeric columns half-up, each to its own number of places.
+
+    A number beyond ``decimal(38,10)`` has no digits behind the point and stays as it is.
+    """
     return df.withColumns(
-        {name: rounded(F.col(name).cast("decimal(38,10)"), k) for name, k in columns.items()}
+        {
+            name: F.coalesce(
+                rounded(F.col(name).try_cast("decimal(38,10)"), k), F.col(name).cast("double")
+            )
+            for name, k in columns.items()
+        }
     )
 
 
@@ -111,3 +119,15 @@ def identifier(value: Column | str) -> Column:
     """Path-safe identifier; NULL where nothing is left of the text."""
     token = F.regexp_replace(_col(value), "[^a-zA-Z0-9._-]+", "-")
     return F.nullif(F.btrim(token, F.lit("-")), F.lit(""))
+
+
+# How the raw text of each kind is read.
+READERS = {
+    "string": clean_string,
+    "timestamp": parse_timestamp,
+    "consent": consent,
+    "bigint": lambda value: to_number(value, "bigint"),
+    "double": lambda value: to_number(value, "double"),
+    # An amount is kept as it was read; sums take it as ``money``.
+    "money": lambda value: to_number(value, "double"),
+}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions.keys import SENSITIVE_NAME_PATTERN
+from tidelake.functions.scalar import to_number
 from tidelake.operators import quality as Q
 from tidelake.session import small_table
 
@@ -130,7 +131,7 @@ def type_violation(column: str, declared: str) -> Column:
     """True for a non-NULL value that is not of the declared type; unknown type: always."""
     value = F.col(column)
     text = value.cast("string")
-    number = text.try_cast("double")
+    number = to_number(text, "double")
     tests = {
         "string": F.typeof(value) != "string",
         "integer": number.isNull() | (number % 1 != 0),
@@ -267,25 +268,43 @@ def contracts_present(
     )
 
 
-def validate_contract(
-    df: DataFrame, contract: Contract, destination: str, name: str
-) -> DataFrame:
-    """Every check of one contract against one dataset."""
-    known = [
+def metadata_results(
+    contract: Contract, destination: str, name: str, present: list[str]
+) -> list[tuple]:
+    """Results that follow from the contract, the zone and the column names alone."""
+    lost = [k for k in contract.primary_key if k not in present]
+    return [
         *metadata_checks(contract, name),
         *destination_checks(contract, destination),
-        *column_checks(contract, df.columns),
-        *privacy_checks(contract, destination, df.columns),
+        *column_checks(contract, present),
+        *privacy_checks(contract, destination, present),
+        ("primary_key_columns_present", not lost, Q.listed(lost), "none missing", ""),
     ]
-    lost = [k for k in contract.primary_key if k not in df.columns]
-    known.append(("primary_key_columns_present", not lost, Q.listed(lost), "none missing", ""))
+
+
+def _has_key(contract: Contract, present: list[str]) -> bool:
+    return bool(contract.primary_key) and set(contract.primary_key) <= set(present)
+
+
+def contract_row_checks(contract: Contract, present: list[str]) -> list[Q.Check]:
+    """Value counters, and NULL keys where the key's columns are there."""
+    checks = value_checks(contract, present)
+    if _has_key(contract, present):
+        checks.append(Q.key_not_null(contract.primary_key))
+    return checks
+
+
+def validate_contract(
+    df: DataFrame, contract: Contract, destination: str, name: str
+) -> DataFrame:
+    """Every check of one contract against one dataset, from one pass and one grouping."""
     parts = [
-        Q.metadata_checks(df, name, known),
-        Q.run_checks(df, name, value_checks(contract, df.columns)),
+        Q.metadata_checks(df, name, metadata_results(contract, destination, name, df.columns)),
+        Q.run_checks(df, name, contract_row_checks(contract, df.columns)),
     ]
-    if not lost and contract.primary_key:
-        parts.append(Q.run_checks(df, name, [Q.key_not_null(contract.primary_key)]))
-        parts.append(Q.key_unique(df, name, contract.primary_key))
+    if _has_key(contract, df.columns):
+        keys = {name: (df, contract.primary_key)}
+        parts.append(Q.unique_rows_and_keys(keys, whole_rows=False))
     return Q.union_all(parts)
 
 

@@ -6,6 +6,8 @@ Join strategy is left to AQE: it broadcasts a side only when the measured size i
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -49,6 +51,47 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
     return child.join(parents, child[child_key] == parents["_parent_key"], "left_anti")
 
 
+@dataclass(frozen=True)
+class Edge:
+    """A relationship: the key column of a child table and of the parent table it points to."""
+
+    name: str
+    child: str
+    key: str
+    parent: str
+    parent_key: str
+
+
+def edge_keys(tables: dict[str, DataFrame], edges: Iterable[Edge]) -> DataFrame:
+    """Every key of every edge once, as text: (edge, key, children, parents).
+
+    Each table is read once, whatever edges it is part of: a row gives its keys with the edge and
+    the side they are on, and one grouping, combined on the map side, brings both sides together.
+    """
+    sides: dict[str, list[Column]] = {}
+    for edge in edges:
+        for table, key, child in ((edge.child, edge.key, 1), (edge.parent, edge.parent_key, 0)):
+            sides.setdefault(table, []).append(
+                F.struct(
+                    F.lit(edge.name).alias("edge"),
+                    F.col(key).cast("string").alias("key"),
+                    F.lit(child).cast("bigint").alias("children"),
+                    F.lit(1 - child).cast("bigint").alias("parents"),
+                )
+            )
+    parts = [tables[name].select(F.inline(F.array(*cells))) for name, cells in sides.items()]
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("edge", "key")
+        .agg(F.sum("children").alias("children"), F.sum("parents").alias("parents"))
+    )
+
+
+def without_parent() -> Column:
+    """Whether the children of an ``edge_keys`` row are orphans; a NULL key has no parent."""
+    return F.col("key").isNull() | (F.col("parents") == 0)
+
+
 def two_way_difference(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of either side without a partner on all keys."""
     missing = expected.join(actual, keys, "left_anti").select(

@@ -6,17 +6,20 @@ which need a grouping), and the single counter row is then unpivoted.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from operator import or_
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions import keys
 from tidelake.functions.scalar import rounded_ratio
-from tidelake.operators.joins import orphans
+from tidelake.operators.joins import Edge, orphans, without_parent
 from tidelake.session import small_table
+from tidelake.sources.sinks import row_hashes
 
 # Tolerances of the reconciliation checks.
 ROW_TOLERANCE = 0.02
@@ -27,10 +30,7 @@ SHARE_TOLERANCE = 0.1
 
 @dataclass(frozen=True)
 class Check:
-    """``observed`` is an aggregate; ``passed`` is a condition on its value ``{v}``.
-
-    Where ``observed`` is the sum of a count in each row, ``each`` is that count.
-    """
+    """``observed`` is an aggregate; ``passed`` is a condition on its value ``{v}``."""
 
     name: str
     observed: Column
@@ -38,13 +38,11 @@ class Check:
     passed: str = "{v} = 0"
     severity: str = "critical"
     details: str = ""
-    each: Column | None = None
 
 
 def violations(name: str, condition: Column, **rest) -> Check:
     """Check that counts the rows where ``condition`` holds and wants none."""
-    each = F.coalesce(condition, F.lit(False)).cast("bigint")
-    return Check(name, F.count_if(condition), each=each, **rest)
+    return Check(name, F.count_if(condition), **rest)
 
 
 def _quoted(text: str) -> str:
@@ -71,28 +69,72 @@ def run_checks(df: DataFrame, dataset: str, checks: list[Check]) -> DataFrame:
     return counters.selectExpr(f"inline(array({rows}))")
 
 
-def grouped_checks(df: DataFrame, dataset: str, key: list[str], checks: list[Check]) -> DataFrame:
-    """Row counters, repeated rows and repeated keys of one dataset from one scan.
+def measure(df: DataFrame, checks: list[Check]) -> dict[str, Any]:
+    """Values of the checks' aggregates, from one pass over the dataset."""
+    return df.agg(*[c.observed.alias(c.name) for c in checks]).first().asDict()
+
+
+def known_results(
+    spark: SparkSession, results: list[tuple[str, Check, Any]]
+) -> DataFrame:
+    """Results of checks (dataset, check, value) that are already measured: no scan at all."""
+    rows = ", ".join(_result(dataset, check, _literal(v)) for dataset, check, v in results)
+    return spark.sql(f"select inline(array({rows}))")
+
+
+def _literal(value: Any) -> str:
+    if value is None:
+        return "cast(null as bigint)"
+    if isinstance(value, Decimal):
+        return f"{value:f}BD"
+    return f"{value}L" if isinstance(value, int) else f"{value!r}D"
 
-    Equal rows are counted first, on the map side too; the counters of the checks are weighted
-    by these counts while the rows are grouped by key. Every check needs ``each``.
+
+def unique_rows_and_keys(
+    datasets: dict[str, tuple[DataFrame, list[str]]], whole_rows: bool = True
+) -> DataFrame:
+    """Repeated keys, and repeated whole rows, of several datasets in one grouping.
+
+    A row goes into the shuffle as hashes of its key and of all its cells (128 bits each), so free
+    text stays where it is. Equal rows are counted first, on the map side too; the keys' counts
+    come from these.
     """
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    by_key = copies.groupBy(*key).agg(
-        F.sum("_n").alias("_rows"),
-        F.sum(F.col("_n") - 1).alias("_extra"),
-        *[F.sum(c.each * F.col("_n")).alias(f"_c{i}") for i, c in enumerate(checks)],
+    parts = []
+    for name, (df, key) in datasets.items():
+        hashes = row_hashes(df.select(*key)) + (row_hashes(df) if whole_rows else [])
+        columns = [h.alias(f"_h{i}") for i, h in enumerate(hashes)]
+        parts.append(df.select(F.lit(name).alias("dataset"), *columns))
+    every = union_all(parts)
+    copies = every.groupBy(*every.columns).agg(F.count(F.lit(1)).alias("_n"))
+    by_key = copies.groupBy("dataset", "_h0", "_h1").agg(
+        F.sum("_n").alias("_rows"), F.sum(F.col("_n") - 1).alias("_extra")
+    )
+    repeated = F.sum(F.when(F.col("_rows") > 1, F.col("_rows")).otherwise(F.lit(0)))
+    counted = by_key.groupBy("dataset").agg(
+        F.sum("_extra").alias("no_full_duplicate_rows"), repeated.alias("primary_key_unique")
     )
+    names = ["no_full_duplicate_rows", "primary_key_unique"][0 if whole_rows else 1 :]
+    return counts_as_results(counted, list(datasets), names)
 
-    def total(value: Column) -> Column:
-        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
 
-    structure = [
-        Check("no_full_duplicate_rows", total(F.col("_extra"))),
-        Check("primary_key_unique", total(F.when(F.col("_rows") > 1, F.col("_rows")))),
-    ]
-    counted = [replace(c, observed=total(F.col(f"_c{i}"))) for i, c in enumerate(checks)]
-    return run_checks(by_key, dataset, [*structure, *counted])
+def counts_as_results(counted: DataFrame, datasets: list[str], names: list[str]) -> DataFrame:
+    """One result per dataset and count column, all wanted 0; an empty dataset has none wrong."""
+    wanted = small_table(
+        counted.sparkSession,
+        [(d, n) for d in datasets for n in names],
+        "dataset string, check_name string",
+    )
+    found = counted.unpivot("dataset", names, "check_name", "_found")
+    value = F.coalesce("_found", F.lit(0))
+    return wanted.join(found, ["dataset", "check_name"], "left").select(
+        "dataset",
+        "check_name",
+        F.when(value == 0, "PASS").otherwise("FAIL").alias("status"),
+        F.lit("critical").alias("severity"),
+        value.cast("bigint").cast("string").alias("observed_value"),
+        F.lit("0").alias("expected_value"),
+        F.lit("").alias("details"),
+    )
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -160,8 +202,7 @@ def exact_columns_of(datasets: dict[str, tuple[DataFrame, list[str]]]) -> DataFr
 
 
 def not_empty() -> Check:
-    rows = F.count(F.lit(1))
-    return Check("dataset_not_empty", rows, "> 0", "{v} > 0", each=F.lit(1).cast("bigint"))
+    return Check("dataset_not_empty", F.count(F.lit(1)), "> 0", "{v} > 0")
 
 
 def key_not_null(key: list[str]) -> Check:
@@ -170,8 +211,7 @@ def key_not_null(key: list[str]) -> Check:
 
 def no_null_cells(df: DataFrame) -> Check:
     cells = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
-    each = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("bigint") for c in df.columns])
-    return Check("no_null_cells", cells, each=each)
+    return Check("no_null_cells", cells)
 
 
 def non_negative(columns: list[str]) -> list[Check]:
@@ -235,6 +275,39 @@ def foreign_key(
     return run_checks(lost, dataset, [Check(name, F.count(F.lit(1)))])
 
 
+def orphan_results(found: DataFrame, edges: list[Edge]) -> DataFrame:
+    """One result per edge from its ``edge_keys``: the children without a parent.
+
+    Edges are named ``dataset/check``.
+    """
+    lost = F.sum(F.when(without_parent(), F.col("children")).otherwise(F.lit(0)))
+    counted = found.groupBy("edge").agg(lost.alias("_found"))
+    split = F.split("edge", "/")
+    named = [tuple(e.name.split("/")) for e in edges]
+    wanted = small_table(found.sparkSession, named, "dataset string, check_name string")
+    counted = counted.select(split[0].alias("dataset"), split[1].alias("check_name"), "_found")
+    value = F.coalesce("_found", F.lit(0))
+    return wanted.join(counted, ["dataset", "check_name"], "left").select(
+        "dataset",
+        "check_name",
+        F.when(value == 0, "PASS").otherwise("FAIL").alias("status"),
+        F.lit("critical").alias("severity"),
+        value.cast("string").alias("observed_value"),
+        F.lit("0").alias("expected_value"),
+        F.lit("").alias("details"),
+    )
+
+
+def covered(found: DataFrame, edge: Edge) -> DataFrame:
+    """Distinct keys of the edge's child per 100 distinct keys of its parent; must be 100.0."""
+    dataset, name = edge.name.split("/")
+    own = found.where(F.col("edge") == edge.name)
+    parts = F.count_if(F.col("key").isNotNull() & (F.col("children") > 0))
+    whole = F.count_if(F.col("key").isNotNull() & (F.col("parents") > 0))
+    share = rounded_ratio(parts * 100, whole, 4)
+    return run_checks(own, dataset, [Check(name, share, "100.0", "{v} = 100.0")])
+
+
 def coverage(
     part: DataFrame, whole: DataFrame, dataset: str, name: str, key: str
 ) -> DataFrame:
@@ -249,16 +322,16 @@ def coverage(
 # ---- text ------------------------------------------------------------------------
 
 
-def pii_like_rows(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
+def pii_like_checks(columns: list[str]) -> list[Check]:
     text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return run_checks(
-        df.select(text.alias("text")),
-        dataset,
-        [
-            violations("no_email_like_values", keys.looks_like_email("text")),
-            violations("no_phone_like_values", keys.looks_like_phone("text")),
-        ],
-    )
+    return [
+        violations("no_email_like_values", keys.looks_like_email(text)),
+        violations("no_phone_like_values", keys.looks_like_phone(text)),
+    ]
+
+
+def pii_like_rows(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
+    return run_checks(df, dataset, pii_like_checks(columns))
 
 
 # ---- roll-up ---------------------------------------------------------------------

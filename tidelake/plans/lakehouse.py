@@ -6,22 +6,26 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from tidelake.operators.contracts import forbidden_name_parts
 from tidelake.plans import gold as G
 from tidelake.plans import silver as S
-from tidelake.plans.rules import GOLD_ZONES
+from tidelake.plans.rules import GOLD_KEYS, GOLD_ZONES, SILVER_KEYS, Counters, write_counters
 from tidelake.sources.sinks import write_dataset
 
 CONCURRENT_WRITES = 4
+CHECKED = {*SILVER_KEYS, *GOLD_KEYS}
 
 
 @dataclass
 class Lakehouse:
     silver: dict[str, DataFrame]
     gold: dict[str, DataFrame]
+    rejected: DataFrame
+    counters: Counters
 
 
 def check_zone(dataset: str, df: DataFrame) -> str:
@@ -32,30 +36,42 @@ def check_zone(dataset: str, df: DataFrame) -> str:
     return zone
 
 
+def write_counted(
+    df: DataFrame, root: str, zone: str, name: str, run_id: str
+) -> tuple[DataFrame, dict[str, Any]]:
+    """Write a dataset; the values of its row checks are counted by the same job."""
+    counted = Observation(f"counters of {name}")
+    columns = [c.observed.alias(c.name) for c in write_counters(name, df)]
+    return write_dataset(df.observe(counted, *columns), root, zone, name, run_id), counted.get
+
+
 def _write_all(
     builders: dict[str, tuple[str, Callable[[], DataFrame]]], root: str, run_id: str
-) -> dict[str, DataFrame]:
+) -> tuple[dict[str, DataFrame], Counters]:
     """Build and write independent datasets at the same time, each as a job of its own."""
 
-    def write(entry: tuple[str, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
+    def write(entry: tuple[str, tuple[str, Callable[[], DataFrame]]]) -> tuple:
         name, (zone, build_one) = entry
-        return write_dataset(build_one(), root, zone, name, run_id)
+        if name not in CHECKED:
+            return write_dataset(build_one(), root, zone, name, run_id), {}
+        return write_counted(build_one(), root, zone, name, run_id)
 
     with ThreadPoolExecutor(max_workers=CONCURRENT_WRITES) as pool:
-        return dict(zip(builders, pool.map(write, builders.items())))
+        done = dict(zip(builders, pool.map(write, builders.items())))
+    frames = {n: frame for n, (frame, _) in done.items()}
+    return frames, {n: counted for n, (_, counted) in done.items() if counted}
 
 
 def build(raw: dict[str, DataFrame], root: str, run_id: str) -> Lakehouse:
-    """Write Silver, the shared item table and Gold under run-unique paths.
+    """Write Silver, its ledger of lost cells, the shared item table and Gold under run-unique paths.
 
     Gold reads the written Silver columns it needs. The item table feeds five datasets,
     so it is written once instead of joining five times.
     """
-    silver = _write_all(
-        {n: ("silver", partial(make, raw[source])) for n, (source, make) in S.SILVER.items()},
-        root,
-        run_id,
-    )
+    builders = {n: ("silver", partial(make, raw[source])) for n, (source, make) in S.SILVER.items()}
+    builders["rejected_cells"] = ("quarantine", partial(S.rejected_cells, raw))
+    silver, counters = _write_all(builders, root, run_id)
+    rejected = silver.pop("rejected_cells")
     items = write_dataset(
         G.item_enriched(silver), root, "gold/internal", "item_enriched", run_id
     )
@@ -68,6 +84,5 @@ def build(raw: dict[str, DataFrame], root: str, run_id: str) -> Lakehouse:
         check_zone(name, df)
         return df
 
-    return Lakehouse(
-        silver, _write_all({n: (GOLD_ZONES[n], partial(gold, n)) for n in G.GOLD}, root, run_id)
-    )
+    built, more = _write_all({n: (GOLD_ZONES[n], partial(gold, n)) for n in G.GOLD}, root, run_id)
+    return Lakehouse(silver, built, rejected, counters | more)

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.functions import keys
-from tidelake.functions.scalar import MONEY
+from tidelake.functions.scalar import money
 from tidelake.operators import quality as Q
+from tidelake.operators import rejects
 from tidelake.operators.contracts import (
     FORBIDDEN_PUBLIC_COLUMNS,
     Contract,
     ContractColumn,
+    contract_row_checks,
     forbidden_name_parts,
+    metadata_results,
 )
+from tidelake.operators.joins import Edge, edge_keys
+from tidelake.plans.silver import KINDS
+from tidelake.session import small_table
 
 # Silver keys.
 SILVER_KEYS = {
@@ -243,34 +251,62 @@ def silver_range_checks(name: str) -> list[Q.Check]:
     return rules.get(name, [])
 
 
+EDGES = [Edge(f"{child}/{check}", child, *rest) for child, check, *rest in FOREIGN_KEYS]
+COVERAGE = Edge(
+    "silver_customer_contact/customer_contact_coverage",
+    "silver_customer_contact",
+    "customer_id",
+    "silver_customers",
+    "customer_id",
+)
+
+# Values of row checks that are measured already: dataset -> check name -> value.
+Counters = dict[str, dict[str, Any]]
+
+
 def foreign_key_checks(silver: dict[str, DataFrame]) -> DataFrame:
+    return Q.orphan_results(edge_keys(silver, EDGES), EDGES)
+
+
+def silver_row_checks(name: str) -> list[Q.Check]:
+    return [Q.key_not_null(SILVER_KEYS[name]), *silver_range_checks(name)]
+
+
+def _row_results(
+    frames: dict[str, DataFrame], checks: dict[str, list[Q.Check]], counters: Counters | None
+) -> DataFrame:
+    """Results of row checks: from what the writes counted, or else from a pass over each dataset."""
+    counters = counters or {n: Q.measure(frames[n], checks[n]) for n in checks}
+    rows = [(n, c, counters[n][c.name]) for n, some in checks.items() for c in some]
+    return Q.known_results(next(iter(frames.values())).sparkSession, rows)
+
+
+def validate_silver(silver: dict[str, DataFrame], counters: Counters | None = None) -> DataFrame:
+    """Structure, keys, ranges, foreign keys and contact coverage of all Silver datasets."""
+    keys_of_edges = edge_keys(silver, [*EDGES, COVERAGE])
     return Q.union_all(
         [
-            Q.foreign_key(silver[child], child, name, key, silver[parent], parent_key)
-            for child, name, key, parent, parent_key in FOREIGN_KEYS
+            Q.required_columns_of({n: (silver[n], SILVER_REQUIRED[n]) for n in SILVER_KEYS}),
+            _row_results(silver, {n: silver_row_checks(n) for n in SILVER_KEYS}, counters),
+            Q.unique_rows_and_keys({n: (silver[n], key) for n, key in SILVER_KEYS.items()}),
+            Q.orphan_results(keys_of_edges, EDGES),
+            Q.covered(keys_of_edges, COVERAGE),
         ]
     )
 
 
-def validate_silver(silver: dict[str, DataFrame]) -> DataFrame:
-    """Structure, keys, ranges, foreign keys and contact coverage of all Silver datasets."""
-    parts = [Q.required_columns_of({n: (silver[n], SILVER_REQUIRED[n]) for n in SILVER_KEYS})]
-    for name, key in SILVER_KEYS.items():
-        checks = [Q.key_not_null(key), *silver_range_checks(name)]
-        parts.append(Q.grouped_checks(silver[name], name, key, checks))
-    parts.append(foreign_key_checks(silver))
-    parts.append(contact_coverage(silver))
-    return Q.union_all(parts)
+def contact_coverage(silver: dict[str, DataFrame]) -> DataFrame:
+    return Q.covered(edge_keys(silver, [COVERAGE]), COVERAGE)
 
 
-def contact_coverage(silver: dict[str, DataFrame]) -> DataFrame:
-    return Q.coverage(
-        silver["silver_customer_contact"],
-        silver["silver_customers"],
-        "silver_customer_contact",
-        "customer_contact_coverage",
-        "customer_id",
-    )
+def validate_typing(silver: dict[str, DataFrame], rejected: DataFrame) -> DataFrame:
+    """Lost cells by dataset, column and reason, and item amounts that no sum can hold."""
+    amounts = [
+        Q.violations(f"{c}_within_money", F.col(c).isNotNull() & money(c).isNull())
+        for c in ("price", "freight_value", "item_total_value")
+    ]
+    items = Q.run_checks(silver["silver_order_items"], "silver_order_items", amounts)
+    return rejects.ledger_checks(rejected, KINDS).unionByName(items)
 
 
 # ---- Gold --------------------------------------------------------------------------
@@ -368,7 +404,7 @@ def source_totals(silver: dict[str, DataFrame]) -> DataFrame:
     amounts = {"product": "price", "freight": "freight_value", "total": "item_total_value"}
     sums = lines.agg(
         F.count(F.lit(1)).cast("decimal(38,0)").alias("items"),
-        *[F.coalesce(F.sum(F.col(c).cast(MONEY)), F.lit(0)).alias(n) for n, c in amounts.items()],
+        *[F.coalesce(F.sum(money(c)), F.lit(0)).alias(n) for n, c in amounts.items()],
     )
     return _melt(orders, "source", "expected").unionByName(_melt(sums, "source", "expected"))
 
@@ -382,18 +418,30 @@ def _melt(row: DataFrame, key: str, value: str) -> DataFrame:
     return row.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
 
 
-def reconcile_with_source(gold: dict[str, DataFrame], silver: dict[str, DataFrame]) -> DataFrame:
+def gold_totals(name: str) -> list[Q.Check]:
+    """Totals of a Gold dataset that must agree with Silver; named like the totals of Silver."""
+    orders, units, total = _TOTALS[name]
+    columns = {"items": units, "total": total}
+    columns.update({"product": "product_revenue", "freight": "freight_revenue"})
+    if orders:
+        columns["orders"] = orders
+    return [Q.Check(source, F.sum(money(c))) for source, c in columns.items()]
+
+
+def reconcile_with_source(
+    gold: dict[str, DataFrame], silver: dict[str, DataFrame], counters: Counters | None = None
+) -> DataFrame:
     """Order, item and revenue totals of each Gold dataset against Silver."""
-    parts = []
-    for name, (orders, units, total) in _TOTALS.items():
-        columns = {"items": units, "total": total}
-        columns.update({"product": "product_revenue", "freight": "freight_revenue"})
-        if orders:
-            columns["orders"] = orders
-        sums = gold[name].agg(
-            *[F.sum(F.col(c).cast(MONEY)).alias(source) for source, c in columns.items()]
-        )
-        parts.append(_melt(sums, "source", "observed").withColumn("dataset", F.lit(name)))
+    spark = next(iter(gold.values())).sparkSession
+    rows = []
+    for name in _TOTALS:
+        totals = gold_totals(name)
+        found = counters[name] if counters else Q.measure(gold[name], totals)
+        rows += [
+            (name, t.name, None if found[t.name] is None else str(found[t.name])) for t in totals
+        ]
+    observed = small_table(spark, rows, "dataset string, source string, observed string")
+    observed = observed.withColumn("observed", F.col("observed").cast("decimal(38,2)"))
     names = F.create_map(
         *[
             F.lit(v)
@@ -416,8 +464,7 @@ def reconcile_with_source(gold: dict[str, DataFrame], silver: dict[str, DataFram
         return F.when(counted, whole).otherwise(F.col(value).cast("string"))
 
     return (
-        Q.union_all(parts)
-        .join(source_totals(silver), "source")
+        observed.join(source_totals(silver), "source")
         .select(
             "dataset",
             names[F.col("source")].alias("check_name"),
@@ -448,23 +495,59 @@ def public_column_check(df: DataFrame) -> DataFrame:
     )
 
 
-def validate_gold(gold: dict[str, DataFrame], silver: dict[str, DataFrame]) -> DataFrame:
+def gold_row_checks(name: str, df: DataFrame) -> list[Q.Check]:
+    public = name == "gold_public_sales_dashboard"
+    return [
+        Q.not_empty(),
+        Q.key_not_null(GOLD_KEYS[name]),
+        Q.no_null_cells(df),
+        *gold_rule_checks(name),
+        *(Q.pii_like_checks(["customer_state", "product_category_name_english"]) if public else []),
+    ]
+
+
+def validate_gold(
+    gold: dict[str, DataFrame], silver: dict[str, DataFrame], counters: Counters | None = None
+) -> DataFrame:
     """Structure, rules, privacy and source reconciliation of all Gold datasets."""
-    parts = [Q.exact_columns_of({n: (gold[n], list(GOLD_COLUMNS[n])) for n in GOLD_KEYS})]
-    for name, key in GOLD_KEYS.items():
-        df = gold[name]
-        checks = [Q.not_empty(), Q.key_not_null(key), Q.no_null_cells(df), *gold_rule_checks(name)]
-        parts.append(Q.grouped_checks(df, name, key, [c for c in checks if c.each is not None]))
-        if totals := [c for c in checks if c.each is None]:
-            parts.append(Q.run_checks(df, name, totals))
-    public = gold["gold_public_sales_dashboard"]
-    parts.append(public_column_check(public))
-    parts.append(
-        Q.pii_like_rows(
-            public,
-            "gold_public_sales_dashboard",
-            ["customer_state", "product_category_name_english"],
-        )
+    return Q.union_all(
+        [
+            Q.exact_columns_of({n: (gold[n], list(GOLD_COLUMNS[n])) for n in GOLD_KEYS}),
+            _row_results(gold, {n: gold_row_checks(n, gold[n]) for n in GOLD_KEYS}, counters),
+            Q.unique_rows_and_keys({n: (gold[n], key) for n, key in GOLD_KEYS.items()}),
+            public_column_check(gold["gold_public_sales_dashboard"]),
+            reconcile_with_source(gold, silver, counters),
+        ]
+    )
+
+
+def validate_contracts(gold: dict[str, DataFrame], counters: Counters | None = None) -> DataFrame:
+    """Every contract check of all Gold datasets."""
+    contracts = {n: gold_contract(n) for n in GOLD_KEYS}
+    checks = {n: contract_row_checks(contracts[n], gold[n].columns) for n in GOLD_KEYS}
+    known = [
+        (n, *result)
+        for n, contract in contracts.items()
+        for result in metadata_results(contract, GOLD_ZONES[n], n, gold[n].columns)
+    ]
+    return Q.union_all(
+        [
+            Q.metadata_table(next(iter(gold.values())).sparkSession, known),
+            _row_results(gold, checks, counters),
+            Q.unique_rows_and_keys(
+                {n: (gold[n], key) for n, key in GOLD_KEYS.items()}, whole_rows=False
+            ),
+        ]
     )
-    parts.append(reconcile_with_source(gold, silver))
-    return Q.union_all(parts)
+
+
+def write_counters(name: str, df: DataFrame) -> list[Q.Check]:
+    """What the write of a dataset counts, so that no later check reads it again."""
+    if name in SILVER_KEYS:
+        return silver_row_checks(name)
+    checks = [
+        *gold_row_checks(name, df),
+        *gold_totals(name),
+        *contract_row_checks(gold_contract(name), df.columns),
+    ]
+    return list({c.name: c for c in checks}.values())

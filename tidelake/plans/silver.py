@@ -6,14 +6,13 @@ that differ only in case stay two records.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.functions import keys
 from tidelake.functions import scalar as S
-from tidelake.operators import ranking
+from tidelake.operators import ranking, rejects
+from tidelake.operators.quality import union_all
 from tidelake.session import written
 
 # Spelling corrections of raw column names.
@@ -23,23 +22,80 @@ PRODUCT_RENAMES = {
 }
 
 
-def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Clean every column, read the named ones as their type, drop repeated rows."""
-    readers: dict[str, Callable] = {
-        "string": S.clean_string,
-        "timestamp": S.parse_timestamp,
-        "consent": S.consent,
-        "bigint": lambda c: S.to_number(c, "bigint"),
-        "double": lambda c: S.to_number(c, "double"),
-    }
-    return df.select(
-        *[readers[types.get(c, "string")](c).alias(c) for c in df.columns]
-    ).distinct()
+# Silver dataset -> kinds of its typed columns; every other column is text.
+KINDS = {
+    "silver_orders": {
+        c: "timestamp"
+        for c in (
+            "order_purchase_timestamp",
+            "order_approved_at",
+            "order_delivered_carrier_date",
+            "order_delivered_customer_date",
+            "order_estimated_delivery_date",
+        )
+    },
+    "silver_order_items": {
+        "order_item_id": "bigint",
+        "shipping_limit_date": "timestamp",
+        "price": "money",
+        "freight_value": "money",
+    },
+    "silver_payments": {
+        "payment_sequential": "bigint",
+        "payment_installments": "bigint",
+        "payment_value": "money",
+    },
+    "silver_customers": {"customer_zip_code_prefix": "bigint"},
+    "silver_customer_contact": {"marketing_consent": "consent"},
+    "silver_products": {
+        c: "double"
+        for c in (
+            "product_name_length",
+            "product_description_length",
+            "product_photos_qty",
+            "product_weight_g",
+            "product_length_cm",
+            "product_height_cm",
+            "product_width_cm",
+        )
+    },
+    "silver_product_categories": {},
+    "silver_geolocation": {
+        "geolocation_zip_code_prefix": "bigint",
+        "geolocation_lat": "double",
+        "geolocation_lng": "double",
+    },
+    "silver_reviews": {
+        "review_score": "bigint",
+        "review_creation_date": "timestamp",
+        "review_answer_timestamp": "timestamp",
+    },
+    "silver_sellers": {"seller_zip_code_prefix": "bigint"},
+}
+
+# Silver dataset -> raw columns that name a record in the ledger of lost cells.
+RECORD_KEYS = {
+    "silver_orders": ["order_id"],
+    "silver_order_items": ["order_id", "order_item_id"],
+    "silver_payments": ["order_id", "payment_sequential"],
+    "silver_customers": ["customer_id"],
+    "silver_customer_contact": ["customer_id"],
+    "silver_products": ["product_id"],
+    "silver_product_categories": ["product_category_name"],
+    "silver_geolocation": ["geolocation_zip_code_prefix"],
+    "silver_reviews": ["review_id", "order_id"],
+    "silver_sellers": ["seller_id"],
+}
+
+
+def _typed(df: DataFrame, dataset: str) -> DataFrame:
+    """Clean every column, read the typed ones, drop repeated rows."""
+    kinds = KINDS[dataset]
+    return df.select(*[S.READERS[kinds.get(c, "string")](c).alias(c) for c in df.columns]).distinct()
 
 
 def silver_orders(raw: DataFrame) -> DataFrame:
-    stamps = [c for c in raw.columns if c.endswith(("_timestamp", "_at", "_date"))]
-    orders = _typed(raw, dict.fromkeys(stamps, "timestamp"))
+    orders = _typed(raw, "silver_orders")
     return orders.withColumns(
         {
             "order_purchase_date": F.to_date("order_purchase_timestamp"),
@@ -54,57 +110,38 @@ def silver_orders(raw: DataFrame) -> DataFrame:
 
 
 def silver_order_items(raw: DataFrame) -> DataFrame:
-    items = _typed(
-        raw,
-        {
-            "order_item_id": "bigint",
-            "shipping_limit_date": "timestamp",
-            "price": "double",
-            "freight_value": "double",
-        },
-    )
+    items = _typed(raw, "silver_order_items")
     return items.withColumn("item_total_value", F.col("price") + F.col("freight_value"))
 
 
 def silver_payments(raw: DataFrame) -> DataFrame:
-    return _typed(
-        raw,
-        {
-            "payment_sequential": "bigint",
-            "payment_installments": "bigint",
-            "payment_value": "double",
-        },
-    )
+    return _typed(raw, "silver_payments")
 
 
 def silver_customers(raw: DataFrame) -> DataFrame:
-    return _typed(raw, {"customer_zip_code_prefix": "bigint"}).withColumns(
+    return _typed(raw, "silver_customers").withColumns(
         {"customer_city": F.lower("customer_city"), "customer_state": F.upper("customer_state")}
     )
 
 
 def silver_sellers(raw: DataFrame) -> DataFrame:
-    return _typed(raw, {"seller_zip_code_prefix": "bigint"}).withColumns(
+    return _typed(raw, "silver_sellers").withColumns(
         {"seller_city": F.lower("seller_city"), "seller_state": F.upper("seller_state")}
     )
 
 
 def silver_customer_contact(raw: DataFrame) -> DataFrame:
-    return _typed(raw, {"marketing_consent": "consent"}).withColumn(
+    return _typed(raw, "silver_customer_contact").withColumn(
         "synthetic_email", F.lower("synthetic_email")
     )
 
 
 def silver_products(raw: DataFrame) -> DataFrame:
-    renamed = raw.withColumnsRenamed(PRODUCT_RENAMES)
-    measures = [
-        c for c in renamed.columns if c not in ("product_id", "product_category_name")
-    ]
-    return _typed(renamed, dict.fromkeys(measures, "double"))
+    return _typed(raw.withColumnsRenamed(PRODUCT_RENAMES), "silver_products")
 
 
 def silver_product_categories(raw: DataFrame) -> DataFrame:
-    return _typed(raw, {}).withColumns(
+    return _typed(raw, "silver_product_categories").withColumns(
         {
             "product_category_name": F.lower("product_category_name"),
             "product_category_name_english": F.lower("product_category_name_english"),
@@ -115,14 +152,7 @@ def silver_product_categories(raw: DataFrame) -> DataFrame:
 def geolocation_records(raw: DataFrame) -> DataFrame:
     """Distinct located records with a readable postal prefix, case-normalised."""
     return (
-        _typed(
-            raw,
-            {
-                "geolocation_zip_code_prefix": "bigint",
-                "geolocation_lat": "double",
-                "geolocation_lng": "double",
-            },
-        )
+        _typed(raw, "silver_geolocation")
         .where(F.col("geolocation_zip_code_prefix").isNotNull())
         .withColumns(
             {
@@ -157,12 +187,7 @@ def silver_geolocation(raw: DataFrame) -> DataFrame:
 def silver_reviews(raw: DataFrame) -> DataFrame:
     """Distinct reviews; records that share all identifying fields get a number each."""
     identity = ["review_id", "order_id", "review_creation_date", "review_answer_timestamp"]
-    types = {
-        "review_score": "bigint",
-        "review_creation_date": "timestamp",
-        "review_answer_timestamp": "timestamp",
-    }
-    records = written(_typed(raw, types), "reviews")
+    records = written(_typed(raw, "silver_reviews"), "reviews")
     order = [
         F.coalesce("review_comment_title", F.lit("")),
         F.coalesce("review_comment_message", F.lit("")),
@@ -194,3 +219,13 @@ SILVER = {
 
 def build_silver(raw: dict[str, DataFrame], names: list[str] | None = None) -> dict:
     return {n: SILVER[n][1](raw[SILVER[n][0]]) for n in names or SILVER}
+
+
+def rejected_cells(raw: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
+    """Ledger of the raw cells that the named Silver datasets lose (all by default)."""
+    parts = []
+    for name in names or SILVER:
+        if KINDS[name]:
+            source = raw[SILVER[name][0]].withColumnsRenamed(PRODUCT_RENAMES)
+            parts.append(rejects.rejected_cells(source, name, RECORD_KEYS[name], KINDS[name]))
+    return union_all(parts)

@@ -10,34 +10,48 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.session import small_table
+from tidelake.session import small_table, written
+from tidelake.sources import csv_split
 from tidelake.sources.schemas import RAW_COLUMNS, RUN_RESULT_SCHEMA, raw_schema
 
 CORRUPT = "_malformed"
 
 
 def read_raw_csv(
-    spark: SparkSession,
-    path: str,
-    table: str,
-    multi_line: bool = True,
-    corrupt_column: str | None = None,
+    spark: SparkSession, path: str, table: str, corrupt_column: str | None = None
 ) -> DataFrame:
     """Raw CSV with a header, as text. A missing path fails when the frame is built.
 
-    Quoted line breaks need ``multi_line``, which reads each file in one task: write raw
-    exports as many files of moderate size, or turn it off where no field holds a break.
+    A file is read by as many tasks as it has splits, also where quoted fields hold line breaks.
+    Every file's header must name the columns of the table in order.
     """
-    reader = (
-        spark.read.schema(raw_schema(table, corrupt_column))
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-    )
+    found = csv_split.records(spark, path)
+    _check_headers(found.where("header"), table)
+    schema = raw_schema(table, corrupt_column)
+    options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
     if corrupt_column:
-        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    return reader.csv(path)
+        options["columnNameOfCorruptRecord"] = corrupt_column
+    fields = F.from_csv("text", F.lit(_ddl(schema)), options)
+    return found.where(~F.col("header")).select(fields.alias("f")).select("f.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def _check_headers(headers: DataFrame, table: str) -> None:
+    """Refuse a file whose first record is not the list of the table's columns."""
+    columns = RAW_COLUMNS[table]
+    # One place more than there are columns, for a header that is too long.
+    places = ", ".join(f"c{i} string" for i in range(len(columns) + 1))
+    named = F.from_csv(F.regexp_replace("text", "^\ufeff", ""), F.lit(places), {"escape": '"'})
+    wanted = F.struct(
+        *[F.lit(c).alias(f"c{i}") for i, c in enumerate(columns)],
+        F.lit(None).cast("string").alias(f"c{len(columns)}"),
+    )
+    wrong = headers.where(~named.eqNullSafe(wanted)).select("text").distinct().take(3)
+    if wrong:
+        raise ValueError(f"{table}: header {[r['text'] for r in wrong]} is not {columns}")
 
 
 def _any(df: DataFrame, columns: list[str], test) -> Column:
@@ -73,12 +87,9 @@ def json_lines(raw: DataFrame, table: str) -> DataFrame:
 def convert_csv_to_json_lines(
     spark: SparkSession, csv_path: str, out_path: str, table: str
 ) -> DataFrame:
-    """Write the JSON-lines copy of a raw CSV; refuses malformed input."""
-    header = spark.read.option("header", False).option("multiLine", True).csv(csv_path).first()
-    if header is not None and len(set(header)) != len(header):
-        raise ValueError(f"{csv_path}: duplicate header {list(header)}")
+    """Write the JSON-lines copy of a raw CSV; refuses malformed input of any file."""
     raw = read_raw_csv(spark, csv_path, table, corrupt_column=CORRUPT)
-    report = csv_conversion_report(raw, table)
+    report = written(csv_conversion_report(raw, table), "conversion")
     totals = report.first()
     if totals["wrong_arity"] or totals["with_nul"]:
         raise ValueError(f"{csv_path}: {totals.asDict()}")

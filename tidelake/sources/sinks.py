@@ -30,27 +30,65 @@ def row_hashes(df: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *cells) for seed in ("first", "second")]
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content fingerprint: equal for the same rows under any partitioning."""
-    first, second = row_hashes(df)
-    hashed = df.select(first.alias("a"), second.alias("b"))
-    return hashed.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *[
-            F.sum(F.col(c).cast("decimal(38,0)")).alias(f"hash_sum_{c}")
-            for c in ("a", "b")
-        ],
-    ).withColumn("column_count", F.lit(len(df.columns)).cast("bigint"))
+def _exact_double(value: Column) -> Column:
+    """A double as sign, whole mantissa and exponent of two, exactly and in any engine alike."""
+    size = F.abs(value)
+    near = F.floor(F.log2(size))
+    power = near - F.when(F.pow(F.lit(2.0), near) > size, 1).otherwise(0)
+    power = power + F.when(F.pow(F.lit(2.0), power + 1) <= size, 1).otherwise(0)
+    mantissa = (size / F.pow(F.lit(2.0), power) * float(2**52)).cast("bigint")
+    sign = F.when(value < 0, "-").otherwise("")
+    infinite = size == F.lit(float("inf"))
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(infinite, F.concat(sign, F.lit("inf")))
+        .when(size == 0, "0")
+        .otherwise(F.concat(sign, mantissa.cast("string"), F.lit("p"), power.cast("string")))
+    )
+
+
+def cell_text(df: DataFrame, name: str) -> Column:
+    """A cell as text that does not depend on how an engine prints its type."""
+    value, kind = F.col(name), df.schema[name].dataType.typeName()
+    if kind in ("double", "float"):
+        return _exact_double(value.cast("double"))
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(value.cast("timestamp")).cast("string")
+    if kind == "date":
+        return F.unix_date(value).cast("string")
+    return value.cast("string")
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a row: every cell with its length in bytes before it, NULL as a dash."""
+    cells = []
+    for name in df.columns:
+        text = cell_text(df, name)
+        whole = F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
+        cells.append(F.coalesce(whole, F.lit("-")))
+    return F.sha2(F.concat(*cells), 256)
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """Fingerprint as one SHA-256, with the column names in it."""
-    parts = [F.col(c).cast("string") for c in ("row_count", "hash_sum_a", "hash_sum_b")]
-    digest = F.sha2(
-        F.concat_ws("|", F.lit(",".join(df.columns)), *[F.coalesce(p, F.lit("")) for p in parts]),
-        256,
+    """Rows, columns and one SHA-256 of the content, whatever the order of the rows.
+
+    The digests of the rows are summed in eight parts of 32 bits, so repeated rows count; the
+    column names are in it. Any engine with SHA-256 can work it out again.
+    """
+    digests = df.select(row_digest(df).alias("_digest"))
+    sums = [
+        F.sum(F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("decimal(28,0)"))
+        for i in range(8)
+    ]
+    parts = [F.coalesce(s, F.lit(0)).cast("string") for s in sums]
+    names = F.lit(",".join(df.columns))
+    return digests.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.lit(len(df.columns)).cast("bigint").alias("column_count"),
+        F.sha2(F.concat_ws("|", names, F.count(F.lit(1)).cast("string"), *parts), 256).alias(
+            "content_sha256"
+        ),
     )
-    return fingerprint(df).select("row_count", "column_count", digest.alias("content_sha256"))
 
 
 def full_duplicate_rows(df: DataFrame) -> DataFrame:

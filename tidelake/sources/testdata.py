@@ -97,7 +97,13 @@ def raw_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         product_id="l_partkey",
         seller_id="l_suppkey",
         shipping_limit_date="l_shipdate",
-        price="cast(l_extendedprice as decimal(12,2))",
+        price=(
+            "case when l_linenumber > 1 then cast(cast(l_extendedprice as decimal(12,2)) as string)"
+            " when l_orderkey % 997 = 0 then '1e300' when l_orderkey % 991 = 0"
+            " then '12345678901234567.89' when l_orderkey % 983 = 0 then 'free'"
+            " when l_orderkey % 977 = 0 then '1e400'"
+            " else cast(cast(l_extendedprice as decimal(12,2)) as string) end"
+        ),
         freight_value=(
             "round(cast(l_extendedprice as decimal(12,2)) * cast(l_tax as decimal(4,2)), 2)"
         ),
