@@ -127,9 +127,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     ``component_id`` is the smallest ``doc_id`` of the rows that linked fingerprints reach, the
     own one included. Defined cases: a NULL text counts as empty; texts without words have the
-    fingerprint zero and are linked like others; repeated rows give repeated results; NULL ids
-    are passed over when the smallest is taken, and a component without any id has NULL. Other
-    columns are not read.
+    fingerprint zero and are linked like others; texts of any length are taken whole; repeated
+    rows give repeated results; NULL ids are passed over when the smallest is taken, and a
+    component without any id has NULL; an empty table gives an empty one. Other columns are not
+    read, whatever their names.
     """
     body = text_of(docs, text).cast("binary")
     marked = written(
