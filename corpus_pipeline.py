@@ -12,7 +12,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.llm import decontamination, near_copies, pieces, quality_rules, secrets
+from tidelake.llm import decontamination, pieces, quality_rules, secrets, simhash
 from tidelake.llm.common import prepare, read
 from tidelake.llm.registry import PIECES
 from tidelake.session import written
@@ -25,12 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays.
-
-    Groups are linked by five-word shingles with a similarity of 0.8; op2 has its own contract.
-    """
+    """The document with the smallest id of each group of linked fingerprints stays."""
     prepare(spark)
-    return near_copies.keep_first(docs)
+    return simhash.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
