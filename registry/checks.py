@@ -12,6 +12,7 @@ from tidelake.operators import quality as Q
 from tidelake.plans import rules, silver
 from tidelake.session import scratch_path
 from tidelake.sources import readers
+from tidelake.sources.schemas import RAW_COLUMNS
 from tidelake.sources.testdata import table
 
 S_CTE = {
@@ -176,6 +177,18 @@ def silver_validation(spark, sf_dir):
     return rules.validate_silver(house.silver, house.counters)
 
 
+RAW_TABLE_CTE = {
+    "customers": "b_customers",
+    "geolocation": "b_geolocation",
+    "order_items": "b_order_items",
+    "order_payments": "b_order_payments",
+    "order_reviews": "b_reviews",
+    "orders": "b_orders",
+    "products": "b_products",
+    "sellers": "b_sellers",
+    "product_category_name_translation": "b_categories",
+    "customer_contact": "b_contact",
+}
 RAW_CTE = {
     "silver_orders": "b_orders",
     "silver_order_items": "b_order_items",
@@ -635,7 +648,13 @@ def contract_sql(name: str) -> str:
     return union(*parts)
 
 
-@query("h19_gold_contracts", sql(union(*[contract_sql(n) for n in G_CTE])))
+def contracts_sql() -> str:
+    present = known("contracts", "all_contracts_present", True, "none", "none missing")
+    outputs = [known(n, "gold_output_exists", True, "true", "true") for n in G_CTE]
+    return union(present, *outputs, *[contract_sql(n) for n in G_CTE])
+
+
+@query("h19_gold_contracts", sql(contracts_sql()))
 def gold_contracts(spark, sf_dir):
     """H17-H22: every contract check of the five Gold datasets."""
     house = built(spark, sf_dir)
@@ -737,26 +756,73 @@ def pii_like_values(spark, sf_dir):
     return Q.pii_like_rows(documents, "documents", ["text"])
 
 
-_GENERIC = {
-    "silver_orders": ["order_id"],
-    "silver_customers": ["customer_id"],
-    "silver_products": ["product_id"],
-    "silver_sellers": ["seller_id"],
-    "silver_reviews": ["review_record_id"],
-    "silver_geolocation": ["geolocation_zip_code_prefix"],
-}
+_TABLES = {**S_CTE, **G_CTE}
 
 
-@query("h25_generic_tests", sql(union(*[
-    part for n, k in _GENERIC.items()
-    for part in (key_not_null(n, S_CTE[n], k), key_unique(n, S_CTE[n], k))])))
-def generic_tests(spark, sf_dir):
-    silver = built(spark, sf_dir).silver
+def _declared_sql() -> str:
     parts = []
-    for name, key in _GENERIC.items():
-        parts.append(Q.run_checks(silver[name], name, [Q.key_not_null(key)]))
-        parts.append(Q.key_unique(silver[name], name, key))
-    return Q.union_all(parts)
+    for name, columns in rules.DECLARED_TESTS.items():
+        for c, once in columns.items():
+            parts.append(failing(name, f"{c}_not_null", _TABLES[name], f"{c} is null"))
+            if once:
+                parts.append(row(name, f"{c}_unique",
+                                 f"(select 1 from {_TABLES[name]} where {c} is not null"
+                                 f" group by {c} having count(*) > 1)", "count(*)"))
+    return union(*parts)
+
+
+@query("h25_generic_tests", sql(_declared_sql()))
+def generic_tests(spark, sf_dir):
+    """All declared column tests of Silver and Gold."""
+    house = built(spark, sf_dir)
+    return Q.declared_tests({**house.silver, **house.gold}, rules.DECLARED_TESTS)
+
+
+_WRONG_TESTS = {
+    "lineitem": {"l_orderkey": True, "l_linenumber": True},
+    "events": {"event_id": True, "user_id": True},
+}
+
+
+@query("h25_failing_tests", union(*[
+    row(name, f"{c}_{kind}", source, "count(*)")
+    for name, columns in _WRONG_TESTS.items() for c in columns
+    for kind, source in (
+        ("not_null", f"(select 1 from {name} where {c} is null)"),
+        ("unique", f"(select 1 from {name} where {c} is not null group by {c}"
+                   " having count(*) > 1)"))]))
+def failing_tests(spark, sf_dir):
+    """Columns of the given tables declared unique that are not."""
+    return Q.declared_tests({n: table(spark, sf_dir, n) for n in _WRONG_TESTS}, _WRONG_TESTS)
+
+
+def _suites_sql() -> str:
+    suites = {"silver_validation": silver_sql(), "gold_validation": gold_sql(),
+              "gold_contract_validation": contracts_sql()}
+    return " union all ".join(
+        f"""select '{n}' suite, {rules.EXPECTED_DATASETS[n]}::bigint expected_datasets,
+          {rules.EXPECTED_CHECKS[n]}::bigint expected_checks,
+          count(distinct dataset) filter (where dataset <> 'contracts') dataset_count,
+          count(*) check_count, count(*) filter (where status <> 'PASS') failed_checks,
+          count(distinct dataset) filter (where dataset <> 'contracts')
+            = {rules.EXPECTED_DATASETS[n]} and count(*) = {rules.EXPECTED_CHECKS[n]} suite_complete,
+          case when count(distinct dataset) filter (where dataset <> 'contracts')
+            = {rules.EXPECTED_DATASETS[n]} and count(*) = {rules.EXPECTED_CHECKS[n]}
+            and count(*) filter (where status <> 'PASS') = 0 then 'PASS' else 'FAIL' end status
+        from ({body})"""
+        for n, body in suites.items())
+
+
+@query("h27_suite_counts", sql(_suites_sql()))
+def suite_counts(spark, sf_dir):
+    """The three suites against the checks and datasets each must have."""
+    house = built(spark, sf_dir)
+    suites = {
+        "silver_validation": rules.validate_silver(house.silver, house.counters),
+        "gold_validation": rules.validate_gold(house.gold, house.silver, house.counters),
+        "gold_contract_validation": rules.validate_contracts(house.gold, house.counters),
+    }
+    return acceptance.accept_suites(suites, rules.EXPECTED_CHECKS, rules.EXPECTED_DATASETS)
 
 
 STAGES = ["silver_build", "silver_validation", "gold_build", "gold_validation",
@@ -873,25 +939,31 @@ def profile_sql(dataset: str, source: str, columns: dict[str, str]) -> str:
     return union(*parts)
 
 
+_PROFILED = {
+    **{f"raw_{n}": (RAW_TABLE_CTE[n], {c: "string" for c in RAW_COLUMNS[n]}) for n in RAW_COLUMNS},
+    "silver_payments": ("s_payments", {
+        "order_id": "string", "payment_sequential": "bigint", "payment_type": "string",
+        "payment_installments": "bigint", "payment_value": "double"}),
+    "silver_reviews": ("s_reviews", {
+        "review_record_id": "string", "review_id": "string", "order_id": "string",
+        "review_score": "bigint", "review_comment_title": "string",
+        "review_comment_message": "string", "review_creation_date": "timestamp",
+        "review_answer_timestamp": "timestamp", "review_occurrence": "bigint"}),
+}
+_PROFILED["raw_customer_contact"][1]["marketing_consent"] = "boolean"
+
+
 @query(
     "i1_column_profile",
-    sql(union(
-        profile_sql("silver_payments", "s_payments", {
-            "order_id": "string", "payment_sequential": "bigint", "payment_type": "string",
-            "payment_installments": "bigint", "payment_value": "double"}),
-        profile_sql("silver_reviews", "s_reviews", {
-            "review_record_id": "string", "review_id": "string", "order_id": "string",
-            "review_score": "bigint", "review_comment_title": "string",
-            "review_comment_message": "string", "review_creation_date": "timestamp",
-            "review_answer_timestamp": "timestamp", "review_occurrence": "bigint"}),
-    ).replace("/100, 0.0) / 100 null_percentage", "/10000, 0.0) null_percentage")),
+    sql(union(*[profile_sql(n, source, columns) for n, (source, columns) in _PROFILED.items()])
+        .replace("/100, 0.0) / 100 null_percentage", "/10000, 0.0) null_percentage")),
 )
 def column_profile(spark, sf_dir):
-    return profile.column_profile(
-        silver_table(spark, sf_dir, "silver_payments"), "silver_payments"
-    ).unionByName(
-        profile.column_profile(silver_table(spark, sf_dir, "silver_reviews"), "silver_reviews")
-    )
+    """Every column of all raw tables, and of two Silver datasets for the other types."""
+    tables = {f"raw_{n}": raw(spark, sf_dir, n) for n in RAW_COLUMNS}
+    silver_built = built(spark, sf_dir).silver
+    tables.update({n: silver_built[n] for n in ("silver_payments", "silver_reviews")})
+    return profile.column_profiles(tables)
 
 
 @query(

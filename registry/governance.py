@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 import registry.policy_oracle  # noqa: F401  registers its SQL fragments
 from registry import query
 from registry.inputs import built, silver_table
-from registry.oracle import GOLD_SOURCES, SILVER_SOURCES, manifest_sql, sql
-from tidelake.operators import governance, policy, remediation
+from registry.oracle import GOLD_SOURCES, SILVER_SOURCES, digest_sql, manifest_sql, sql
+from tidelake.operators import governance, policy, publication, remediation
 from tidelake.operators.contracts import FORBIDDEN_PUBLIC_COLUMNS
 from tidelake.operators.determinism import changed_records
 from tidelake.operators.determinism import compare_builds as determinism_of
@@ -331,6 +331,37 @@ def redacted_documents(spark, sf_dir):
     return remediation.redact(documents, ["source", "n_chars"], ["text"])
 
 
+_REDACTED_SQL = f"""(select doc_id, regexp_replace(regexp_replace(text, '{_EMAIL}', '[email]', 'g'),
+      '{_PHONE}', '[phone]', 'g') text, lang, n_chars, text as original from documents)"""
+_REDACTED_COLUMNS = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("n_chars", "bigint")]
+
+
+@query(
+    "l3a_republication",
+    f"""select attempt, outcome, n row_count, leftovers, forbidden_columns, true others_unchanged,
+      1::bigint pointer, content_sha256 published_sha256
+    from ({digest_sql(_REDACTED_SQL, _REDACTED_COLUMNS)}),
+      (select count(*) n, count(*) filter (where text <> original) dirty from {_REDACTED_SQL}),
+      lateral (values ('clean', 'PUBLISHED', 0::bigint, 0::bigint),
+        ('unmasked', 'REJECTED', dirty, 0::bigint),
+        ('beaten', 'BEATEN', 0::bigint, 0::bigint)) t(attempt, outcome, leftovers, forbidden_columns)""",
+)
+def republication(spark, sf_dir):
+    """A clean candidate, one that was not masked, and a clean one whose writer was too slow."""
+    documents, root = table(spark, sf_dir, "documents"), scratch_path(spark, "publication")
+    masked, dropped = ["text"], ["source"]
+    clean = remediation.redact(documents, dropped, masked)
+    attempts = {"clean": clean, "unmasked": documents.drop(*dropped), "beaten": clean}
+    parts = []
+    for name, candidate in attempts.items():
+        seen = publication.Pointer() if name == "beaten" else None
+        found = publication.republish(
+            documents, candidate, root, "documents", masked, dropped, seen
+        )
+        parts.append(found.select(F.lit(name).alias("attempt"), "*").drop("dataset"))
+    return union_all(parts)
+
+
 @query(
     "l3a_redacted_contact",
     sql("select pii_classification, count(*) n from s_contact group by 1"),
@@ -418,7 +449,7 @@ _REQUEST_SQL = """(select event_id, case when event_id % 29 = 0 then 'C1' else '
     event_type, case event_type when 'view' then 'PAC-PRIVACY-001' when 'purchase' then 'PAC-FRESH-001'
       else 'PAC-QUALITY-001' end policy_id,
     case when event_id % 41 = 0 then 'yesterday' else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end detected_at,
-    date_trunc('second', ts) detected, event_id % 4 retry_count, event_id % 3 max_retries, ts
+    date_trunc('second', ts) detected, event_id % 4 retry_count, event_id % 3 max_retries, ts, props
   from events)"""
 _REQUEST_REASON = """case when event_id % 37 = 0 then 'missing_field'
   when condition <> 'C2' then 'condition_not_accepted'
@@ -450,31 +481,27 @@ def request_validation(spark, sf_dir):
     "l3d_quarantine_events",
     f"""select 'c2-q-' || substr(sha256(run_id || '|' || scenario_id || '|' || source_key || '|' || d
         || '|' || detected_at), 1, 24) quarantine_event_id, run_id, scenario_id,
-      d rejected_output_location, policy_id, detected detected_at, ts quarantined_at,
-      retry_count, max_retries, 'BLOCKED' release_status, 'QUARANTINED' final_state
+      event_type source_dataset, 'gold.' || event_type source_relation, d rejected_output_location,
+      case event_type when 'view' then 'privacy' when 'purchase' then 'freshness' else 'quality' end
+        policy_category,
+      policy_id, 'V1' violation_code, props violation_details, 'Internal' data_classification,
+      detected detected_at, ts quarantined_at, 'quarantine' remediation_action,
+      'SUCCEEDED' remediation_status, retry_count, max_retries, false manual_review_required,
+      'NOT_REQUIRED' manual_review_status, 'BLOCKED' release_status, null::timestamp released_at,
+      'QUARANTINED' final_state, 'evidence/' || event_id evidence_uri
     from (select *, 's3://lake/quarantine/objects/' || scenario_id || '/' ||
         regexp_replace(run_id, '[^a-zA-Z0-9._-]+', '-', 'g') || '/part-' || event_id || '.parquet' d
       from {_REQUEST_SQL}) where {_REQUEST_REASON} is null""",
 )
 def quarantine_events(spark, sf_dir):
-    """Events of the accepted requests, appended twice: the replay adds no row."""
+    """Events of the accepted requests in two appends that share a part, and a replay of all."""
     accepted = _requests(spark, sf_dir).where("reject_reason is null")
-    events = remediation.quarantine_events(accepted, F.col("ts"), "lake")
+    events = written(remediation.quarantine_events(accepted, F.col("ts"), "lake"), "events")
     path = scratch_path(spark, "quarantine-events")
-    remediation.append_events(events, path)
-    return remediation.append_events(events, path).select(
-        "quarantine_event_id",
-        "run_id",
-        "scenario_id",
-        "rejected_output_location",
-        "policy_id",
-        "detected_at",
-        "quarantined_at",
-        "retry_count",
-        "max_retries",
-        "release_status",
-        "final_state",
-    )
+    early = F.dayofmonth("detected_at") <= 20
+    remediation.append_events(events.where(early), path)
+    remediation.append_events(events.where(~early | (F.dayofmonth("detected_at") > 10)), path)
+    return remediation.append_events(events, path)
 
 
 @query("l4_check_results", sql("select run_key, scenario_id, check_name, policy_id, status from checked"))

@@ -9,7 +9,7 @@ from registry import query
 from registry.inputs import built, items, raw, silver_table
 from registry.oracle import SILVER_SOURCES, cents, manifest_sql, money_sum, ratio, sql
 from tidelake.functions import scalar as S
-from tidelake.operators import governance, joins, ranking
+from tidelake.operators import governance, joins, profile, ranking
 from tidelake.sources.testdata import table
 
 # ---- joins -------------------------------------------------------------------------
@@ -480,10 +480,8 @@ _SAMPLE = ["payment_type", "payment_installments", "payment_value"]
           order by v limit 3)) sample_values""" for c in _SAMPLE)),
 )
 def sample_values(spark, sf_dir):
-    from tidelake.operators.profile import _value_counts, smallest_values
-
     payments = silver_table(spark, sf_dir, "silver_payments").select(*_SAMPLE)
-    return smallest_values(_value_counts(payments))
+    return profile.smallest_values({"payments": profile.as_text(payments)}).drop("dataset")
 
 
 _BRANCHES = {

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.operators import quality as Q
+from tidelake.session import small_table
 
 
 def contact_metrics(contact: DataFrame) -> DataFrame:
@@ -81,3 +82,32 @@ def accept_runs(stages: DataFrame, expected: list[str]) -> DataFrame:
         "overall_status",
         F.when(F.col("stage_sequence_correct") & (faults == 0), "PASS").otherwise("FAIL"),
     )
+
+
+def accept_suites(
+    results: dict[str, DataFrame], checks: dict[str, int], datasets: dict[str, int]
+) -> DataFrame:
+    """One row per validation suite: its datasets, checks and failures against what is expected.
+
+    A suite that runs too few checks is refused even if all of them pass.
+    """
+    parts = [df.select(F.lit(suite).alias("suite"), "dataset", "status") for suite, df in results.items()]
+    named = F.col("dataset") != "contracts"
+    counted = Q.union_all(parts).groupBy("suite").agg(
+        F.count_distinct(F.when(named, F.col("dataset"))).alias("dataset_count"),
+        F.count(F.lit(1)).alias("check_count"),
+        F.count_if(F.coalesce(F.col("status") != "PASS", F.lit(True))).alias("failed_checks"),
+    )
+    wanted = small_table(
+        counted.sparkSession,
+        [(suite, datasets[suite], n) for suite, n in checks.items()],
+        "suite string, expected_datasets bigint, expected_checks bigint",
+    )
+    joined = wanted.join(counted, "suite", "left").na.fill(0)
+    complete = (F.col("dataset_count") == F.col("expected_datasets")) & (
+        F.col("check_count") == F.col("expected_checks")
+    )
+    return joined.withColumn("suite_complete", complete).withColumn(
+        "status",
+        F.when(F.col("suite_complete") & (F.col("failed_checks") == 0), "PASS").otherwise("FAIL"),
+    )

@@ -256,16 +256,23 @@ def metadata_checks(contract: Contract, expected_name: str) -> list[tuple]:
     ]
 
 
+def set_results(contracts: list[Contract], expected: list[str], outputs: list[str]) -> list[tuple]:
+    """Results of a set of contracts: (dataset, check, ...). None is missing, each has its output."""
+    names = {c.dataset for c in contracts}
+    missing = [n for n in expected if n not in names]
+    return [
+        ("contracts", "all_contracts_present", not missing, Q.listed(missing), "none missing", ""),
+        *[
+            (n, "gold_output_exists", n in outputs, str(n in outputs).lower(), "true", "")
+            for n in expected
+        ],
+    ]
+
+
 def contracts_present(
     df: DataFrame, contracts: list[Contract], expected: list[str]
 ) -> DataFrame:
-    names = {c.dataset for c in contracts}
-    missing = [n for n in expected if n not in names]
-    return Q.metadata_checks(
-        df,
-        "contracts",
-        [("all_contracts_present", not missing, Q.listed(missing), "none missing", "")],
-    )
+    return Q.metadata_table(df.sparkSession, set_results(contracts, expected, expected)[:1])
 
 
 def metadata_results(

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.functions.scalar import parse_timestamp, rounded_ratio
@@ -13,68 +17,107 @@ from tidelake.session import small_table
 SAMPLE_SIZE = 3
 
 
-def _value_counts(df: DataFrame) -> DataFrame:
-    """(column, value as text, rows): one scan, combined on the map side."""
-    cells = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            (F.col(name) + 0.0 if dtype in ("double", "float") else F.col(name))
+def as_text(df: DataFrame) -> DataFrame:
+    """Every column as text; negative zero is zero."""
+    return df.select(
+        *[
+            (F.col(f"`{n}`") + 0.0 if t in ("double", "float") else F.col(f"`{n}`"))
             .cast("string")
-            .alias("value"),
-        )
-        for name, dtype in df.dtypes
-    ]
-    pairs = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    return pairs.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows"))
+            .alias(n)
+            for n, t in df.dtypes
+        ]
+    )
+
 
+def _smallest(dataset: str, size: int):
+    """The smallest distinct texts of each column among the rows of a task."""
 
-def smallest_values(counts: DataFrame, size: int = SAMPLE_SIZE) -> DataFrame:
-    """The ``size`` smallest distinct values of each column, as one text.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, pa.Array] = {}
+        for batch in batches:
+            for name, values in zip(batch.schema.names, batch.columns):
+                some = pa.concat_arrays([best[name], values]) if name in best else values
+                some = pc.unique(some.drop_null())
+                best[name] = some.take(pc.select_k_unstable(some, size, [("", "ascending")]))
+        rows = [(n, v) for n, values in best.items() for v in values.to_pylist()]
+        names, texts = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([dataset] * len(rows), pa.string()), pa.array(names, pa.string()),
+             pa.array(texts, pa.string())],
+            names=["dataset", "column_name", "value"],
+        )
 
-    The rank limit is applied before the shuffle, so each task sends ``size`` rows a column.
+    return run
+
+
+def smallest_values(tables: dict[str, DataFrame], size: int = SAMPLE_SIZE) -> DataFrame:
+    """The ``size`` smallest distinct values of every column of text tables, as one text.
+
+    Each task keeps the smallest ones it sees, so it sends ``size`` rows a column and no more.
     """
-    window = Window.partitionBy("column_name").orderBy("value")
-    ranked = counts.where(F.col("value").isNotNull()).withColumn(
-        "rank", F.row_number().over(window)
-    )
-    # At most ``size`` rows reach each group.
-    kept = F.sort_array(F.collect_list("value"))
-    return (
-        ranked.where(F.col("rank") <= size)
-        .groupBy("column_name")
-        .agg(F.array_join(kept, " | ").alias("sample_values"))
+    schema = "dataset string, column_name string, value string"
+    found = union_all([df.mapInArrow(_smallest(n, size), schema) for n, df in tables.items()])
+    kept = F.slice(F.sort_array(F.collect_set("value")), 1, size)
+    return found.groupBy("dataset", "column_name").agg(
+        F.array_join(kept, " | ").alias("sample_values")
     )
 
 
-def column_profile(df: DataFrame, dataset: str) -> DataFrame:
-    counts = _value_counts(df)
-    profile = counts.groupBy("column_name").agg(
-        F.sum("rows").alias("row_count"),
-        F.sum(F.when(F.col("value").isNull(), F.col("rows")).otherwise(0)).alias("null_count"),
-        F.count("value").alias("unique_count"),
+def _counts(df: DataFrame, dataset: str) -> DataFrame:
+    """Rows, NULLs and distinct values of each column; values travel as 128-bit hashes."""
+    names = df.columns
+    hashed = df.select(
+        *[
+            F.when(
+                F.col(f"`{c}`").isNotNull(),
+                F.struct(F.xxhash64(F.lit("a"), f"`{c}`"), F.xxhash64(F.lit("b"), f"`{c}`")),
+            ).alias(f"c{i}")
+            for i, c in enumerate(names)
+        ]
     )
-    names = small_table(
-        df.sparkSession,
-        [(n, t, i) for i, (n, t) in enumerate(df.dtypes, start=1)],
-        "column_name string, dtype string, position int",
+    row = hashed.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        *[F.count(f"c{i}").alias(f"filled{i}") for i in range(len(names))],
+        *[F.count_distinct(f"c{i}").alias(f"distinct{i}") for i in range(len(names))],
     )
-    joined = names.join(profile, "column_name", "left").join(
-        smallest_values(counts), "column_name", "left"
+    parts = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            (F.col("row_count") - F.col(f"filled{i}")).alias("null_count"),
+            F.col(f"distinct{i}").alias("unique_count"),
+        )
+        for i, c in enumerate(names)
+    ]
+    return row.select(F.lit(dataset).alias("dataset"), "row_count", F.inline(F.array(*parts)))
+
+
+def column_profiles(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per column of every table: rows, NULLs, distinct values and a few of them."""
+    texts = {name: as_text(df) for name, df in tables.items()}
+    spark = next(iter(tables.values())).sparkSession
+    names = small_table(
+        spark,
+        [(d, n, t) for d, df in tables.items() for n, t in df.dtypes],
+        "dataset string, column_name string, dtype string",
     )
-    rows = F.coalesce("row_count", F.lit(0)).cast("bigint")
-    nulls = F.coalesce("null_count", F.lit(0)).cast("bigint")
+    counts = union_all([_counts(df, name) for name, df in texts.items()])
+    by = ["dataset", "column_name"]
+    joined = names.join(counts, by, "left").join(smallest_values(texts), by, "left")
     return joined.select(
-        F.lit(dataset).alias("dataset"),
-        "column_name",
+        *by,
         "dtype",
-        rows.alias("row_count"),
-        nulls.alias("null_count"),
-        rounded_ratio(nulls * 100, rows, 4).alias("null_percentage"),
-        F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"),
+        "row_count",
+        "null_count",
+        rounded_ratio(F.col("null_count") * 100, F.col("row_count"), 4).alias("null_percentage"),
+        "unique_count",
         F.coalesce("sample_values", F.lit("")).alias("sample_values"),
     )
 
 
+def column_profile(df: DataFrame, dataset: str) -> DataFrame:
+    return column_profiles({dataset: df})
+
+
 def dataset_profile(df: DataFrame, dataset: str, key: list[str] | None) -> DataFrame:
     """Rows, columns, repeated rows, and key faults; key figures are NULL without a key."""
     copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))

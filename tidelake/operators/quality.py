@@ -117,6 +117,48 @@ def unique_rows_and_keys(
     return counts_as_results(counted, list(datasets), names)
 
 
+def declared_tests(
+    tables: dict[str, DataFrame], tests: dict[str, dict[str, bool]]
+) -> DataFrame:
+    """Results of declared column tests: values that are NULL, and values that occur repeatedly.
+
+    All columns of all datasets go into one grouping: each dataset is read once, its rows give
+    their value under every tested column (as GROUPING SETS over these columns would), and equal
+    values are counted on the map side first.
+    """
+    parts = []
+    for name, columns in tests.items():
+        cells = [
+            F.struct(F.lit(f"{name}/{c}").alias("test"), F.col(c).cast("string").alias("value"))
+            for c in columns
+        ]
+        parts.append(tables[name].select(F.inline(F.array(*cells))))
+    values = union_all(parts).groupBy("test", "value").agg(F.count(F.lit(1)).alias("n"))
+    nulls = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
+    repeats = F.count_if(F.col("value").isNotNull() & (F.col("n") > 1))
+    found = values.groupBy("test").agg(nulls.alias("not_null"), repeats.alias("unique"))
+    wanted = [
+        (name, f"{c}_{kind}", f"{name}/{c}", kind)
+        for name, columns in tests.items()
+        for c, once in columns.items()
+        for kind in (("not_null", "unique") if once else ("not_null",))
+    ]
+    declared = small_table(
+        values.sparkSession, wanted, "dataset string, check_name string, test string, kind string"
+    )
+    counted = found.unpivot("test", ["not_null", "unique"], "kind", "_found")
+    value = F.coalesce("_found", F.lit(0))
+    return declared.join(counted, ["test", "kind"], "left").select(
+        "dataset",
+        "check_name",
+        F.when(value == 0, "PASS").otherwise("FAIL").alias("status"),
+        F.lit("critical").alias("severity"),
+        value.cast("bigint").cast("string").alias("observed_value"),
+        F.lit("0").alias("expected_value"),
+        F.lit("").alias("details"),
+    )
+
+
 def counts_as_results(counted: DataFrame, datasets: list[str], names: list[str]) -> DataFrame:
     """One result per dataset and count column, all wanted 0; an empty dataset has none wrong."""
     wanted = small_table(

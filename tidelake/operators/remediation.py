@@ -339,18 +339,30 @@ def quarantine_events(requests: DataFrame, quarantined_at: Column, bucket: str)
 def append_events(events: DataFrame, path: str) -> DataFrame:
     """Append the events that are not in the table yet; a replay adds nothing.
 
-    Assumes one writer at a time: Parquet folders have no transactions.
+    The table is partitioned by the day of detection. An event's id is made of the moment it was
+    detected, among others, so a replay can only repeat events of its own days: the look-up reads
+    the partitions of these days and no more of the history. Assumes one writer at a time: Parquet
+    folders have no transactions.
     """
     spark = events.sparkSession
-    new = events.dropDuplicates(["quarantine_event_id"])
+    new = events.dropDuplicates(["quarantine_event_id"]).withColumn(
+        "detected_date", F.to_date("detected_at")
+    )
     try:
-        existing = spark.read.schema(events.schema).parquet(path).select("quarantine_event_id")
-        new = new.join(existing, "quarantine_event_id", "left_anti").select(*events.columns)
+        history = spark.read.schema(new.schema).parquet(path)
+        new = new.join(known_events(new, history), "quarantine_event_id", "left_anti")
+        new = new.select(*history.columns)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise  # only a first append may find no table
-    new.write.mode("append").parquet(path)
-    return spark.read.schema(events.schema).parquet(path)
+    new.write.mode("append").partitionBy("detected_date").parquet(path)
+    return spark.read.schema(new.schema).parquet(path).select(*events.columns)
+
+
+def known_events(new: DataFrame, history: DataFrame) -> DataFrame:
+    """Ids of the history on the days of the new events; as many days as the append has."""
+    days = [r[0] for r in new.select("detected_date").distinct().collect()]
+    return history.where(F.col("detected_date").isin(days)).select("quarantine_event_id")
 
 
 # ---- recovery ------------------------------------------------------------------------

@@ -18,6 +18,7 @@ from tidelake.operators.contracts import (
     contract_row_checks,
     forbidden_name_parts,
     metadata_results,
+    set_results,
 )
 from tidelake.operators.joins import Edge, edge_keys
 from tidelake.plans.silver import KINDS
@@ -299,6 +300,35 @@ def contact_coverage(silver: dict[str, DataFrame]) -> DataFrame:
     return Q.covered(edge_keys(silver, [COVERAGE]), COVERAGE)
 
 
+# Declared tests, as the columns of each dataset that are never NULL, and whether
+# each of their values occurs once.
+DECLARED_TESTS = {
+    "silver_orders": {"order_id": True},
+    "silver_customer_contact": {"customer_id": True},
+    "silver_customers": {"customer_id": True},
+    "silver_geolocation": {"geolocation_zip_code_prefix": True},
+    "silver_order_items": {"order_id": False, "order_item_id": False},
+    "silver_payments": {"order_id": False, "payment_sequential": False},
+    "silver_product_categories": {"product_category_name": True},
+    "silver_products": {"product_id": True},
+    "silver_reviews": {"review_record_id": True},
+    "silver_sellers": {"seller_id": True},
+    "gold_daily_sales": {"order_date": True},
+    "gold_sales_by_state": {"customer_state": True},
+    "gold_product_category_revenue": {"product_category_name_english": True},
+    "gold_customer_order_summary": {"customer_unique_id": True},
+    "gold_public_sales_dashboard": {
+        "order_date": False,
+        "customer_state": False,
+        "product_category_name_english": False,
+    },
+}
+
+# Checks of each suite: Silver has the two business rules beside the 53 of the first baseline.
+EXPECTED_CHECKS = {"silver_validation": 55, "gold_validation": 110, "gold_contract_validation": 211}
+EXPECTED_DATASETS = {"silver_validation": 10, "gold_validation": 5, "gold_contract_validation": 5}
+
+
 def validate_typing(silver: dict[str, DataFrame], rejected: DataFrame) -> DataFrame:
     """Lost cells by dataset, column and reason, and item amounts that no sum can hold."""
     amounts = [
@@ -525,7 +555,8 @@ def validate_contracts(gold: dict[str, DataFrame], counters: Counters | None = N
     """Every contract check of all Gold datasets."""
     contracts = {n: gold_contract(n) for n in GOLD_KEYS}
     checks = {n: contract_row_checks(contracts[n], gold[n].columns) for n in GOLD_KEYS}
-    known = [
+    known = set_results(list(contracts.values()), list(GOLD_KEYS), list(gold))
+    known += [
         (n, *result)
         for n, contract in contracts.items()
         for result in metadata_results(contract, GOLD_ZONES[n], n, gold[n].columns)
