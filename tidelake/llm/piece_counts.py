@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,10 +204,12 @@ class _Sums:
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, blocks: list[str], lists: list[bytes], pieces: np.ndarray) -> None:
-        spots = np.frombuffer(b"".join(lists), dtype="<u2").astype(np.int64)
-        sizes = np.array([len(x) // 2 for x in lists])
-        number = np.array([self.names.setdefault(b, len(self.names)) for b in blocks])
+    def add(self, blocks: pa.Array, lists: pa.Array, pieces: np.ndarray) -> None:
+        coded = blocks.dictionary_encode()
+        names = [self.names.setdefault(b, len(self.names)) for b in coded.dictionary.to_pylist()]
+        number = np.array(names)[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = pc.binary_length(lists).to_numpy(zero_copy_only=False) // 2
+        spots = np.frombuffer(b"".join(lists.to_pylist()), dtype="<u2").astype(np.int64)
         place, inverse = np.unique(np.repeat(number, sizes) * BLOCK_ROWS + spots, return_inverse=True)
         sums = np.bincount(inverse, weights=np.repeat(pieces, sizes), minlength=len(place))
         self.found.append((place, sums.astype(np.int64)))
@@ -238,7 +241,7 @@ class _Sums:
 
 
 def _counted(model: bytes, schema: pa.Schema):
-    """Rows come in order of pre-token, so each one is counted when it is first met."""
+    """Rows of a pre-token come side by side, so each one is counted when it is first met."""
 
     def per_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, sums, last = PieceCounter(model), _Sums(), (None, 0)
@@ -249,16 +252,18 @@ def _counted(model: bytes, schema: pa.Schema):
                 columns = [known.column(c) for c in ("block", "keys", "sizes", "sums")]
                 yield pa.RecordBatch.from_arrays([*columns, parts], schema=schema)
             rest = batch.filter(batch.column("postings").is_valid())
-            units = rest.column("unit").to_pylist()
-            if not units:
+            if not rest.num_rows:
                 continue
-            new = list(dict.fromkeys(units))
-            fresh = [u for u in new if u != last[0]]
-            pieces = dict(zip(fresh, counter.counts(fresh)))
-            pieces.setdefault(*last)
-            last = (units[-1], pieces[units[-1]])
-            each = np.array([pieces[u] for u in units], dtype=np.int64)
-            sums.add(rest.column("block").to_pylist(), rest.column("postings").to_pylist(), each)
+            units = rest.column("unit")
+            begin = np.ones(len(units), dtype=bool)
+            begin[1:] = pc.not_equal(units[1:], units[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(begin)
+            names = units.take(pa.array(starts)).to_pylist()
+            fresh = names[1:] if names[0] == last[0] else names
+            pieces = [last[1]] * (len(names) - len(fresh)) + counter.counts(fresh)
+            last = (names[-1], pieces[-1])
+            each = np.repeat(pieces, np.diff(np.append(starts, len(units))))
+            sums.add(rest.column("block"), rest.column("postings"), each)
             if sums.size >= GATHERED:
                 yield _partial(sums.rows(), schema)
         yield _partial(sums.rows(), schema)
@@ -305,7 +310,8 @@ def token_counts(
         F.spark_partition_id().alias("part"),
     ).mapInArrow(_posted(hot), f"unit string, block string, postings binary, {lists}")
     schema = f"block string, {lists}, parts binary"
-    ordered = posted.repartition("unit").sortWithinPartitions("unit")
+    # Equal pre-tokens need only be side by side, and hashes are quicker to order than texts.
+    ordered = posted.repartition("unit").sortWithinPartitions(F.xxhash64("unit"), "unit")
     counted = ordered.mapInArrow(_counted(model, _arrow(schema)), schema)
     result = f"`{key}` {kind.simpleString()}, n_bytes long, n_tokens long"
     return counted.groupBy("block").applyInArrow(_summed(key), result)
