@@ -43,7 +43,7 @@ def test_base64_image():
         "https://a.b/c,%s",
         "example_service_key=%s",
         "https://user:%s@host/x",
-        "https://hooks.site/services/T1/%s",
+        "https://user:word@host/x;%s",
         "https://a.b/c?sig=%s&x=1",
         "<a href='https://a.b/c'>%s</a>",
     ],
@@ -58,9 +58,11 @@ def test_keys_that_are_found(text):
         "https://docs.site/a/long-path/with-many-words-in-it/and/Some/Parts",
         "123456789012345678901234567890",
         "12345678-9abc-def0-1234-56789abcdef0",
-        "SomeLongClassNameWithManyWordsInIt",
+        "SomeLongClassNameWithManyWords",
         "one_two_three_four_five_six_seven",
         "example" + KEY,
+        "https://host.site/x/" + KEY,
+        "ftp://user:word@host.site/x/" + KEY,
     ],
 )
 def test_allowed_candidates(text):

@@ -6,9 +6,10 @@ Patterns (``assign``, ``access``, ``hex``) give the base spans. Candidates are r
 characters slides; the Shannon entropy of its character counts is kept up to date by taking one
 character out and one in, and windows at or above the class's threshold join to spans
 (``entropy_hex``, ``entropy_base64``). A candidate is judged in parts: names and values on both
-sides of an equals sign, and the parts of a web address's path. An allow-list suppresses parts
-that are known not to be secrets: numbers, plain words and words joined by marks, UUIDs, and
-samples. Spans inside a base span are not repeated. The allow-list never removes a base span.
+sides of an equals sign. An allow-list suppresses parts that are known not to be secrets: numbers,
+plain words and words joined by marks, UUIDs, samples, and the host and path of a web address, but
+not its user, its query or what follows it on the same line. Spans inside a base span are not
+repeated. The allow-list never removes a base span.
 
 Positions are code points, end exclusive, in order of start and then of kind as listed in
 ``KINDS``. Defined cases: a NULL text counts as empty and has no spans; texts of any length are
@@ -58,10 +59,11 @@ SAMPLE = re.compile(r"(?i)example|sample|dummy|placeholder|0123456789|abcdefghij
 MARKS = re.compile(r"[+/_=-]+")
 # A word, an abbreviation or a short number between marks; longer ones may be keys.
 WORD = re.compile(r"[A-Z]?[a-z]{0,24}|[A-Z]{1,24}|[0-9]{1,4}")
-# An address ends where its path does, at a quote, a comma, a bracket or an at sign.
-ADDRESS = re.compile(r"""(?:https?|ftp)://[^\s"'`<>,;()\[\]{}|@?#]*""")
+# The host and path of an address end at a query, a quote, a comma, a bracket or an at sign.
+ADDRESS = re.compile(
+    r"""(?:https?|ftp)://(?:[^\s"'`<>,;()\[\]{}|@?#/]*@)?([^\s"'`<>,;()\[\]{}|@?#]*)"""
+)
 VALUE = re.compile(r"[^=]+=*")
-PATH_PART = re.compile(r"[^=/]+=*")
 
 _PLOGP = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -100,12 +102,13 @@ def _allowed(part: str) -> bool:
 
 def _parts(text: str):
     """Begin and end of the parts of candidates that are long enough and not allowed."""
-    addresses = [m.span() for m in ADDRESS.finditer(text)] if "://" in text else []
+    addresses = [m.span(1) for m in ADDRESS.finditer(text)] if "://" in text else []
     begins = [a for a, _ in addresses]
     for candidate in CANDIDATE.finditer(text):
         at = bisect_right(begins, candidate.start()) - 1
-        inside = at >= 0 and candidate.start() < addresses[at][1]
-        for part in (PATH_PART if inside else VALUE).finditer(text, *candidate.span()):
+        if at >= 0 and candidate.start() < addresses[at][1]:
+            continue
+        for part in VALUE.finditer(text, *candidate.span()):
             if part.end() - part.start() >= WINDOW and not _allowed(part[0]):
                 yield part.span()
 
