@@ -9,16 +9,23 @@ value, so a match whose values map one value to several is not consistent.
 
 A document leaks an item if at least ``LEAST_WINDOWS`` of the item's windows match, or half of
 them for an item with fewer, along one shift, and at most ``MAX_CONFLICTS`` of the pairs of an
-old and a new value are surplus, that is beyond the first new value of an old one. Windows with fewer than ``LEAST_WORDS`` literal words match too easily and are
-not used. Items shorter than a window are matched whole, if they have ``SHORTEST`` words.
+old and a new value are surplus, that is beyond the first new value of an old one. Windows with
+fewer than ``LEAST_WORDS`` literal words match too easily and are not used. Items shorter than a
+window are matched whole, if they have ``SHORTEST`` words.
+
+Items without a window that can be used (short ones, lists of names or numbers, scripts without
+blanks) are matched by their letters and digits as they are: every window of ``CHARS`` of them must
+match along one shift, so only an exact copy counts; an item with fewer must be a whole line of the
+document. An item without any letter or digit is never found.
 
 Most windows of documents match nothing. A Bloom filter of fixed size (``FILTER_BITS``, so
 whatever the benchmark holds, a few megabytes are sent) takes them out before the shuffle; what
 it lets through is decided by the join.
 
-Defined cases: NULL texts are empty; empty texts and an empty benchmark give no rows; repeated
-rows count once; equal items are each reported; a NULL id of a document or item is reported as
-NULL; other columns are not read.
+Defined cases: NULL texts are empty; empty texts, an empty table and an empty benchmark give no
+rows; texts of any length are searched whole; repeated rows count once; equal items are each
+reported; ids may be of any simple type, and a NULL id of a document or item is reported as NULL;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +49,10 @@ LEAST_WINDOWS = 6
 MAX_CONFLICTS = 0.2
 FILTER_BITS = 26
 MEMORY = 250_000
+# Letters and digits of a window of an item that has no other one. Rows of such windows carry
+# the size EXACT, and those of whole lines the size LINE.
+CHARS = 12
+EXACT, LINE = -CHARS, 0
 
 LITERAL, NUMBER, UNIT, NAME = range(4)
 # Units of measure and money.
@@ -53,7 +64,10 @@ UNITS = frozenset(
     " weeks month months year years".split()
 )
 EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’…-–—*_"
-ENDS = re.compile(r"[.!?][\"')\]»”’]*$")
+ENDS = re.compile(r"[.!?:][\"')\]»”’]*$")
+# Stands for a line feed among the words, as what follows one begins a sentence.
+FEED = "\ue000"
+UNSAID = re.compile(r"[\W_]+")
 DIGITS = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,7 +109,7 @@ class Templates:
         self._hash[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
         self._kind[at] = kind
         self._capital[at] = word[:1].isupper()
-        self._ending[at] = ENDS.search(raw) is not None
+        self._ending[at] = raw == FEED or ENDS.search(raw) is not None
         return at
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -103,12 +117,17 @@ class Templates:
         if len(self.words) > MEMORY:
             self.clear()
         known, add = self.index, self._add
-        at = [known[w] if w in known else add(w) for w in text.split()]
+        words = text.replace("\n", f" {FEED} ").split()
+        at = [known[w] if w in known else add(w) for w in words]
         if not at:
             return np.empty(0, np.uint64), np.empty(0, np.int8), at
         place = np.array(at)
-        kinds = self._kind[place]
         begins = np.concatenate(([True], self._ending[place][:-1]))
+        if FEED in known:
+            said = place != known[FEED]
+            place, begins = place[said], begins[said]
+            at = place.tolist()
+        kinds = self._kind[place]
         kinds = np.where((kinds == LITERAL) & self._capital[place] & ~begins, NAME, kinds)
         hashes = np.where(kinds == LITERAL, self._hash[place], kinds.astype(np.uint64))
         return hashes, kinds, at
@@ -128,12 +147,37 @@ class Templates:
         return usable, total[usable], at, kinds
 
 
+def said(text: str) -> str:
+    """The letters and digits of a text, in lower case."""
+    return UNSAID.sub("", text.lower())
+
+
+def exact_windows(text: str) -> np.ndarray:
+    """Hashes of the windows of ``CHARS`` letters and digits, one for each place."""
+    points = np.frombuffer(said(text).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = len(points) - CHARS + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    total = np.full(n, CHARS, np.uint64)
+    for k in range(CHARS):
+        total = (total ^ (points[k : k + n].astype(np.uint64) + np.uint64(4))) * MULTIPLIER
+        total ^= total >> np.uint64(29)
+    return total
+
+
+def lines(text: str) -> np.ndarray:
+    """Hashes of the letters and digits of each line, 0 for a line without."""
+    each = [said(line) for line in text.split("\n")]
+    hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) if x else 0 for x in each]
+    return np.array(hashes, dtype=np.uint64)
+
+
 SLOTS = pa.list_(pa.string())
 WINDOW_ROWS = pa.schema(
-    [("id", pa.int64()), ("size", pa.int32()), ("start", pa.int32()), ("n", pa.int32()),
+    [("id", pa.string()), ("size", pa.int32()), ("start", pa.int32()), ("n", pa.int32()),
      ("hash", pa.int64()), ("slots", SLOTS)]
 )
-WINDOW_TYPE = "id long, size int, start int, n int, hash long, slots array<string>"
+WINDOW_TYPE = "id string, size int, start int, n int, hash long, slots array<string>"
 
 
 def _positions(hashes: np.ndarray) -> list[np.ndarray]:
@@ -141,40 +185,86 @@ def _positions(hashes: np.ndarray) -> list[np.ndarray]:
     return [hashes >> np.uint64(64 - FILTER_BITS), hashes & low]
 
 
-def _window_rows(sizes: list[int] | None, bitmap: bytes | None):
+def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(hashes), bool)
+    for p in _positions(hashes):
+        word = bits[(p >> np.uint64(6)).astype(np.int64)]
+        hit &= (word >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
+
+
+class _Rows:
+    """Window rows of one batch."""
+
+    def __init__(self, bits: np.ndarray | None):
+        self.bits = bits
+        self.out: list[list] = [[] for _ in WINDOW_ROWS]
+
+    def add(self, key, size: int, starts: np.ndarray, hashes: np.ndarray, slots) -> int:
+        """Windows that pass the filter; ``slots`` gives the values of the one at a place."""
+        if self.bits is not None and len(hashes):
+            hit = _in_filter(self.bits, hashes)
+            starts, hashes = starts[hit], hashes[hit]
+        n = len(starts)
+        for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist()):
+            for values, v in zip(self.out, (key, size, s, n, h, slots(s))):
+                values.append(v)
+        return n
+
+    def add_templates(self, templates: Templates, key, text: str, size: int) -> int:
+        starts, hashes, at, kinds = templates.windows(text, size)
+        return self.add(key, size, starts, hashes, lambda s: [
+            f"{kinds[i]}:{templates.words[at[i]]}" for i in range(s, s + size) if kinds[i] != LITERAL
+        ])
+
+    def add_exact(self, key, text: str) -> int:
+        hashes = exact_windows(text)
+        return self.add(key, EXACT, np.arange(len(hashes)), hashes, lambda s: [])
+
+    def add_lines(self, key, text: str) -> int:
+        hashes = lines(text)
+        at = np.flatnonzero(hashes)
+        return self.add(key, LINE, at, hashes[at], lambda s: [])
+
+    def add_item(self, templates: Templates, key, text: str) -> None:
+        """An item by its templates, or else by its letters and digits, or else as one line."""
+        size = min(WINDOW, len(text.split()))
+        if size >= SHORTEST and self.add_templates(templates, key, text, size):
+            return
+        if not self.add_exact(key, text):
+            self.add_lines(key, text.replace("\n", " "))
+
+    def batch(self) -> pa.RecordBatch:
+        columns = [pa.array(v, type=f.type) for v, f in zip(self.out, WINDOW_ROWS)]
+        return pa.RecordBatch.from_arrays(columns, schema=WINDOW_ROWS)
+
+
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    templates = Templates()
+    for batch in batches:
+        rows = _Rows(None)
+        for key, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
+            rows.add_item(templates, key, text)
+        yield rows.batch()
+
+
+def _document_rows(sizes: list[int], bitmap: bytes):
     """mapInArrow function from (id, text) to windows; those not in the filter are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
-        bits = None if bitmap is None else np.frombuffer(bitmap, dtype="<u8")
-        one = np.uint64(1)
+        bits = np.frombuffer(bitmap, dtype="<u8")
         for batch in batches:
-            out: list[list] = [[] for _ in WINDOW_ROWS]
+            rows = _Rows(bits)
             for key, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
-                n_words = len(text.split()) if sizes is None else None
-                own = [min(WINDOW, n_words)] if sizes is None else sizes
-                for size in own:
-                    if size < SHORTEST:
-                        continue
-                    starts, hashes, at, kinds = templates.windows(text, size)
-                    if bits is not None and len(hashes):
-                        hit = np.ones(len(hashes), bool)
-                        for p in _positions(hashes):
-                            word = bits[(p >> np.uint64(6)).astype(np.int64)]
-                            hit &= (word >> (p & np.uint64(63)) & one).astype(bool)
-                        starts, hashes = starts[hit], hashes[hit]
-                    n = len(starts)
-                    for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist()):
-                        slots = [
-                            f"{kinds[i]}:{templates.words[at[i]]}"
-                            for i in range(s, s + size)
-                            if kinds[i] != LITERAL
-                        ]
-                        for values, v in zip(out, (key, size, s, n, h, slots)):
-                            values.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, type=f.type) for v, f in zip(out, WINDOW_ROWS)], schema=WINDOW_ROWS
-            )
+                for size in sizes:
+                    if size == EXACT:
+                        rows.add_exact(key, text)
+                    elif size == LINE:
+                        rows.add_lines(key, text)
+                    else:
+                        rows.add_templates(templates, key, text, size)
+            yield rows.batch()
 
     return run
 
@@ -206,18 +296,18 @@ def leaks(
     ``n_changed`` the item's values that the document has replaced, ``n_conflicts`` the surplus
     pairs."""
     items = benchmark.select(
-        column(benchmark, item).cast("long").alias("id"),
+        column(benchmark, item).cast("string").alias("id"),
         text_of(benchmark, item_text).alias("text"),
     )
     known = written(
-        items.distinct().mapInArrow(_window_rows(None, None), WINDOW_TYPE), "item-windows"
+        items.distinct().mapInArrow(_item_rows, WINDOW_TYPE), "item-windows"
     )
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
     bitmap = _filter_of(known)
     rows = docs.select(
-        column(docs, key).cast("long").alias("id"), text_of(docs, text).alias("text")
+        column(docs, key).cast("string").alias("id"), text_of(docs, text).alias("text")
     )
-    seen = rows.mapInArrow(_window_rows(sizes, bitmap), WINDOW_TYPE)
+    seen = rows.mapInArrow(_document_rows(sizes, bitmap), WINDOW_TYPE)
     # What the filter lets through is about as large as the leaks; the join takes it from here.
     seen = written(
         seen.select(F.col("id").alias("doc_id"), "size", "start", "hash", "slots"), "doc-windows"
@@ -233,15 +323,18 @@ def leaks(
     met = seen.join(wanted, ["size", "hash"]).withColumn(
         "shift", F.col("start") - F.col("item_start")
     )
-    met = written(met.select("doc_id", "item_id", "item_windows", "shift", "item_start",
+    met = written(met.select("doc_id", "item_id", "size", "item_windows", "shift", "item_start",
                              F.arrays_zip("item_slots", "slots").alias("slots")), "matches")
-    run = ["doc_id", "item_id", "item_windows", "shift"]
+    run = ["doc_id", "item_id", "size", "item_windows", "shift"]
+    enough = F.when(F.col("size") == EXACT, F.col("item_windows")).otherwise(
+        F.least(F.lit(LEAST_WINDOWS), F.col("item_windows") / 2)
+    )
     counted = (
         met.select(*run, "item_start")
         .distinct()
         .groupBy(*run)
         .agg(F.count("*").alias("n_windows"))
-        .filter(F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("item_windows") / 2))
+        .filter(F.col("n_windows") >= enough)
     )
     values = (
         met.select(*run, F.explode("slots").alias("slot"))
@@ -269,8 +362,8 @@ def leaks(
     )
     out = judged.groupBy("doc_id", "item_id").agg(best.alias("b"))
     return out.select(
-        "doc_id",
-        "item_id",
+        F.col("doc_id").cast(docs.schema[key].dataType).alias("doc_id"),
+        F.col("item_id").cast(benchmark.schema[item].dataType).alias("item_id"),
         F.col("b.n_windows").cast("long").alias("n_windows"),
         F.col("b.item_windows").cast("long").alias("item_windows"),
         F.col("b.n_slots").alias("n_slots"),
