@@ -46,8 +46,8 @@ def test_hot_pre_tokens_change_nothing(spark, library, monkeypatch, hot_bytes):
     known = piece_counts.hot_units
     sizes = []
 
-    def some(table, _=None):
-        hot = known(table, hot_bytes)
+    def some(texts, model):
+        hot = known(texts, model, hot_bytes)
         sizes.append(sum(len(u.encode()) for u in hot))
         return hot
 
