@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# The functions that tasks run travel with the plan: nothing has to be installed on executors.
+cloudpickle.register_pickle_by_value(sys.modules["tidelake"])
+
 # Runtime SQL settings every job relies on. AQE picks join strategies and partition
 # counts from measured sizes, so nothing here depends on the size of one cluster.
 RUNTIME_CONF = {
