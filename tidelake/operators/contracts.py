@@ -127,9 +127,27 @@ def contracts_table(spark: SparkSession, contracts: list[Contract]) -> DataFrame
     )
 
 
-def type_violation(column: str, declared: str) -> Column:
-    """True for a non-NULL value that is not of the declared type; unknown type: always."""
+# Types of columns whose cells are of a declared type by themselves.
+BY_TYPE = {
+    "string": ("string",),
+    "integer": ("tinyint", "smallint", "int", "bigint"),
+    "decimal": ("tinyint", "smallint", "int", "bigint"),
+    "date": ("date",),
+    "boolean": ("boolean",),
+}
+
+
+def type_violation(column: str, declared: str, dtype: str = "") -> Column:
+    """True for a non-NULL value that is not of the declared type; unknown type: always.
+
+    Where the column's own type ``dtype`` is given, only what it leaves open is looked at.
+    """
     value = F.col(column)
+    if dtype in BY_TYPE.get(declared, ()):
+        return F.lit(False)
+    if dtype in ("double", "float") and declared in ("integer", "decimal"):
+        finite = F.abs(value) < F.lit(float("inf"))
+        return ~F.coalesce(finite & (value % 1 == 0 if declared == "integer" else finite), value.isNull())
     text = value.cast("string")
     number = to_number(text, "double")
     tests = {
@@ -142,11 +160,11 @@ def type_violation(column: str, declared: str) -> Column:
     return value.isNotNull() & F.coalesce(tests.get(declared, F.lit(True)), F.lit(True))
 
 
-def value_checks(contract: Contract, present: list[str]) -> list[Q.Check]:
-    """Type and required-value counters of the declared columns."""
+def value_checks(contract: Contract, types: dict[str, str]) -> list[Q.Check]:
+    """Type and required-value counters of the declared columns; ``types`` are those present."""
     checks = []
     for column in contract.columns:
-        if column.name not in present:
+        if column.name not in types:
             continue
         nulls = F.count_if(F.col(column.name).isNull())
         not_null = f"{column.name}_required_not_null"
@@ -156,7 +174,8 @@ def value_checks(contract: Contract, present: list[str]) -> list[Q.Check]:
             checks.append(Q.Check(not_null, nulls, "nullable", "true"))
         checks.append(
             Q.violations(
-                f"{column.name}_type_{column.type}", type_violation(column.name, column.type)
+                f"{column.name}_type_{column.type}",
+                type_violation(column.name, column.type, types[column.name]),
             )
         )
     return checks
@@ -293,10 +312,10 @@ def _has_key(contract: Contract, present: list[str]) -> bool:
     return bool(contract.primary_key) and set(contract.primary_key) <= set(present)
 
 
-def contract_row_checks(contract: Contract, present: list[str]) -> list[Q.Check]:
+def contract_row_checks(contract: Contract, df: DataFrame) -> list[Q.Check]:
     """Value counters, and NULL keys where the key's columns are there."""
-    checks = value_checks(contract, present)
-    if _has_key(contract, present):
+    checks = value_checks(contract, dict(df.dtypes))
+    if _has_key(contract, df.columns):
         checks.append(Q.key_not_null(contract.primary_key))
     return checks
 
@@ -307,7 +326,7 @@ def validate_contract(
     """Every check of one contract against one dataset, from one pass and one grouping."""
     parts = [
         Q.metadata_checks(df, name, metadata_results(contract, destination, name, df.columns)),
-        Q.run_checks(df, name, contract_row_checks(contract, df.columns)),
+        Q.run_checks(df, name, contract_row_checks(contract, df)),
     ]
     if _has_key(contract, df.columns):
         keys = {name: (df, contract.primary_key)}

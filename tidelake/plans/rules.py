@@ -554,7 +554,7 @@ def validate_gold(
 def validate_contracts(gold: dict[str, DataFrame], counters: Counters | None = None) -> DataFrame:
     """Every contract check of all Gold datasets."""
     contracts = {n: gold_contract(n) for n in GOLD_KEYS}
-    checks = {n: contract_row_checks(contracts[n], gold[n].columns) for n in GOLD_KEYS}
+    checks = {n: contract_row_checks(contracts[n], gold[n]) for n in GOLD_KEYS}
     known = set_results(list(contracts.values()), list(GOLD_KEYS), list(gold))
     known += [
         (n, *result)
@@ -579,6 +579,6 @@ def write_counters(name: str, df: DataFrame) -> list[Q.Check]:
     checks = [
         *gold_row_checks(name, df),
         *gold_totals(name),
-        *contract_row_checks(gold_contract(name), df.columns),
+        *contract_row_checks(gold_contract(name), df),
     ]
     return list({c.name: c for c in checks}.values())
