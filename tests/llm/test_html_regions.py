@@ -1,5 +1,7 @@
 """Nested wrappers, long sections, lists, tables and layout names lose no block of an article."""
 
+import time
+
 import pytest
 
 from tidelake.llm import html_text
@@ -30,3 +32,19 @@ LONG = LONG.strip()
 )
 def test_regions(html, want):
     assert html_text.main_text(html).split("\n") == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b " * 200_000 + '" >', "<b '" * 150_000, "<!" * 200_000, '<a "x' * 150_000 + ">", "<script " * 80_000,
+     "<p>" * 150_000, "< " * 300_000, "<b x='" + "<i " * 200_000, "&" * 300_000, "<!--" * 150_000],
+)
+def test_tags_that_never_end_take_linear_time(page):
+    started = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - started < 8
+
+
+def test_marks_of_a_tag_may_stand_in_quotes():
+    page = "<article><p title='a > b < c'>One &lt; two, and three.</p><p>Four < five.</p></article>"
+    assert html_text.main_text(page) == "One < two, and three.\nFour < five."

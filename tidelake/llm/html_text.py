@@ -20,7 +20,8 @@ Output: character references decoded, white space inside a block made one blank,
 order joined by a line feed; nothing else is dropped. Defined cases: a NULL or empty page, and
 one without text outside those parts, gives the empty text; pages may be cut off anywhere, and
 their open elements end there (a tag that is cut off is no text); pages of any length are read
-whole; repeated rows give repeated results; other columns pass through.
+whole, in time linear in their length; repeated rows give repeated results; an empty table gives an
+empty one; other columns pass through, but one that is named like the result gives way to it.
 """
 
 from __future__ import annotations
@@ -39,13 +40,14 @@ from tidelake.llm.common import text_of
 THRESHOLD = 0.5
 REACH = 2
 
+# A tag ends before the next one begins, quotes aside, so no place is read for many tags.
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
     r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|title)\b"
-    r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
-    r"|<[!?][^>]*+>"
-    r"|</?[a-zA-Z!?](?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+(?:[\"'][^>]*+)?$",
+    r"(?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+>"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+)>"
+    r"|<[!?][^<>]*+>"
+    r"|</?[a-zA-Z!?](?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+(?:[\"'][^>]*+)?$",
     re.S | re.I,
 )
 BLOCKS = frozenset(

@@ -15,7 +15,8 @@ has ``BUCKETS`` numbers for each bit, and the bits grow with the logarithm of th
 Defined cases: a text that is NULL or has no letter is ``und`` with score 0, also in training,
 where it is left out; with nothing learned every text is ``und``; with one language every text
 with a letter is that one; ties go to the smaller language name; texts are read whole; repeated
-rows count as often as they stand; other columns pass through.
+rows count as often as they stand; an empty table gives an empty one; other columns pass through,
+but one that is named like the result gives way to it.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ tests. Many short units are merged side by side in arrays: in each round every u
 head of its agenda. Longer units keep a heap.
 
 Defined cases: a NULL or empty text has the begin and end ids only and decodes to the empty
-text; texts of any length are encoded whole; repeated rows give repeated results.
+text; texts of any length are encoded whole; repeated rows give repeated results; an empty table
+gives an empty one; other columns pass through, but those named like a result give way to it.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ If no row is unlabelled, all training rows stand for them.
 
 Defined cases: NULL and empty texts have the features of no words and a score; without positives
 or without rows to stand for the unlabelled every score is 0.5; a doc_id labelled more than once
-counts by its largest label; repeated rows give repeated results; NULL ids are never labelled.
+counts by its largest label; texts of any length are read whole; repeated rows give repeated
+results; NULL ids are never labelled; an empty table gives an empty one; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

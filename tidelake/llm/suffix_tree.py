@@ -28,8 +28,9 @@ with those that a document holds. The size of the cache changes no score. Tokens
 a 64-bit hash.
 
 Defined cases: a NULL or empty text has the one end token; with nothing to learn from, N and V
-are zero and every token is unknown; repeated rows count as often as they stand; NULL keys
-count as one key '' for the split. Other columns are not read.
+are zero and every token is unknown; texts of any length are read whole; repeated rows count as
+often as they stand; NULL keys count as one key '' for the split; an empty table gives an empty
+one. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
