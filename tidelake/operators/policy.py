@@ -56,6 +56,9 @@ VIOLATION_TYPE = (
 )
 
 
+# Policy ids, categories and the sentences of the reasons, here and below.
+
+
 def _violation(policy_id: str, category: str, reason: Column, **details: Column) -> Column:
     extra = [details[k].alias(k) for k in sorted(details)]
     document = F.to_json(F.struct(*extra)) if extra else F.lit("{}")

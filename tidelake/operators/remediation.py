@@ -138,6 +138,7 @@ def eligibility(decisions: DataFrame) -> DataFrame:
 
 def remediation_plans(eligible: DataFrame) -> DataFrame:
     """The catalog's bounded plan for every eligible decision."""
+    # The sentence of the rationale.
     rationale = F.concat(
         F.lit("Policy DENY selected the catalog-governed bounded remediation plan for "),
         F.col("scenario_id"),
@@ -248,6 +249,7 @@ def quarantine_dataset(df: DataFrame, root: str, dataset: str, run_id: str) -> D
     )
 
 
+# Fields of a quarantine request.
 REQUEST_FIELDS = [
     "condition",
     "run_id",
@@ -308,6 +310,7 @@ def quarantine_events(requests: DataFrame, quarantined_at: Column, bucket: str)
         "|", "run_id", "scenario_id", "source_key", "rejected_output_location", "detected_at"
     )
     rows = requests.withColumn("rejected_output_location", destination)
+    # The columns of an event, and the states of a fresh one.
     event_id = F.concat(F.lit(EVENT_ID_PREFIX), F.substring(F.sha2(material, 256), 1, 24))
     return rows.select(
         event_id.alias("quarantine_event_id"),
