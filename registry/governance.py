@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import registry.policy_oracle  # noqa: F401  registers its SQL fragments
 from registry import query
 from registry.inputs import built, silver_table
-from registry.oracle import GOLD_SOURCES, SILVER_SOURCES, digest_sql, manifest_sql, sql
+from registry.oracle import COLUMNS, GOLD_SOURCES, SILVER_SOURCES, digest_sql, manifest_sql, sql
 from tidelake.operators import governance, policy, publication, remediation
 from tidelake.operators.contracts import FORBIDDEN_PUBLIC_COLUMNS
 from tidelake.operators.determinism import changed_records
@@ -375,8 +375,8 @@ def redacted_contact(spark, sf_dir):
 
 @query(
     "l3b_rollback",
-    sql("""select 'sellers' dataset, 1::bigint restored_version, count(*) row_count,
-    true content_equal from s_sellers"""),
+    sql(f"""select 'sellers' dataset, 1::bigint restored_version, row_count, content_sha256,
+    true content_equal from ({digest_sql('s_sellers', COLUMNS['silver_sellers'])})"""),
 )
 def rollback(spark, sf_dir):
     """A verified version, a broken one after it, and the way back."""
@@ -406,7 +406,8 @@ def row_quarantine(spark, sf_dir):
 
 @query(
     "l3c_dataset_quarantine",
-    sql("""select 'silver_reviews' dataset, count(*) row_count, true content_equal from s_reviews"""),
+    sql(f"""select 'silver_reviews' dataset, row_count, content_sha256, true content_equal
+    from ({digest_sql('s_reviews', COLUMNS['silver_reviews'])})"""),
 )
 def dataset_quarantine(spark, sf_dir):
     root = scratch_path(spark, "quarantine")

@@ -221,6 +221,7 @@ def rollback(spark: SparkSession, root: str, dataset: str, next_version: int) ->
         F.lit(dataset).alias("dataset"),
         F.lit(entry["version"]).cast("bigint").alias("restored_version"),
         "row_count",
+        "content_sha256",
         (F.col("content_sha256") == entry["content_sha256"]).alias("content_equal"),
     )
 
@@ -245,6 +246,7 @@ def quarantine_dataset(df: DataFrame, root: str, dataset: str, run_id: str) -> D
     return content_hash(moved).select(
         F.lit(dataset).alias("dataset"),
         "row_count",
+        "content_sha256",
         (F.col("content_sha256") == digest).alias("content_equal"),
     )
 
