@@ -64,9 +64,7 @@ UNITS = frozenset(
     " weeks month months year years".split()
 )
 EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’…-–—*_"
-ENDS = re.compile(r"[.!?:][\"')\]»”’]*$")
-# Stands for a line feed among the words, as what follows one begins a sentence.
-FEED = "\ue000"
+ENDS = re.compile(r"[.!?][\"')\]»”’]*$")
 UNSAID = re.compile(r"[\W_]+")
 DIGITS = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -109,32 +107,32 @@ class Templates:
         self._hash[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
         self._kind[at] = kind
         self._capital[at] = word[:1].isupper()
-        self._ending[at] = raw == FEED or ENDS.search(raw) is not None
+        self._ending[at] = ENDS.search(raw) is not None
         return at
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """(template hash, kind) of each word, and the index of the word itself."""
+    def of(self, text: str, begins: bool = True) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(template hash, kind) of each word, and the index of the word itself.
+
+        ``begins`` says whether the first word begins a sentence.
+        """
         if len(self.words) > MEMORY:
             self.clear()
         known, add = self.index, self._add
-        words = text.replace("\n", f" {FEED} ").split()
-        at = [known[w] if w in known else add(w) for w in words]
+        at = [known[w] if w in known else add(w) for w in text.split()]
         if not at:
             return np.empty(0, np.uint64), np.empty(0, np.int8), at
         place = np.array(at)
-        begins = np.concatenate(([True], self._ending[place][:-1]))
-        if FEED in known:
-            said = place != known[FEED]
-            place, begins = place[said], begins[said]
-            at = place.tolist()
         kinds = self._kind[place]
-        kinds = np.where((kinds == LITERAL) & self._capital[place] & ~begins, NAME, kinds)
+        first = np.concatenate(([begins], self._ending[place][:-1]))
+        kinds = np.where((kinds == LITERAL) & self._capital[place] & ~first, NAME, kinds)
         hashes = np.where(kinds == LITERAL, self._hash[place], kinds.astype(np.uint64))
         return hashes, kinds, at
 
-    def windows(self, text: str, size: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    def windows(
+        self, text: str, size: int, begins: bool = True
+    ) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
         """(starts, hashes) of usable windows of ``size`` words; index and kind of the words."""
-        hashes, kinds, at = self.of(text)
+        hashes, kinds, at = self.of(text, begins)
         n = len(at) - size + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64), [], kinds
@@ -200,22 +198,26 @@ class _Rows:
         self.bits = bits
         self.out: list[list] = [[] for _ in WINDOW_ROWS]
 
-    def add(self, key, size: int, starts: np.ndarray, hashes: np.ndarray, slots) -> int:
+    def add(self, key, size: int, starts: np.ndarray, hashes: np.ndarray, slots, n=None) -> int:
         """Windows that pass the filter; ``slots`` gives the values of the one at a place."""
         if self.bits is not None and len(hashes):
             hit = _in_filter(self.bits, hashes)
             starts, hashes = starts[hit], hashes[hit]
-        n = len(starts)
+        n = len(starts) if n is None else n
         for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist()):
             for values, v in zip(self.out, (key, size, s, n, h, slots(s))):
                 values.append(v)
         return n
 
-    def add_templates(self, templates: Templates, key, text: str, size: int) -> int:
-        starts, hashes, at, kinds = templates.windows(text, size)
+    def add_templates(self, templates: Templates, key, text: str, size: int, again=None) -> int:
+        """The windows of a text. ``again`` adds the first one as it is inside a sentence; the
+        windows of the text are as many as that says."""
+        starts, hashes, at, kinds = templates.windows(text, size, again is None)
+        if again is not None:
+            starts, hashes = starts[starts == 0], hashes[starts == 0]
         return self.add(key, size, starts, hashes, lambda s: [
             f"{kinds[i]}:{templates.words[at[i]]}" for i in range(s, s + size) if kinds[i] != LITERAL
-        ])
+        ], again)
 
     def add_exact(self, key, text: str) -> int:
         hashes = exact_windows(text)
@@ -229,7 +231,11 @@ class _Rows:
     def add_item(self, templates: Templates, key, text: str) -> None:
         """An item by its templates, or else by its letters and digits, or else as one line."""
         size = min(WINDOW, len(text.split()))
-        if size >= SHORTEST and self.add_templates(templates, key, text, size):
+        if size >= SHORTEST and (n := self.add_templates(templates, key, text, size)):
+            # A document may hold the item behind a colon or a line without a full stop, where
+            # its first word looks like a name.
+            if text.split()[0].strip(EDGES)[:1].isupper():
+                self.add_templates(templates, key, text, size, again=n)
             return
         if not self.add_exact(key, text):
             self.add_lines(key, text.replace("\n", " "))
