@@ -114,3 +114,32 @@ def test_rounding_keeps_numbers_beyond_decimals(spark):
 def test_gold_amounts_come_in_cents(spark, sf):
     built = gold.build_gold("gold_daily_sales", gold.item_enriched(silver.build_silver(raw_tables(spark, sf), gold.GOLD_INPUTS)))
     assert built.where("product_revenue is null").count() == 0
+
+
+CELLS = [
+    None, "", " ", "\t1 ", "1", "1.5", "1e300", "-1e400", "x", "NaN", "99999999999999999999",
+    "12345678901234567.89", "9999999999999999.99", "9999999999999999.999", "999999999999999.99",
+    "2018-01-01", "2018-13-01", "2018-01", "yes", "NO ", "1d", "-.5e3", "\x0b2018-01-01 10:00:00\f",
+]
+
+
+def test_cells_read_in_steps_are_those_of_the_readers(spark):
+    kinds = {k: k for k in S.READERS}
+    df = spark.createDataFrame([(c,) * len(kinds) for c in CELLS], ", ".join(f"{k} string" for k in kinds))
+    wanted = df.select(*[S.READERS[k](F.col(f"`{k}`")).cast("string") for k in kinds]).collect()
+    steps = S.typed_cells(df, kinds)
+    found = steps.select(*[F.col(f"_cell{i}").cast("string") for i in range(len(kinds))]).collect()
+    assert list(map(tuple, found)) == list(map(tuple, wanted))
+    for kind in (k for k in kinds if rejects.REASONS[k]):
+        reasons_of = df.select(F.col(f"`{kind}`"), rejects.rejection(F.col(f"`{kind}`"), kind).alias("r"))
+        lost = sorted(tuple(r) for r in reasons_of.collect() if r["r"])
+        rows = rejects.rejected_cells(df, "d", [kind], {kind: kind})
+        assert sorted((r["raw_text"], r["reason"]) for r in rows.collect()) == lost
+
+
+def test_the_ledger_reads_a_text_once(spark):
+    """Each reading stands once in the plan, so the work a cell does not grow with its mentions."""
+    df = spark.createDataFrame([("1", "2")], "k string, n string")
+    ledger = rejects.rejected_cells(df, "d", ["k"], {"n": "money"})
+    plan = ledger._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("as double") == 1
