@@ -136,3 +136,22 @@ def test_cells_cannot_run_into_each_other(spark):
         return sinks.content_hash(spark.createDataFrame([row], "a string, b string")).first()[2]
 
     assert len({sha("1:a", ""), sha("", "1:a"), sha("1", ":a"), sha(None, "-"), sha("-", None)}) == 5
+
+
+def test_a_digest_sums_whole_numbers_inside_a_partition(spark):
+    """One reading of 16 digits gives two parts, and exponents are found once a double."""
+    df = spark.range(40).selectExpr("id", "cast(id as double) / 7 as x")
+    found = [sinks.content_hash(df.repartition(n)).first() for n in (1, 7)]
+    assert found[0] == found[1] and found[0]["row_count"] == 40
+    plan = sinks.content_hash(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("conv(") == 4 and plan.count("LOG2(") == 1
+
+
+def test_a_digest_adds_the_digests_of_rows(spark):
+    doubles = [0.0, -0.0, 1.5, float("nan"), float("inf"), None, 1e308, 5e-324, 0.1, 7.999999999999999]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(doubles)], "i int, x double")
+    rows = [r[0] for r in df.select(sinks.row_digest(df)).collect()]
+    sums = [str(sum(int(d[8 * i : 8 * i + 8], 16) for d in rows)) for i in range(8)]
+    text = "|".join(["i,x", str(len(rows)), *sums])
+    found = sinks.content_hash(df).first()["content_sha256"]
+    assert found == hashlib.sha256(text.encode()).hexdigest()
