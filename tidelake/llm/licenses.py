@@ -5,7 +5,7 @@ characters than letters and digits one blank, equivalent spellings made equal. I
 joined with the digests of known license texts, made by the same expressions. Entire texts are
 looked up: the whole document, and each of its lines as a text of its own.
 
-Only texts that hold one of ``HINTS`` are put in canonical form; every known text holds one in
+Only texts that hold one of ``WORDS`` are put in canonical form; every known text holds one in
 canonical form, and neither punctuation nor spelling rules break it, so nothing is missed. The
 known texts are a fixed table of this module, so their broadcast does not grow with the data.
 
@@ -24,6 +24,8 @@ from tidelake.session import small_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HINTS = ("licen", "permission", "redistribution")
+# A notice like "Released under GPL-3.0." holds none of these; the SQL looks for them alone.
+WORDS = (*HINTS, "released", "distributed")
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 SPELLINGS = (
     ("licenc", "licens"),
@@ -109,7 +111,7 @@ def canonical(text: Column) -> Column:
 
 
 def _hinted(text: Column) -> Column:
-    return text.rlike("(?i)" + "|".join(HINTS))
+    return text.rlike("(?i)" + "|".join(WORDS))
 
 
 def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
