@@ -15,22 +15,18 @@ distribution to that of its suffix, with each occurrence left out of its own est
 exceed ``GAIN`` nats an occurrence; a child keeps its suffix retained. Scoring walks the tokens
 with the longest retained suffix as the state.
 
-Grams, states and chances are written tables; the test groups on the context key. A gram is known
-by the pair of its left and right part (words for two words, two-word grams for three), and its
-key is a hash of the two. Filters of fixed size leave out keys that cannot be in a table before
-the shuffle; what they let through is decided by the count or the join.
-
-The log probability of a token is a sum over keys: that of its word under the root, the log
-weights left by its retained contexts, and the changes that its kept grams make. The part of the
-tree seen in at least ``1 / RESOLUTION`` of the training tokens is a cache that is sent to the
-executors, at most ``RESOLUTION`` entries a depth; all other words and grams are joined by key
-with those that a document holds. The size of the cache changes no score. Tokens are compared by
-a 64-bit hash.
+``scores`` (``suffix_scores.py``) scores texts, counting by middle word and writing no tree out.
+``learn`` gives the tree itself. Its grams, states and chances are written tables; the test groups
+on the context key. A gram is known by the pair of its left and right part (words for two words,
+two-word grams for three), and its key is a hash of the two. Filters of fixed size leave out keys
+that cannot be in a table before the shuffle; what they let through is decided by the count or the
+join. Of the tree, the part seen in at least ``1 / RESOLUTION`` of the training tokens comes back,
+at most ``RESOLUTION`` entries a depth.
 
 Defined cases: a NULL or empty text has the one end token; with nothing to learn from, N and V
 are zero and every token is unknown; texts of any length are read whole; repeated rows count as
 often as they stand; NULL keys count as one key '' for the split; an empty table gives an empty
-one. Other columns are not read, whatever their names.
+one. Other columns are not read, whatever their names. Words are compared by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -41,33 +37,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.llm.common import column, text_of
+from tidelake.llm.common import text_of
+from tidelake.llm.suffix_scores import END, GAIN, LEAST, scores, tokens
+from tidelake.llm.suffix_scores import word_hash as _hash
 from tidelake.session import written
 
+__all__ = ["END", "Places", "Tree", "learn", "scores", "tokens"]
+
 DEPTH = 2  # words of the longest context
-LEAST = 2  # times that a context or a follower must be seen
 RESOLUTION = 1 << 19  # entries a depth of the cache
 FILTER_BITS = 27
 BITS = 20  # of a word's place in a key of up to three words
-GAIN = 0.02
-END = b" "  # no word holds a blank
 FLUSH = 1 << 20
-LN10 = float(np.log(10.0))
-
-
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-case words of a UTF-8 text and the end token."""
-    return [*text.lower().split(), END]
-
-
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +129,11 @@ def mix(left: np.ndarray, right: np.ndarray | int) -> np.ndarray:
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
-STATE = 1  # the second part of a key that stands for a context
-
-
 @F.arrow_udf(T.LongType())
 def _key_of(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(mix(left.to_numpy(zero_copy_only=False), right.to_numpy(zero_copy_only=False)))
 
 
-@F.arrow_udf(T.LongType())
-def _state_key(key: pa.Array) -> pa.Array:
-    return pa.array(mix(key.to_numpy(zero_copy_only=False), STATE))
-
-
 def _filter_of(keys: DataFrame) -> np.ndarray:
     """Filter of the column ``key``: at most 2 ** (FILTER_BITS - 6) words reach the driver."""
     high = F.shiftrightunsigned("key", 64 - FILTER_BITS)
@@ -284,9 +261,8 @@ def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [table[name].to_numpy() for name in names]
 
 
-def _learned(rows: DataFrame, text: str) -> tuple[Tree, DataFrame, DataFrame | None]:
-    """The cached tree, the table (word, count), and the table (key, value) of all that the
-    states and grams outside the cache add to a log probability."""
+def learn(rows: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
+    """The cached tree of all rows, and the table (word, count) of all training words."""
     rows = rows.select(text_of(rows, text).cast("binary").alias("text"))
     counted = rows.mapInArrow(_count_words, "word long, n long")
     counts = written(counted.groupBy("word").agg(F.sum("n").alias("count")), "word-counts")
@@ -303,12 +279,12 @@ def _learned(rows: DataFrame, text: str) -> tuple[Tree, DataFrame, DataFrame | N
         none = (np.empty(0, np.int64), np.empty(0))
         tree.states.extend([none] * DEPTH)
         tree.followers.extend([none] * DEPTH)
-        return tree, counts, None
+        return tree, counts
     shorter = counts.filter(F.col("count") >= LEAST).select(
         F.col("word").alias("key"), F.col("count").alias("n"),
         _root_column(tree, F.col("count")).alias("chance"),
     )
-    states, hot_grams, rest = None, None, []
+    states, hot_grams = None, None
     for depth in range(1, DEPTH + 1):
         found = rows.mapInArrow(
             _count_grams(depth, _filter_of(shorter)), "left long, right long, n long"
@@ -321,22 +297,7 @@ def _learned(rows: DataFrame, text: str) -> tuple[Tree, DataFrame, DataFrame | N
         states = written(_retained(judged, tests, states, shorter, depth), "states")
         grams = written(_chances(judged, states), "chances")
         hot_grams = _cache(tree, depth, hot, states, grams, hot_grams)
-        low = states.filter(F.col("size") < hot)
-        rest.append(low.select(_state_key("key").alias("key"), F.log("weight").alias("value")))
-        low = grams.filter(F.col("weight").isNotNull() & (F.col("n") < hot))
-        rest.append(
-            low.select("key", (F.log("chance") - F.log("weight") - F.log("parent")).alias("value"))
-        )
         shorter = grams.select("key", "left", "right", "n", "chance")
-    values = rest[0]
-    for more in rest[1:]:
-        values = values.union(more)
-    return tree, counts, written(values, "values")
-
-
-def learn(rows: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
-    """The cached tree of all rows, and the table (word, count) of all training words."""
-    tree, counts, _ = _learned(rows, text)
     return tree, counts
 
 
@@ -421,118 +382,3 @@ def _cache(tree: Tree, depth: int, hot: int, states: DataFrame, grams: DataFrame
     use = use[np.argsort(gram[use])]
     tree.followers.append((gram[use], (n[use] - 1) / size[use]))
     return pairs
-
-
-def _keys_outside(hashes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the contexts and grams of a text that may be outside the cache, and their numbers."""
-    keys, parts = [], hashes
-    for _ in range(DEPTH):
-        keys.append(mix(parts[:-1], STATE))
-        parts = mix(parts[:-1], parts[1:])
-        keys.append(parts)
-    found = np.concatenate(keys)
-    return np.unique(found[_passes(bits, found)], return_counts=True)
-
-
-def _score_rows(tree: Tree, bits: np.ndarray | None):
-    """Per document: sums over the cached part, and the words and keys that are joined."""
-    per_base = np.log10(tree.head_count + 1) - np.log10(tree.tokens + tree.words + 1)
-
-    def one(places: Places, hashes: Hashes, text: bytes) -> tuple:
-        words = tokens(text)
-        at = places.of(words)
-        is_head = at >= 0
-        log_chance, left = _log_chances(tree, at)
-        score = log_chance[is_head].sum() + left[~is_head].sum()
-        tail = Counter(w for w, h in zip(words, is_head.tolist()) if not h)
-        keys, numbers = [], []
-        if bits is not None:
-            keys, numbers = _keys_outside(hashes.of(words), bits)
-        return (
-            len(words),
-            int(is_head.sum()),
-            float(per_base[at[is_head]].sum()),
-            float(score) / LN10,
-            list(map(_hash, tail)),
-            list(tail.values()),
-            keys,
-            numbers,
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, hashes = Places(tree.head), Hashes()
-        for batch in batches:
-            out: list[list] = [[] for _ in OWN]
-            for text in batch["text"].to_pylist():
-                for values, value in zip(out, one(places, hashes, text)):
-                    values.append(value)
-            passed = [batch[c] for c in PASSED]
-            own = [pa.array(v, kind) for v, (_, kind, _) in zip(out, OWN)]
-            names = [*PASSED, *[name for name, _, _ in OWN]]
-            yield pa.RecordBatch.from_arrays([*passed, *own], names=names)
-
-    return run
-
-
-PASSED = ("row", "doc_id", "held_out")
-OWN = (
-    ("n_tokens", pa.int64(), T.LongType()),
-    ("head_known", pa.int64(), T.LongType()),
-    ("head_base", pa.float64(), T.DoubleType()),
-    ("head_score", pa.float64(), T.DoubleType()),
-    ("tail_words", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
-    ("tail_counts", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
-    ("gram_keys", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
-    ("gram_counts", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
-)
-
-
-def scores(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    rows = docs.select(
-        column(docs, key).alias("doc_id"),
-        held.alias("held_out"),
-        text_of(docs, text).cast("binary").alias("text"),
-    )
-    tree, counts, values = _learned(rows.filter(~F.col("held_out")), "text")
-    bits = None if values is None or values.isEmpty() else _filter_of(values)
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    passed = [T.StructField(c, numbered.schema[c].dataType) for c in PASSED]
-    schema = T.StructType([*passed, *[T.StructField(n, kind) for n, _, kind in OWN]])
-    # Written once: the numbers of the rows are then fixed, whatever is lost later.
-    scored = written(numbered.mapInArrow(_score_rows(tree, bits), schema), "scored-rows")
-    tail = scored.select("row", F.inline(F.arrays_zip("tail_words", "tail_counts")))
-    found = tail.join(counts, tail["tail_words"] == counts["word"], "left").select(
-        "row", F.col("tail_counts").alias("n"), F.coalesce("count", F.lit(0)).alias("count")
-    )
-    denominator = float(np.log10(tree.tokens + tree.words + 1))
-    parts = found.select(
-        "row",
-        F.when(F.col("count") > 0, F.col("n")).otherwise(0).alias("known"),
-        (F.col("n") * (F.log10(F.col("count") + 1) - denominator)).alias("base"),
-        (F.col("n") * F.log10(_root_column(tree, F.col("count")))).alias("score"),
-    )
-    if bits is not None:
-        held_keys = scored.select(
-            "row", F.inline(F.arrays_zip(F.col("gram_keys").alias("key"), F.col("gram_counts").alias("n")))
-        )
-        added = held_keys.join(values, "key").select(
-            "row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"),
-            (F.col("n") * F.col("value") / LN10).alias("score"),
-        )
-        parts = parts.union(added)
-    sums = parts.groupBy("row").agg(
-        F.sum("known").alias("tail_known"),
-        F.sum("base").alias("tail_base"),
-        F.sum("score").alias("tail_score"),
-    )
-    joined = scored.drop("tail_words", "tail_counts", "gram_keys", "gram_counts").join(sums, "row", "left")
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
-    )
