@@ -4,14 +4,13 @@ import math
 import random
 import zlib
 from collections import Counter
-from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidelake import session
 from tidelake.llm import suffix_scores, suffix_tree
 from tidelake.llm.common import held_out, prepare
-from tidelake.session import checkpoint_root
 
 
 def corpus(n: int, length: int, words: int) -> list[tuple[int, str]]:
@@ -92,21 +91,28 @@ def test_scores_by_definition(spark, monkeypatch, sizes):
         assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
 
 
-def test_grams_are_not_written_out(spark):
+def test_grams_are_not_written_out(spark, monkeypatch, tmp_path):
     """What is written stays below the texts: no table holds a row for each pair or triple."""
     prepare(spark)
+    monkeypatch.setattr(session, "checkpoint_root", lambda spark: str(tmp_path))
     rng = random.Random(3)
     names = [f"word{k}" for k in range(400)]
     rows = [(i, " ".join(rng.choices(names, k=1000))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    root = Path(checkpoint_root(spark).removeprefix("file:"))
+    assert suffix_tree.scores(docs, held_out(F.col("doc_id"), 7, 2)).count() == len(rows)
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert 0 < written < sum(len(t) for _, t in rows)
 
-    def written() -> int:
-        return sum(f.stat().st_size for f in root.rglob("*.parquet"))
 
-    before = written()
-    assert suffix_tree.scores(docs, held_out(F.col("doc_id"), 7, 2)).count() == len(rows)
-    assert 0 < written() - before < sum(len(t) for _, t in rows)
+def test_unknown_rows_are_not_learned_from(spark):
+    """A row that is neither held out nor not is scored, but not counted."""
+    prepare(spark)
+    rows = [(1, "a b c a b c", False), (2, "a b d d d", None), (3, "a b c", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r["doc_id"]: r for r in suffix_tree.scores(docs, F.col("held")).collect()}
+    assert {i: (r["held_out"], r["n_known"], r["train_tokens"]) for i, r in got.items()} == {
+        1: (False, 7, 7), 2: (None, 3, 7), 3: (True, 4, 7)
+    }
 
 
 def test_packed_columns_come_back():

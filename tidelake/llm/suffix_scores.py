@@ -186,7 +186,7 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = tokens(text)
             codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             lengths.append(len(words))
-            held.append(is_held)
+            held.append(is_held is not False)  # learn only where it is known
             size += len(words)
             if size >= BLOCK:
                 yield documents(ids.slice(begin, k - begin), out.slice(begin, k - begin))
